@@ -9,29 +9,48 @@ from likeness.functions import similarity as sim
 from likeness.schemas import FEATURES
 
 
-def feature_columns(
-    query: Mapping[str, Column],
-    candidate: Mapping[str, Column],
-    vdist: Column,
-    batched: bool = False,
-) -> list[Column]:
+def compared(side: Mapping[str, Column], prefix: str) -> list[Column]:
+    """What the features compare of one record, computed once per record.
+
+    Texts are folded, addresses split and dates parsed before records are paired,
+    not again for each pair.
+    """
+    values = {
+        "name": sim.text_key(side["full_name"]),
+        "phone": side["phone_e164"],
+        "email": side["email_norm"],
+        "govid": side["gov_id_norm"],
+        "tokens": sim.tokens(side["addr_line"]),
+        "city": sim.text_key(side["city"]),
+        "state": sim.text_key(side["state"]),
+        "pin": sim.strip(sim.text(side["postal_code"])),
+        "day": sim.parse_date(side["dob"]),
+    }
+    return [value.alias(f"{prefix}{name}") for name, value in values.items()]
+
+
+def feature_columns(a: str, b: str, vdist: Column, batched: bool = False) -> list[Column]:
     """The ten features of a pair, named and in order.
 
+    ``a`` and ``b`` are the prefixes of the two sides' :func:`compared` columns.
     ``batched`` computes the text similarities over Arrow batches.
     """
-    text_sim = sim.jaro_winkler_batch if batched else sim.jaro_winkler
-    q, c = query, candidate
+    text_sim = sim.key_similarity_batch if batched else sim.key_similarity
+
+    def sides(name):
+        return F.col(f"{a}{name}"), F.col(f"{b}{name}")
+
     values = {
         "vsim": 1.0 / (1.0 + vdist),
-        "name_sim": text_sim(q["full_name"], c["full_name"]),
-        "phone_match": sim.exact_match(q["phone_e164"], c["phone_e164"]),
-        "email_match": sim.exact_match(q["email_norm"], c["email_norm"]),
-        "govid_match": sim.exact_match(q["gov_id_norm"], c["gov_id_norm"]),
-        "addr_overlap": sim.addr_overlap(q["addr_line"], c["addr_line"]),
-        "city_sim": text_sim(q["city"], c["city"]),
-        "state_sim": text_sim(q["state"], c["state"]),
-        "pincode_match": sim.pincode_match(q["postal_code"], c["postal_code"]),
-        "dob_delta": sim.dob_delta_days(q["dob"], c["dob"]),
+        "name_sim": text_sim(*sides("name")),
+        "phone_match": sim.exact_match(*sides("phone")),
+        "email_match": sim.exact_match(*sides("email")),
+        "govid_match": sim.exact_match(*sides("govid")),
+        "addr_overlap": sim.token_overlap(*sides("tokens")),
+        "city_sim": text_sim(*sides("city")),
+        "state_sim": text_sim(*sides("state")),
+        "pincode_match": sim.same_area(*sides("pin")),
+        "dob_delta": sim.day_gap(*sides("day")),
     }
     return [values[name].cast("double").alias(name) for name in FEATURES]
 

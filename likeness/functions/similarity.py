@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from likeness.functions.binding import bind
 from likeness.functions.normalize import WHITESPACE, parse_date, strip, text
 from likeness.schemas import MISSING_DATE_DELTA
 
@@ -14,21 +15,33 @@ def exact_match(a: Column, b: Column) -> Column:
     return F.when((a == b) & (a != ""), 1.0).otherwise(0.0)
 
 
-def _tokens(c: Column) -> Column:
-    return F.split(strip(F.lower(text(c))), f"[{WHITESPACE}]+")
+def text_key(c: Column) -> Column:
+    """What the text similarity compares."""
+    return strip(F.lower(text(c)))
+
+
+def tokens(c: Column) -> Column:
+    """Distinct lower-cased words; none for empty text."""
+    words = F.split(text_key(c), f"[{WHITESPACE}]+")
+    return F.array_remove(F.array_distinct(words), "")
+
+
+def token_overlap(ta: Column, tb: Column) -> Column:
+    """Jaccard overlap of two token sets, 0 when either is empty."""
+    def share(shared):
+        return shared / (F.size(ta) + F.size(tb) - shared)
+    filled = (F.size(ta) > 0) & (F.size(tb) > 0)
+    return F.when(filled, share(F.size(F.array_intersect(ta, tb)))).otherwise(0.0)
 
 
 def addr_overlap(a: Column, b: Column) -> Column:
-    """Jaccard overlap of lower-cased white-space tokens."""
-    ta, tb = _tokens(a), _tokens(b)
-    filled = (strip(text(a)) != "") & (strip(text(b)) != "")
-    overlap = F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
-    return F.when(filled, overlap).otherwise(0.0)
+    return bind(
+        F.struct(tokens(a).alias("a"), tokens(b).alias("b")),
+        lambda s: token_overlap(s["a"], s["b"]))
 
 
-def pincode_match(a: Column, b: Column) -> Column:
+def same_area(x: Column, y: Column) -> Column:
     """1.0 for equal codes, 0.5 for six-digit codes equal but for the last."""
-    x, y = strip(text(a)), strip(text(b))
     near = (
         (F.char_length(x) == 6)
         & (F.char_length(y) == 6)
@@ -42,12 +55,20 @@ def pincode_match(a: Column, b: Column) -> Column:
     )
 
 
-def dob_delta_days(a: Column, b: Column) -> Column:
+def pincode_match(a: Column, b: Column) -> Column:
+    return same_area(strip(text(a)), strip(text(b)))
+
+
+def day_gap(a: Column, b: Column) -> Column:
     """Days between two dates, a large sentinel when either is missing."""
-    days = F.abs(F.datediff(parse_date(a), parse_date(b))).cast("double")
+    days = F.abs(F.datediff(a, b)).cast("double")
     return F.coalesce(days, F.lit(MISSING_DATE_DELTA))
 
 
+def dob_delta_days(a: Column, b: Column) -> Column:
+    return day_gap(parse_date(a), parse_date(b))
+
+
 # The prefix bonus of Winkler's variant and the similarity above
 # which it applies.
 PREFIX_LENGTH = 4
@@ -56,13 +77,25 @@ PREFIX_FROM = 0.7
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro-Winkler similarity of two texts, lower-cased and trimmed.
+    """Jaro-Winkler similarity of two texts, lower-cased and trimmed."""
+    return key_similarity(text_key(a), text_key(b))
+
+
+def key_similarity(a: Column, b: Column) -> Column:
+    """Jaro-Winkler similarity of two text keys."""
+    sides = F.struct(a.alias("x"), b.alias("y"))
+    return bind(sides, lambda s: (
+        F.when((s["x"] == "") | (s["y"] == ""), 0.0)
+        .when(s["x"] == s["y"], 1.0)
+        .otherwise(bind(_jaro(s["x"], s["y"]), lambda j: _boosted(j, s["x"], s["y"])))))
+
+
+def _jaro(x: Column, y: Column) -> Column:
+    """One pass over ``x`` claims equal characters of ``y`` within reach.
 
-    One pass over the characters of ``a`` claims equal characters of ``b``
-    within reach (overwritten by NUL, so that each is claimed once); a second
-    pass over the claimed places counts those that differ in order.
+    A claimed character is overwritten by NUL, so that it is claimed once; a
+    second pass over the claimed places counts those that differ in order.
     """
-    x, y = strip(F.lower(text(a))), strip(F.lower(text(b)))
     lx, ly = F.char_length(x), F.char_length(y)
     one, taken = F.lit(1), F.lit("\0")
     reach = F.greatest((F.greatest(lx, ly) / 2).cast("int") - 1, F.lit(0))
@@ -85,7 +118,7 @@ def jaro_winkler(a: Column, b: Column) -> Column:
                 (s["moved"] + differs.cast("int")).alias("moved"))
         return step
 
-    def jaro(s):
+    def similarity(s):
         m = F.char_length(s["seen"]).cast("double")
         places = F.filter(
             F.sequence(one, ly), lambda p: F.substr(s["rest"], p, one) == taken)
@@ -95,20 +128,19 @@ def jaro_winkler(a: Column, b: Column) -> Column:
         return F.when(
             m > 0, (m / lx + m / ly + (m - moved) / m) / 3).otherwise(0.0)
 
-    similarity = F.aggregate(
+    return F.aggregate(
         F.sequence(one, lx),
-        F.struct(y.alias("rest"), F.lit("").alias("seen")), claim, jaro)
+        F.struct(y.alias("rest"), F.lit("").alias("seen")), claim, similarity)
+
+
+def _boosted(jaro: Column, x: Column, y: Column) -> Column:
     prefix = F.lit(0)
     for n in range(1, PREFIX_LENGTH + 1):
         same = F.left(x, F.lit(n)) == F.left(y, F.lit(n))
-        prefix = F.when(same & (lx >= n) & (ly >= n), n).otherwise(prefix)
-    # The similarity is bound once, because the bonus reads it three times.
-    boosted = F.transform(
-        F.array(similarity),
-        lambda s: F.when(
-            s > PREFIX_FROM, s + prefix * PREFIX_WEIGHT * (1 - s)).otherwise(s))[0]
-    return (
-        F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(boosted))
+        long = (F.char_length(x) >= n) & (F.char_length(y) >= n)
+        prefix = F.when(same & long, n).otherwise(prefix)
+    return F.when(
+        jaro > PREFIX_FROM, jaro + prefix * PREFIX_WEIGHT * (1 - jaro)).otherwise(jaro)
 
 
 def _char_codes(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +211,7 @@ def _jaro_winkler_slice(a: pd.Series, b: pd.Series) -> np.ndarray:
     return np.where(sim > PREFIX_FROM, sim + prefix * PREFIX_WEIGHT * (1 - sim), sim)
 
 
-def jaro_winkler_batch(a: Column, b: Column) -> Column:
+def key_similarity_batch(a: Column, b: Column) -> Column:
     """The same similarity over Arrow batches.
 
     Several times faster than the column expression, whose lambdas Spark
@@ -187,8 +219,12 @@ def jaro_winkler_batch(a: Column, b: Column) -> Column:
     """
     @F.pandas_udf("double")
     def batch(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(_jaro_winkler_kernel(x, y))
-
-    x, y = strip(F.lower(text(a))), strip(F.lower(text(b)))
-    return (
-        F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(batch(x, y)))
+        sim = np.zeros(len(x))
+        differing = np.flatnonzero(x.notna().to_numpy())
+        if len(differing):
+            sim[differing] = _jaro_winkler_kernel(x.iloc[differing], y.iloc[differing])
+        return pd.Series(sim)
+
+    # Python sees only texts that differ.
+    asked = F.when((a != b) & (a != "") & (b != ""), a)
+    return F.when((a == b) & (a != ""), 1.0).otherwise(batch(asked, b))

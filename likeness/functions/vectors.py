@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from likeness.functions.binding import bind
 from likeness.schemas import VECTOR_DIM
 
 
@@ -28,11 +29,12 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Scale to unit length; a zero vector stays zero."""
-    def scale(length):
+    def scale(s):
         return F.when(
-            length > 0, F.transform(v, lambda x: (x / length).cast("float"))
-        ).otherwise(v)
-    return F.transform(F.array(norm(v)), scale)[0]
+            s["length"] > 0,
+            F.transform(s["v"], lambda x: (x / s["length"]).cast("float"))
+        ).otherwise(s["v"])
+    return bind(v, lambda u: bind(F.struct(u.alias("v"), norm(u).alias("length")), scale))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -40,12 +42,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
     def distance(length):
         return (
             F.when(length["a"] * length["b"] > 0,
-                   1 - dot(a, b) / (length["a"] * length["b"]))
+                   F.greatest(1 - dot(a, b) / (length["a"] * length["b"]), F.lit(0.0)))
             .when(length["a"] + length["b"] > 0, 1.0)
             .otherwise(0.0)
         )
-    lengths = F.struct(norm(a).alias("a"), norm(b).alias("b"))
-    return F.transform(F.array(lengths), distance)[0]
+    return bind(F.struct(norm(a).alias("a"), norm(b).alias("b")), distance)
 
 
 def euclidean_distance(a: Column, b: Column) -> Column:
@@ -87,5 +88,5 @@ def hashed_trigram_vector(text: Column, dim: int = VECTOR_DIM) -> Column:
             lambda b: (
                 F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("float"))
 
-    raw = F.transform(F.array(trigram_buckets(text, dim)), counts)[0]
-    return F.transform(F.array(raw), l2_normalise)[0]
+    return bind(
+        text, lambda t: l2_normalise(bind(trigram_buckets(t, dim), counts)))

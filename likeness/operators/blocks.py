@@ -68,7 +68,7 @@ def nearest_in_block(q, q_cluster, m, m_id, m_cluster, k, metric):
     for start in range(0, len(q), TILE_ROWS):
         tile = q[start:start + TILE_ROWS]
         if metric == "cosine":
-            gaps = 1.0 - tile @ m.T
+            gaps = np.maximum(1.0 - tile @ m.T, 0.0)
             slack = 1e-9
         else:
             gaps = straight_gaps(tile, m)
@@ -165,8 +165,10 @@ def nearest_in_blocks(
         F.ceil(F.col("q_rows") / block_rows).cast("int").alias("q_parts"))
 
     def split(side, id_column, own, other):
+        # Fresh aliases keep the two sides apart when both come from one table.
+        fresh = side.select(*[F.col(c).alias(c) for c in side.columns])
         return (
-            side.join(parts, "block")
+            fresh.join(parts, "block")
             .withColumn(own, F.pmod(F.xxhash64(id_column), F.col(f"{own}s")))
             .withColumn(other, F.explode(
                 F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s").cast("bigint") - 1)))

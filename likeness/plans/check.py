@@ -5,17 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likeness.functions.score import feature_columns, with_rule_score
+from likeness.functions.score import compared, feature_columns, with_rule_score
 from likeness.functions.vectors import distance, has_width
 from likeness.operators.keys import shared_key_pairs
 from likeness.operators.neighbours import approximate_nearest, nearest
-from likeness.operators.ranking import verdicts
+from likeness.operators.ranking import top_evidence, verdicts
 from likeness.plans.records import candidate_rows, query_object, with_query_vectors
-from likeness.schemas import EVIDENCE, FEATURES, THRESHOLD, TOP_K, VECTOR_DIM
+from likeness.schemas import EVIDENCE, THRESHOLD, TOP_K, VECTOR_DIM
 
 Scorer = Callable[[DataFrame], DataFrame]
 
-QUERY_FIELDS = [
+FIELDS = [
     "full_name", "dob", "phone_e164", "email_norm", "gov_id_norm",
     "addr_line", "city", "state", "postal_code",
 ]
@@ -79,34 +79,48 @@ def candidate_pairs(
     return pairs
 
 
+def side_columns(df: DataFrame, id_column: str, prefix: str) -> DataFrame:
+    """A record's id and what the features compare of it."""
+    return df.select(id_column, *compared({c: F.col(c) for c in FIELDS}, prefix))
+
+
 def pair_features(
     pairs: DataFrame, queries: DataFrame, candidates: DataFrame, batched: bool = True
 ) -> DataFrame:
-    """Pairs with the candidate's columns and the ten features.
+    """Pairs of ids with their ten features.
 
-    Only ids and distances are ranked before; the wide columns join here, the
-    candidate's first, so that the join by query leaves pairs where the ranking
-    by query needs them.
+    The candidate's side joins first, so that the join by query leaves the pairs
+    where the ranking by query needs them.
     """
-    q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in QUERY_FIELDS])
-    joined = pairs.join(candidates, "customer_id").join(q, "query_id")
-    columns = feature_columns(
-        {c: F.col(f"q_{c}") for c in QUERY_FIELDS},
-        {c: F.col(c) for c in QUERY_FIELDS}, F.col("vdist"), batched)
-    return joined.select(*pairs.columns, *QUERY_FIELDS, *columns)
+    joined = (
+        pairs.join(side_columns(candidates, "customer_id", "c_"), "customer_id")
+        .join(side_columns(queries, "query_id", "q_"), "query_id"))
+    return joined.select(
+        *pairs.columns, *feature_columns("q_", "c_", F.col("vdist"), batched))
 
 
-def scored_candidates(
+def scored_pairs(
     queries: DataFrame,
     master: DataFrame,
     scorer: Scorer = with_rule_score,
     **search,
 ) -> DataFrame:
-    """All candidates of all queries with features and ``score``."""
+    """All candidates of all queries, ids only, with features and ``score``."""
     pairs = candidate_pairs(queries, master, **search)
     return scorer(pair_features(pairs, queries, candidate_rows(master)))
 
 
+def evidence_rows(
+    scored: DataFrame, master: DataFrame, evidence: int = EVIDENCE
+) -> DataFrame:
+    """Each query's best candidates with their customers' columns.
+
+    These join last, for the few candidates that are shown.
+    """
+    top = top_evidence(scored.select("query_id", "customer_id", "vdist", "score"), evidence)
+    return top.join(candidate_rows(master), "customer_id")
+
+
 def check_duplicates(
     applicants: DataFrame,
     master: DataFrame,
@@ -120,5 +134,5 @@ def check_duplicates(
 ) -> DataFrame:
     """Raw applicants with ``query_id`` against the master: one verdict each."""
     queries = with_query_vectors(query_object(applicants, "query_id"), dim, model)
-    scored = scored_candidates(queries, master, scorer, dim=dim, **search)
-    return verdicts(queries, scored.drop(*FEATURES), threshold, evidence)
+    scored = scored_pairs(queries, master, scorer, dim=dim, **search)
+    return verdicts(queries, evidence_rows(scored, master, evidence), threshold)

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.functions.encode import encode_texts
-from likeness.functions.score import feature_columns
+from likeness.functions.score import compared, feature_columns
 from likeness.functions.vectors import distance
-from likeness.plans.check import QUERY_FIELDS
+from likeness.plans.check import FIELDS
 from likeness.plans.pairs import labelled_pairs, pair_source
 from likeness.plans.records import candidate_rows, identity_text, pair_query_object
 from likeness.schemas import FEATURES, MAX_PAIRS, VECTOR_DIM
@@ -37,7 +37,7 @@ def pair_queries(pairs: DataFrame) -> DataFrame:
 def pair_distances(
     queries: DataFrame, customers: DataFrame, metric: str = "cosine"
 ) -> DataFrame:
-    """Each pair with its candidate's columns and their distance.
+    """Each pair with its distance and both sides' compared columns.
 
     ``queries`` have ``cand_customer_id`` and ``vec``. One equi-join takes the
     place of a lookup per pair; pairs whose candidate is unknown are left to
@@ -45,12 +45,14 @@ def pair_distances(
     """
     q = queries.select(
         "cand_customer_id", F.col("vec").alias("q_vec"),
-        *[F.col(c).alias(f"q_{c}") for c in QUERY_FIELDS],
+        *compared({c: F.col(c) for c in FIELDS}, "q_"),
         *[c for c in ("label",) if c in queries.columns])
-    candidates = candidate_rows(customers, "identity_vec").withColumnRenamed(
-        "customer_id", "cand_customer_id")
+    candidates = candidate_rows(customers, "identity_vec")
+    c = candidates.select(
+        F.col("customer_id").alias("cand_customer_id"), "identity_vec",
+        *compared({c: F.col(c) for c in FIELDS}, "c_"))
     return (
-        q.join(candidates, "cand_customer_id")
+        q.join(c, "cand_customer_id")
         .withColumn("vdist", distance(F.col("q_vec"), F.col("identity_vec"), metric))
         .drop("q_vec", "identity_vec"))
 
@@ -83,9 +85,7 @@ def training_features(
         encoded = queries.join(vectors, "identity_text")
     joined = pair_distances(
         encoded.withColumnRenamed("identity_vec", "vec"), customers, metric)
-    columns = feature_columns(
-        {c: F.col(f"q_{c}") for c in QUERY_FIELDS},
-        {c: F.col(c) for c in QUERY_FIELDS}, F.col("vdist"), batched=True)
+    columns = feature_columns("q_", "c_", F.col("vdist"), batched=True)
     return joined.select(*columns, F.col("label").cast("int").alias("label"))
 
 

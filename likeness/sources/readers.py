@@ -36,17 +36,21 @@ def _has_parquet(spark: SparkSession, path: str) -> bool:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """A delimited file with a header, every column read as text.
 
     Types are never inferred, so ``+`` signs and leading zeros stay. Columns
-    come from the header; with a ``schema`` they are bound by position.
+    come from the header; a ``schema`` has to agree with it. Quoted fields may
+    hold line breaks; where none do, ``multiline=False`` lets large files split.
     """
     sep = TEXT_FORMATS.get(os.path.splitext(path)[1].lower(), ",")
     reader = (
         spark.read.option("header", True).option("sep", sep)
-        .option("quote", '"').option("escape", '"').option("multiLine", True))
+        .option("quote", '"').option("escape", '"').option("multiLine", multiline))
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", False)
     return reader.csv(path)
@@ -102,9 +106,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"Unsupported data format for '{path}'")
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Applicants from JSON: an object, an array of them, or one per file."""
-    raw = spark.read.schema(schemas.RAW_PAYLOAD).option("multiLine", True).json(path)
+def read_payloads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Applicants from JSON: per file an object or an array of them.
+
+    With ``lines`` every line is an object, and large files are split.
+    """
+    reader = spark.read.schema(schemas.RAW_PAYLOAD).option("multiLine", not lines)
+    raw = reader.json(path)
     return resolve_aliases(raw)
 
 
