@@ -155,14 +155,15 @@ def nearest_in_blocks(
     """Each query's ``k`` nearest within each ``block`` that it shares.
 
     ``queries`` and ``master`` carry a ``block`` column; ``sizes`` has ``block``,
-    ``m_rows`` and ``q_rows``. A block of more than ``block_rows`` rows on a side
-    is split by a hash of the ids, and the other side's rows go to every part.
-    Blocks absent from ``sizes`` are dropped before any shuffle of vectors.
+    ``m_rows`` and ``q_rows``. A block of more than ``block_rows`` customers, or
+    half as many queries, is split by a hash of the ids, and the other side's rows
+    go to every part. Blocks absent from ``sizes`` are dropped before any shuffle
+    of vectors.
     """
     parts = sizes.select(
         "block",
         F.ceil(F.col("m_rows") / block_rows).cast("int").alias("m_parts"),
-        F.ceil(F.col("q_rows") / block_rows).cast("int").alias("q_parts"))
+        F.ceil(F.col("q_rows") / (block_rows / 2)).cast("int").alias("q_parts"))
 
     def split(side, id_column, own, other):
         # Fresh aliases keep the two sides apart when both come from one table.

@@ -57,9 +57,9 @@ def nearest(
     joined cell by cell: customers are assigned to the nearest of a bounded set of
     pivots, and the triangle inequality tells which cells a query need not visit.
     """
+    few = _few_queries(queries, broadcast_rows)
     queries = queries.filter(F.col("vec").isNotNull())
     master = master.filter(F.col("vec").isNotNull())
-    few = _few_queries(queries, broadcast_rows)
     if few is not None:
         partial = _scan_with(few, master, queries, k, metric)
     else:
@@ -69,9 +69,10 @@ def nearest(
 
 def _few_queries(queries: DataFrame, limit: int) -> pa.Table | None:
     """The queries, when they are few enough for every task; else nothing."""
-    if limit < 1 or queries.limit(limit + 1).select("query_id").count() > limit:
+    if limit < 1 or queries.select("query_id").limit(limit + 1).count() > limit:
         return None
-    table = queries.drop("cluster_size").limit(limit).toArrow()
+    asked = queries.filter(F.col("vec").isNotNull()).drop("cluster_size")
+    table = asked.limit(limit).toArrow()
     return table if table.nbytes <= BROADCAST_BYTES else None
 
 
@@ -127,31 +128,56 @@ def _join_cells(queries, master, k, metric, block_rows, max_pivots):
             _assign(pivots, metric),
             T.StructType([
                 *[master.schema[c] for c in columns],
-                T.StructField("block", T.IntegerType()),
+                T.StructField("cell", T.IntegerType()),
                 T.StructField("reach", T.DoubleType())])),
         "cells")
     # One row per pivot.
-    cells = celled.groupBy("block").agg(
+    cells = celled.groupBy("cell").agg(
         F.count("*").alias("m_rows"), F.max("reach").alias("reach")).collect()
     size, reach = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for cell in cells:
-        size[cell["block"]], reach[cell["block"]] = cell["m_rows"], cell["reach"]
+        size[cell["cell"]], reach[cell["cell"]] = cell["m_rows"], cell["reach"]
+    block = _packed(pivots, size, block_rows)
 
     fields = [queries.schema[c] for c in ("query_id", "vec", "cluster")
               if c in queries.columns and (c != "cluster" or "cluster" in columns)]
     routed = written(
         queries.mapInArrow(
-            _route(pivots, size, reach, k, metric, [f.name for f in fields]),
+            _route(pivots, size, reach, block, k, metric, [f.name for f in fields]),
             T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.IntegerType()))])),
         "routes")
+    # At most one row per pivot again.
     visits = routed.select(F.explode("blocks").alias("block")).groupBy("block").agg(
         F.count("*").alias("q_rows")).collect()
+    m_rows = np.bincount(block, weights=size, minlength=len(pivots)).astype(int)
     sizes = spark.createDataFrame(
-        [(v["block"], int(size[v["block"]]), v["q_rows"]) for v in visits],
+        [(v["block"], int(m_rows[v["block"]]), v["q_rows"]) for v in visits],
         "block int, m_rows bigint, q_rows bigint")
+    blocks_of = spark.createDataFrame(
+        list(enumerate(block.tolist())), "cell int, block int")
     return blocks.nearest_in_blocks(
         routed.select("*", F.explode("blocks").alias("block")).drop("blocks"),
-        celled.drop("reach"), F.broadcast(sizes), k, metric, block_rows)
+        celled.drop("reach").join(F.broadcast(blocks_of), "cell").drop("cell"),
+        F.broadcast(sizes), k, metric, block_rows)
+
+
+def _packed(pivots, size, block_rows):
+    """The block of every cell: small cells close to each other share one.
+
+    Cells are chained from each to its nearest unchained one and cut where a
+    block is full.
+    """
+    gaps = blocks.straight_gaps(pivots, pivots)
+    block, at, filled, n = np.zeros(len(pivots), np.int32), 0, 0, 0
+    left = np.ones(len(pivots), bool)
+    for _ in range(len(pivots)):
+        if filled and filled + size[at] > block_rows:
+            n, filled = n + 1, 0
+        block[at], left[at] = n, False
+        filled += size[at]
+        if left.any():
+            at = int(np.where(left, gaps[at], np.inf).argmin())
+    return block
 
 
 def _assign(pivots, metric):
@@ -164,12 +190,12 @@ def _assign(pivots, metric):
             reach = gaps[np.arange(len(cell)), cell]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell, pa.int32()), pa.array(reach, pa.float64())],
-                names=[*batch.schema.names, "block", "reach"])
+                names=[*batch.schema.names, "cell", "reach"])
     return assign
 
 
-def _route(pivots, size, reach, k, metric, names):
-    """Adds the cells that can hold any of a query's ``k`` nearest.
+def _route(pivots, size, reach, block, k, metric, names):
+    """Adds the blocks with cells that can hold any of a query's ``k`` nearest.
 
     Taking cells by their farthest point until they hold ``k`` customers gives a
     distance within which ``k`` customers surely lie; a cell whose nearest point
@@ -192,7 +218,7 @@ def _route(pivots, size, reach, k, metric, names):
                 enough[rows, place], farthest[rows, order[rows, place]], np.inf)
             scale = 1.0 + np.abs(gaps).max(axis=1, initial=0.0)
             visit = (gaps - reach <= (bound + SLACK * scale)[:, None]) & (size > 0)
-            cells = [np.flatnonzero(v).astype(np.int32) for v in visit]
+            cells = [np.unique(block[v]) for v in visit]
             yield pa.RecordBatch.from_arrays(
                 [*[batch[n] for n in names], pa.array(cells, pa.list_(pa.int32()))],
                 names=[*names, "blocks"])

@@ -45,8 +45,10 @@ def candidate_pairs(
     share a phone, e-mail address or government id. ``hashed``: the ``k`` nearest
     by shared hash buckets, and those that share a key. ``exclude_self`` is for a
     master checked against itself, where a query's id is its customer id.
+
+    Customers with a vector of another width are no candidates; the queries have
+    theirs from the encoder, at the right width.
     """
-    queries, _ = split_by_width(queries, dim)
     master, _ = split_by_width(master, dim)
     q = queries.withColumnRenamed("identity_vec", "vec")
     m = master.withColumnRenamed("identity_vec", "vec")
