@@ -252,6 +252,9 @@ def approximate_nearest(
     """
     queries = queries.filter(F.col("vec").isNotNull())
     master = master.filter(F.col("vec").isNotNull())
+    if master.isEmpty():
+        return blocks.merge_nearest(
+            master.sparkSession.createDataFrame([], blocks.result_schema(queries)), k)
     model = BucketedRandomProjectionLSH(
         inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
         numHashTables=tables * projections, seed=seed,

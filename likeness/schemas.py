@@ -48,7 +48,7 @@ CUSTOMER = T.StructType([
     T.StructField("postal_code", _S),
     T.StructField("country", _S),
     T.StructField("identity_text", _S),
-    T.StructField("identity_vec", T.ArrayType(T.FloatType(), False)),
+    T.StructField("identity_vec", T.ArrayType(T.FloatType())),
     T.StructField("created_at", T.TimestampType()),
 ])
 
