@@ -138,7 +138,10 @@ def fit_penalised(
     d = len(x)
 
     def sums(w):
-        margin = sum((c * float(v) for c, v in zip(x, w)), F.lit(0.0))
+        # As an array the coefficients stay out of the generated code, which is
+        # then compiled for the first step only.
+        products = F.zip_with(F.array(*x), F.lit([float(v) for v in w]), lambda a, b: a * b)
+        margin = F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
         at = weighted.withColumn("m", margin)
         # log(1 + exp(m)) and its derivatives, safe for margins of any size.
         tail = F.exp(-F.abs("m"))

@@ -10,7 +10,7 @@ from likeness.plans.records import pair_query_columns
 from likeness.sources import readers
 from likeness.sources.checkpoints import checkpoint_dir
 from likeness.sources.master import scan_customers
-from likeness.sources.sinks import write_pairs
+from likeness.sources.sinks import CSV_OPTIONS, write_pairs
 from likeness.sources.vector_cache import cached_vectors
 from querybook.base import (
     applicants, customers, query, rounded, sql_cust, sql_fx, sql_vec, table)
@@ -34,14 +34,14 @@ def _filled(df):
 @query("s1_csv_scan", sql_fx(_RAW_SQL))
 def s1(spark, sf_dir):
     path = _new_path(spark, "applicants.csv")
-    applicants(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
+    applicants(spark, sf_dir).write.options(**CSV_OPTIONS).csv(path)
     return _filled(readers.read_table(spark, path))
 
 
 @query("s1_tsv_scan", sql_fx(_RAW_SQL))
 def s1_tsv(spark, sf_dir):
     path = _new_path(spark, "applicants.tsv")
-    applicants(spark, sf_dir).write.option("header", True).option("sep", "\t").csv(path)
+    applicants(spark, sf_dir).write.options(**CSV_OPTIONS, sep="\t").csv(path)
     return _filled(readers.read_table(spark, path))
 
 
