@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from likeness.operators import blocks
-from likeness.operators.neighbours import block_sizes
+from likeness.operators.neighbours import block_sizes, kept_copies
 from likeness.sources.checkpoints import written
 
 KEYS = {"phone": "phone_e164", "email": "email_norm", "gov_id": "gov_id_norm"}
@@ -46,7 +46,8 @@ def shared_key_pairs(
     hot = holders.filter(F.size("ids") > k).select("block")
     if not hot.isEmpty():
         q = key_rows(queries, "query_id", "vec").join(hot, "block", "left_semi")
-        m = key_rows(master, "customer_id", "vec").join(hot, "block", "left_semi")
+        m = kept_copies(
+            key_rows(master, "customer_id", "vec").join(hot, "block", "left_semi"), k)
         near = blocks.nearest_in_blocks(
             q, m, block_sizes(q, m), k, metric, block_rows)
         listed = listed.unionByName(

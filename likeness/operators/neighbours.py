@@ -23,18 +23,35 @@ MAX_PIVOTS = 1024
 SLACK = 1e-6
 
 
-def _kept_copies(master: DataFrame, k: int) -> DataFrame:
+def kept_copies(master: DataFrame, k: int) -> DataFrame:
     """At most ``k`` rows of each group of equal vectors, those of lowest id.
 
     More of them can never be among the ``k`` nearest of any query, as ids settle
-    ties; so a group of copies stays small whatever its share of the table. Ranks
-    are filtered within each task before the shuffle.
+    ties; so a group of copies stays small whatever its share of the table. Copies
+    are told apart by ``cluster`` and ``block`` where there are such columns.
+
+    Hashes are counted first, map-side. Only rows of a hash held by more than
+    ``k`` are shuffled, ranked within each task before that; the rest stays put.
     """
-    by = [c for c in ("cluster",) if c in master.columns]
-    order = Window.partitionBy(F.xxhash64("vec"), "vec", *by).orderBy("customer_id")
-    return (
-        master.withColumn("_copy", F.row_number().over(order))
-        .filter(F.col("_copy") <= k).drop("_copy"))
+    by = [c for c in ("cluster", "block") if c in master.columns]
+    hashed = master.withColumn("_hash", F.xxhash64("vec", *by))
+    often = written(
+        hashed.groupBy("_hash").agg(F.count("*").alias("n"))
+        .filter(F.col("n") > k).select("_hash"), "copied")
+    if often.isEmpty():
+        return master
+    order = Window.partitionBy("_hash", "vec", *by).orderBy("customer_id")
+    few = (
+        hashed.join(often, "_hash", "left_semi")
+        .withColumn("_copy", F.row_number().over(order)).filter(F.col("_copy") <= k))
+    rest = hashed.join(often, "_hash", "left_anti")
+    return rest.select(*master.columns).unionByName(few.select(*master.columns))
+
+
+def _with_vectors(side: DataFrame, dim: int | None) -> DataFrame:
+    """Rows that have a vector, of the right width where one is named."""
+    side = side.filter(F.col("vec").isNotNull())
+    return side if dim is None else side.filter(F.size("vec") == dim)
 
 
 def nearest(
@@ -43,6 +60,7 @@ def nearest(
     k: int,
     metric: str = "cosine",
     *,
+    dim: int | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
     max_pivots: int = MAX_PIVOTS,
@@ -51,19 +69,22 @@ def nearest(
 
     ``queries``: ``query_id``, ``vec``; ``master``: ``customer_id``, ``vec``. When
     both also have ``cluster``, customers of a query's own cluster are left out;
-    ``queries`` then has ``cluster_size``, at least the number of those.
+    ``queries`` then has ``cluster_size``, at least the number of those. Customers
+    without a vector, or of another width than ``dim``, are nobody's neighbours.
 
     A few queries are sent to every task of one scan of the master. More are
     joined cell by cell: customers are assigned to the nearest of a bounded set of
     pivots, and the triangle inequality tells which cells a query need not visit.
     """
     few = _few_queries(queries, broadcast_rows)
-    queries = queries.filter(F.col("vec").isNotNull())
-    master = master.filter(F.col("vec").isNotNull())
     if few is not None:
-        partial = _scan_with(few, master, queries, k, metric)
+        partial = _scan_with(few, _with_vectors(master, dim), queries, k, metric)
     else:
-        partial = _join_cells(queries, master, k, metric, block_rows, max_pivots)
+        # Counted without the vectors, so that no vector is read for it.
+        rows = master.select("customer_id").count()
+        partial = _join_cells(
+            _with_vectors(queries, dim), _with_vectors(master, dim), rows,
+            k, metric, block_rows, max_pivots)
     return blocks.merge_nearest(partial, k)
 
 
@@ -106,25 +127,32 @@ def _scan_with(few, master, queries, k, metric):
     return master.select(*columns).mapInArrow(scan, blocks.result_schema(queries))
 
 
-def _pivots(master: DataFrame, count: int, metric: str) -> np.ndarray:
-    """A bounded, repeatable choice of distinct customers' vectors."""
-    chosen = (
-        master.select("customer_id", "vec")
-        .orderBy(F.xxhash64("customer_id"), "customer_id").limit(count).toArrow())
+def _pivots(master: DataFrame, rows: int, count: int, metric: str) -> np.ndarray:
+    """A bounded, repeatable choice of distinct customers' vectors.
+
+    Ids are thinned out by their hash first, so that few rows are sorted.
+    """
+    place = F.xxhash64("customer_id")
+    thin = place.bitwiseAND((1 << 31) - 1) < int(min(1.0, 4 * count / rows) * (1 << 31))
+    candidates = master.select("customer_id", "vec")
+    for some in (candidates.filter(thin), candidates):
+        chosen = some.orderBy(place, "customer_id").limit(count).toArrow()
+        if chosen.num_rows:
+            break
     return np.unique(
         blocks.in_metric_space(blocks.matrix(chosen["vec"]), metric), axis=0)
 
 
-def _join_cells(queries, master, k, metric, block_rows, max_pivots):
+def _join_cells(queries, master, rows, k, metric, block_rows, max_pivots):
     spark = master.sparkSession
-    rows = master.select("customer_id").count()
-    if not rows:
+    if not rows or master.isEmpty():
         return spark.createDataFrame([], blocks.result_schema(queries))
-    pivots = _pivots(master, min(max_pivots, math.ceil(4 * rows / block_rows)), metric)
+    pivots = _pivots(
+        master, rows, min(max_pivots, math.ceil(4 * rows / block_rows)), metric)
 
     columns = [c for c in ("customer_id", "vec", "cluster") if c in master.columns]
     celled = written(
-        _kept_copies(master.select(*columns), k).mapInArrow(
+        kept_copies(master.select(*columns), k).mapInArrow(
             _assign(pivots, metric),
             T.StructType([
                 *[master.schema[c] for c in columns],
@@ -238,6 +266,7 @@ def approximate_nearest(
     k: int,
     metric: str = "cosine",
     *,
+    dim: int | None = None,
     tables: int = 8,
     projections: int = 4,
     bucket_length: float = 0.25,
@@ -250,8 +279,7 @@ def approximate_nearest(
     are exact; a neighbour that shares no bucket is missed. A bucket is a block
     like any other, so a hot one is split instead of paired up.
     """
-    queries = queries.filter(F.col("vec").isNotNull())
-    master = master.filter(F.col("vec").isNotNull())
+    queries, master = _with_vectors(queries, dim), _with_vectors(master, dim)
     if master.isEmpty():
         return blocks.merge_nearest(
             master.sparkSession.createDataFrame([], blocks.result_schema(queries)), k)
@@ -274,7 +302,7 @@ def approximate_nearest(
             for t in range(tables)])
         return hashed.select(*columns, F.explode(keys).alias("block"))
 
-    q, m = bucketed(queries), written(bucketed(_kept_copies(master, k)), "buckets")
+    q, m = bucketed(queries), written(bucketed(kept_copies(master, k)), "buckets")
     partial = blocks.nearest_in_blocks(
         q, m, block_sizes(q, m), k, metric, block_rows)
     found = partial.groupBy("query_id", "customer_id").agg(F.min("vdist").alias("vdist"))

@@ -11,7 +11,8 @@ from likeness.operators.keys import shared_key_pairs
 from likeness.operators.neighbours import approximate_nearest, nearest
 from likeness.operators.ranking import top_evidence, verdicts
 from likeness.plans.records import candidate_rows, query_object, with_query_vectors
-from likeness.schemas import EVIDENCE, THRESHOLD, TOP_K, VECTOR_DIM
+from likeness.schemas import EVIDENCE, RAW_FIELDS, THRESHOLD, TOP_K, VECTOR_DIM
+from likeness.sources.checkpoints import written
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -49,7 +50,6 @@ def candidate_pairs(
     Customers with a vector of another width are no candidates; the queries have
     theirs from the encoder, at the right width.
     """
-    master, _ = split_by_width(master, dim)
     q = queries.withColumnRenamed("identity_vec", "vec")
     m = master.withColumnRenamed("identity_vec", "vec")
     if exclude_self:
@@ -62,9 +62,10 @@ def candidate_pairs(
     pairs = None
     if method in ("exact", "hashed"):
         search = nearest if method == "exact" else approximate_nearest
-        pairs = search(q_vec, m_vec, k, metric, **options).select(
+        pairs = search(q_vec, m_vec, k, metric, dim=dim, **options).select(
             "query_id", "customer_id", "vdist")
     if method in ("keys", "hashed"):
+        m = m.filter(has_width(F.col("vec"), dim))
         keyed = shared_key_pairs(q, m, k, metric)
         if exclude_self:
             keyed = keyed.filter(F.col("query_id") != F.col("customer_id"))
@@ -134,7 +135,30 @@ def check_duplicates(
     model: Callable[[Column], Column] | None = None,
     **search,
 ) -> DataFrame:
-    """Raw applicants with ``query_id`` against the master: one verdict each."""
-    queries = with_query_vectors(query_object(applicants, "query_id"), dim, model)
-    scored = scored_pairs(queries, master, scorer, dim=dim, **search)
-    return verdicts(queries, evidence_rows(scored, master, evidence), threshold)
+    """Raw applicants with ``query_id`` against the master: one verdict each.
+
+    Equal applicants are checked once and share the verdict, so that copies cost
+    no more than a join.
+    """
+    def prepared(asked, *keep):
+        # Several steps read the queries; they are normalised and encoded once.
+        return written(with_query_vectors(
+            query_object(asked, "query_id", *keep), dim, model), "queries")
+
+    def verdicts_of(queries):
+        scored = scored_pairs(queries, master, scorer, dim=dim, **search)
+        return verdicts(queries, evidence_rows(scored, master, evidence), threshold)
+
+    if search.get("exclude_self"):
+        return verdicts_of(prepared(applicants))
+    record = F.md5(F.to_json(
+        F.struct(*RAW_FIELDS), {"ignoreNullFields": "false"}).cast("binary"))
+    asked = applicants.select("query_id", record.alias("record"), *RAW_FIELDS)
+    # Spread by number, not by size: a text is small, its vector and search are not.
+    parts = int(applicants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = asked.select("record", *RAW_FIELDS).distinct().repartition(parts, "record")
+    # Short ids for the pairs; they are fixed by the table they are written to.
+    queries = prepared(
+        once.withColumn("query_id", F.monotonically_increasing_id()), "record")
+    found = queries.select("query_id", "record").join(verdicts_of(queries), "query_id")
+    return asked.select("query_id", "record").join(found.drop("query_id"), "record").drop("record")
