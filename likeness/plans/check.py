@@ -155,7 +155,10 @@ def check_duplicates(
         F.struct(*RAW_FIELDS), {"ignoreNullFields": "false"}).cast("binary"))
     asked = applicants.select("query_id", record.alias("record"), *RAW_FIELDS)
     # Spread by number, not by size: a text is small, its vector and search are not.
-    parts = int(applicants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = applicants.sparkSession
+    parts = min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        4 * spark.sparkContext.defaultParallelism)
     once = asked.select("record", *RAW_FIELDS).distinct().repartition(parts, "record")
     # Short ids for the pairs; they are fixed by the table they are written to.
     queries = prepared(
