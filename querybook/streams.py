@@ -8,8 +8,7 @@ from likeness.sources.checkpoints import checkpoint_dir
 from likeness.sources.master import append_customers, read_master
 from likeness.streaming.jobs import (
     applicant_stream, check_stream, daily_counts, holder_counts, ingest_stream)
-from querybook.base import (
-    AS_OF, applicants, customers, query, rounded, sql_cust)
+from querybook.base import AS_OF, applicants, customers, query, sql_cust
 from querybook.checks import _KEYED, _VERDICT, _verdict, check_sql
 
 
