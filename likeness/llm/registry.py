@@ -1,9 +1,11 @@
 """The queries of this package, and the SQL that some have to agree with."""
 
-from likeness.llm import contamination
+from likeness.llm import contamination, neardup, toxicity
 
 QUERIES = {
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_contamination": contamination.op8_contamination,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 ORACLES = {
     "op8_contamination": contamination.ORACLE,

@@ -83,7 +83,8 @@ def _powers(n: int, known={}) -> tuple[np.ndarray, np.ndarray]:
     return known["up"], known["down"]
 
 
-def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes that begin in ascending order."""
     found = np.empty(len(begin), np.uint64)
     i = 0
     while i < len(begin):
@@ -98,17 +99,22 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(found + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words_of(column: pa.Array, word_bytes: np.ndarray) -> Words:
-    """The words of a column of texts, in order."""
-    data, bounds = utf8(column)
+def word_bounds(data: np.ndarray, bounds: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in the bytes of texts that begin at ``bounds``."""
     inside = word_bytes[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[bounds] = True  # words end where texts do
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1] | cut[1:-1]
     closes[:-1] &= ~inside[1:] | cut[1:-1]
-    begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Words(_hashes(data, begin, end), np.searchsorted(begin, bounds))
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def words_of(column: pa.Array, word_bytes: np.ndarray) -> Words:
+    """The words of a column of texts, in order."""
+    data, bounds = utf8(column)
+    begin, end = word_bounds(data, bounds, word_bytes)
+    return Words(span_hashes(data, begin, end), np.searchsorted(begin, bounds))
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
