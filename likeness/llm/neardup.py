@@ -7,7 +7,10 @@
    They are those with the longest common prefix, so that depth adapts: in an empty
    region four equal minima suffice, in a crowded one neighbours agree on up to twelve. Two
    sets of similarity 0.8 agree on the first four in some tree with a chance of
-   1 - (1 - 0.8^4)^32 = 0.99999995.
+   1 - (1 - 0.8^4)^32 = 0.99999995. The first pass takes the next neighbour in each
+   tree; the second, once the links of the first are known, looks further and passes over
+   neighbours that are connected already. So a crowd of copies gives few candidates,
+   and does not hide other documents behind it.
 3. Candidates are confirmed on full sets, in cells of bounded size: the connected
    candidates of a region meet in one cell; if they are too many they are dealt to
    several, and what crosses cells is confirmed afterwards, first the best pair of any
@@ -36,7 +39,8 @@ HASHES = 128
 TREES = 32
 DEPTH = 4
 DEEPER = 8
-NEIGHBOURS = 4
+#: How many next neighbours are looked at in the first and in the second pass.
+REACH = (1, 6)
 SLICE_BYTES = 1 << 19
 #: About how many documents and shingles meet in one cell.
 CELL_DOCS = 1000
@@ -111,16 +115,17 @@ def _signatures(n: int):
     return run
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """``a, b, votes`` of forest neighbours; ``classes`` has ``node`` and ``trees``."""
+def candidates(classes: DataFrame, reach: int) -> DataFrame:
+    """``a, b, votes`` of forest neighbours that are not in one component yet.
+
+    ``classes`` has ``node``, ``component`` and ``trees``.
+    """
     order = W.partitionBy("tree", "head").orderBy("tail", "node")
-    rows = classes.select("node", F.posexplode("trees").alias("tree", "key")).select(
-        "tree", "node", "key.head", "key.tail")
-    near = rows.select("node", "tail", *[
-        F.lead(F.struct("node", "tail"), i).over(order).alias(f"n{i}")
-        for i in range(1, NEIGHBOURS + 1)]).where("n1 IS NOT NULL")
-    pairs = near.select("node", "tail", F.explode(F.filter(
-        F.array(*[f"n{i}" for i in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull())).alias("n"))
+    rows = classes.select("node", "component", F.posexplode("trees").alias("tree", "key")).select(
+        "tree", "node", "component", "key.head", "key.tail")
+    following = F.array(*[F.lead(F.struct("node", "tail", "component"), i).over(order) for i in range(1, reach + 1)])
+    pairs = rows.withColumn("near", following).select("node", "tail", F.explode(F.filter(
+        "near", lambda x: x.isNotNull() & (x["component"] != F.col("component")))).alias("n"))
     differing = F.col("tail").bitwiseXOR(F.col("n.tail"))
     common = F.lit(DEEPER)
     for i in range(DEEPER):  # bytes that agree, from the highest
@@ -249,12 +254,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     members = full.groupBy(*digest).agg(F.min("doc_id").alias("node"))
     classes = full.join(members.withColumnRenamed("node", "doc_id"), [*digest, "doc_id"]).select(
         F.col("doc_id").alias("node"), "n_shingles", "trees")
-    pairs = written(candidates(classes), "candidates")
     sizes = members.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
-    links = _links(pairs, sizes, docs, n, percent)
     # Rows of one id hold together through it, rows of one class through their digest.
-    same = full.join(members, digest).where("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.select("a", "b").unionByName(same))
+    links = full.join(members, digest).where("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    for reach in REACH:
+        found = components(links)
+        labelled = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = written(candidates(labelled, reach), "candidates")
+        links = links.unionByName(_links(pairs, sizes, docs, n, percent))
+    found = components(links)
     return rows.select("doc_id", "n_shingles").join(
         found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
