@@ -1,12 +1,20 @@
 """The queries of this package, and the SQL that some have to agree with."""
 
-from likeness.llm import contamination, neardup, toxicity
+from likeness.llm import contamination, htmltext, language, neardup, packing, pii, tokenfiles, topk, toxicity
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_topk": topk.op2_topk,
+    "op3_tokens": tokenfiles.op3_tokens,
+    "op4_main_text": htmltext.op4_main_text,
+    "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_contamination": contamination.op8_contamination,
+    "op9_pii": pii.op9_pii,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 ORACLES = {
+    "op2_topk": topk.ORACLE,
     "op8_contamination": contamination.ORACLE,
+    "op9_pii": pii.ORACLE,
 }
