@@ -190,16 +190,16 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, item: str = "item_id",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col("text"))
     found = []
     for b, items in enumerate(_blocks(benchmark, item, text, block_words)):
-        schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", " + FOUND
-        rows = rows.mapInArrow(_find(Suffixes(items, window)), schema)
+        schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "words") + ", " + FOUND
+        rows = rows.drop("words").mapInArrow(_find(Suffixes(items, window)), schema)
         one = {c: f"{c}{b}" for c in ("hits", "items", "longest")}
         rows = rows.withColumnsRenamed(one).withColumnRenamed("n_words", "words")
         found.append(one)
-        rows = rows.select("doc", "text", F.col("words").alias(f"words{b}"), *[c for f in found for c in f.values()])
+        rows = rows.select("doc", "text", F.col("words"), *[c for f in found for c in f.values()])
     merged = F.array_sort(F.concat(*[F.col(f["hits"]) for f in found]))
     return rows.select(
         *[F.col("doc")[c].alias(c) for c in kept],
-        F.col("words0").alias("n_words"),
+        F.col("words").alias("n_words"),
         (merged if len(found) == 1 else _union(merged)).alias("matches"),
         F.array_sort(F.array_distinct(F.concat(*[F.col(f["items"]) for f in found]))).alias("match_items"),
         F.greatest(*[F.col(f["longest"]) for f in found], F.lit(0)).alias("longest_match"))

@@ -32,7 +32,7 @@ KINDS = [
     ("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|debit|karte|carte|tarjeta"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile|fax"),
     ("iban", r"[A-Z][A-Z][0-9][0-9][A-Z0-9]{11,30}", 0.8, "iban|account|bank|konto|compte|cuenta"),
-    ("ssn", r"[0-9]++-[0-9]++-[0-9]++", 0.4, "ssn|social security|tax id|passport"),
+    ("ssn", r"(?:(?<![0-9])|\G)[0-9]++-[0-9]++-[0-9]++", 0.4, "ssn|social security|tax id|passport"),
 ]
 BASE = [k for k, *_ in KINDS[:4]]
 THRESHOLD = 0.6
@@ -58,7 +58,7 @@ def _valid(kind: str, value: Column) -> Column:
         return F.forall(parts, lambda p: (F.length(p) == 0) | (F.length(p) <= 3) & (F.substring(p, 1, 3).cast("int") <= 255))
     if kind == "card":
         digits = F.translate(value, " -", "")
-        return F.length(digits).between(12, 19) & F.luhn_check(digits)
+        return F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(F.regexp_replace(value, "[^0-9]", "")).between(9, 15)
     if kind == "iban":
@@ -111,7 +111,10 @@ def _spans(number: int, text: Column, found: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``spans``: start, kind (number in ``KINDS``), end, value, score; in order."""
+    """``docs`` and ``spans``: start, kind (number in ``KINDS``), end, value, score; in order.
+
+    A column of that name is replaced.
+    """
     docs = docs.drop("spans", *[f"_{k}" for k, *_ in KINDS])
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
@@ -133,7 +136,7 @@ def rendered(spans: Column, base_only: bool) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets.
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets.
 
     Of overlapping spans the first counts, and what juts out of it goes too.
     """
@@ -149,7 +152,9 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
     clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate("spans", start, step, finish))
-    return with_spans(docs).withColumn("text", clean).select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return with_spans(rows).select(*[
+        (clean if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,14 +176,14 @@ def _oracle() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z][A-Z][0-9][0-9][A-Z0-9]{11,30}",
         "ssn": r"[0-9]+-[0-9]+-[0-9]+"}
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
-    luhn = (f"list_sum(list_transform(range(1, length({digits}) + 1), i -> "
+    luhn = (f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: "
             f"CASE WHEN (length({digits}) - i) % 2 = 1 THEN 2 * CAST({digits}[i] AS INT) - 9 * CAST(CAST({digits}[i] AS INT) > 4 AS INT) "
             f"ELSE CAST({digits}[i] AS INT) END)) % 10 = 0")
     turned = "string_split(substr(v, 5) || substr(v, 1, 4), '')"
-    remainder = (f"list_reduce(list_transform({turned}, c -> CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END), "
-                 f"(r, x) -> CASE WHEN x > 9 THEN (r * 100 + x) % 97 ELSE (r * 10 + x) % 97 END, 0)")
+    remainder = (f"list_reduce(list_transform({turned}, lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END), "
+                 f"lambda r, x: CASE WHEN x > 9 THEN (r * 100 + x) % 97 ELSE (r * 10 + x) % 97 END, 0)")
     valid = {
-        "email": "true", "ip": "list_bool_and(list_transform(string_split(v, '.'), p -> CAST(p AS HUGEINT) <= 255))",
+        "email": "true", "ip": "list_bool_and(list_transform(string_split(v, '.'), lambda p: CAST(p AS HUGEINT) <= 255))",
         "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 9 AND 15",
         "iban": f"{remainder} = 1", "ssn": "regexp_full_match(v, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"}
     parts = []
@@ -187,8 +192,8 @@ def _oracle() -> str:
         parts.append(f"""
 SELECT doc_id, {i} AS kind, '{kind}' AS name, s, s + length(v) AS e FROM (
   SELECT doc_id, v, b, CASE WHEN {valid[kind]} THEN s END AS s FROM (
-    SELECT doc_id, m[i] AS v, p[i] AS b, CAST(list_sum(list_transform(p[1:i], x -> length(x)))
-      + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0) AS BIGINT) AS s
+    SELECT doc_id, m[i] AS v, p[i] AS b, CAST(list_sum(list_transform(p[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
     FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
       SELECT doc_id, regexp_extract_all(t, '{plain[kind]}') AS m, string_split_regex(t, '{plain[kind]}') AS p FROM d))))
 WHERE s IS NOT NULL{needs}""")

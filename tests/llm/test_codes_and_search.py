@@ -107,7 +107,7 @@ def test_threshold_search_stops_early():
             return order[key]
     block.order = Watched()
     block.search(q[0], np.arange(len(vectors)), -1, 5, depths, block.thresholds(q, depths)[0])
-    assert len(reads) == 2 and reads[-1][0].stop <= 16 * topk.STRETCH
+    assert len(reads) == 2 and reads[-1].stop <= 16 * topk.STRETCH
 
 
 def _plain_best_fit(pieces, capacity):
