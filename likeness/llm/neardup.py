@@ -2,15 +2,15 @@
 
 1. A text becomes its set of word shingles, the set a digest and 128 minima. Equal sets
    form one class by digest; only the class member with the smallest id goes on.
-2. 32 orders of the signatures (trees) start with four different minima each. In each
+2. 64 orders of the signatures (trees) start with four minima each, different ones. In each
    order a document's next neighbours with the same first four minima are candidates.
    They are those with the longest common prefix, so that depth adapts: in an empty
    region four equal minima suffice, in a crowded one neighbours agree on up to twelve. Two
-   sets of similarity 0.8 agree on the first four in some tree with a chance of
-   1 - (1 - 0.8^4)^32 = 0.99999995. The first pass takes the next neighbour in each
-   tree; the second, once the links of the first are known, looks further and passes over
-   neighbours that are connected already. So a crowd of copies gives few candidates,
-   and does not hide other documents behind it.
+   sets of similarity 0.8 agree on the first four in one of the first 32 trees alone with a
+   chance of 1 - (1 - 0.8^4)^32 = 0.99999995. The first pass takes, in 32 trees, the next neighbours,
+   and confirms each document's two likeliest; the second, once the links of the first are
+   known, looks further in all trees, takes all that it finds, and passes over neighbours
+   that are connected already. So a crowd of copies gives few candidates.
 3. Candidates are confirmed on full sets, in cells of bounded size: the connected
    candidates of a region meet in one cell; if they are too many they are dealt to
    several, and what crosses cells is confirmed afterwards, first the best pair of any
@@ -36,15 +36,22 @@ from likeness.llm.words import VISIBLE, mix, runs, slices, words_of
 from likeness.sources.checkpoints import written
 
 HASHES = 128
-TREES = 32
+#: Trees of the first pass, and of the second.
+FEW_TREES = 32
+TREES = 64
 DEPTH = 4
 DEEPER = 8
-#: How many next neighbours are looked at in the first and in the second pass.
-REACH = (1, 6)
+#: How many next neighbours the second pass looks at.
+REACH = 4
+#: How many of its candidates each document has confirmed in the first pass.
+FIRST = 2
 SLICE_BYTES = 1 << 19
 #: About how many documents and shingles meet in one cell.
-CELL_DOCS = 1000
+CELL_DOCS = 4000
 CELL_SHINGLES = 2_000_000
+# Which minima a tree compares, in order: runs of the signature, then steps of 32 through it.
+_T, _J = np.arange(FEW_TREES)[:, None], np.arange(DEPTH + DEEPER)
+MINIMA = np.concatenate([_T * DEPTH + _J, _T + 32 * (_J % 4) + 5 * (_J // 4)]) % HASHES
 MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -79,13 +86,12 @@ def forest_keys(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     for k in range(HASHES):
         np.multiply(x, MULTIPLIERS[k], out=product)
         np.minimum.reduceat(product, first[:-1], out=minima[k])
-    at = np.arange(TREES) * DEPTH
     head = np.zeros((TREES, len(first) - 1), np.uint64)
     tail = np.zeros_like(head)
     for j in range(DEPTH):
-        head = head << np.uint64(16) | (minima[at + j] & np.uint32(0xFFFF))
+        head = head << np.uint64(16) | (minima[MINIMA[:, j]] & np.uint32(0xFFFF))
     for j in range(DEPTH, DEPTH + DEEPER):
-        tail = tail << np.uint64(8) | (minima[(at + j) % HASHES] & np.uint32(0xFF))
+        tail = tail << np.uint64(8) | (minima[MINIMA[:, j]] & np.uint32(0xFF))
     return head.view(np.int64), tail.view(np.int64)
 
 
@@ -116,26 +122,38 @@ def _signatures(n: int):
 
 
 def candidates(classes: DataFrame, reach: int) -> DataFrame:
-    """``a, b, votes`` of forest neighbours that are not in one component yet.
+    """``a, b, cell_a, cell_b, votes`` of forest neighbours that are not in one component.
 
-    ``classes`` has ``node``, ``component`` and ``trees``.
+    ``classes`` has ``node``, ``component``, ``cell`` and ``trees``.
     """
     order = W.partitionBy("tree", "head").orderBy("tail", "node")
-    rows = classes.select("node", "component", F.posexplode("trees").alias("tree", "key")).select(
-        "tree", "node", "component", "key.head", "key.tail")
-    following = F.array(*[F.lead(F.struct("node", "tail", "component"), i).over(order) for i in range(1, reach + 1)])
-    pairs = rows.withColumn("near", following).select("node", "tail", F.explode(F.filter(
+    own = ["node", "component", "cell"]
+    rows = classes.select(*own, F.posexplode("trees").alias("tree", "key")).select(
+        "tree", *own, "key.head", "key.tail")
+    following = F.array(*[F.lead(F.struct("node", "tail", "component", "cell"), i).over(order)
+                          for i in range(1, reach + 1)])
+    pairs = rows.withColumn("near", following).select("node", "tail", "cell", F.explode(F.filter(
         "near", lambda x: x.isNotNull() & (x["component"] != F.col("component")))).alias("n"))
     differing = F.col("tail").bitwiseXOR(F.col("n.tail"))
     common = F.lit(DEEPER)
     for i in range(DEEPER):  # bytes that agree, from the highest
         common = F.when(F.shiftrightunsigned(differing, 8 * i) != 0, F.lit(DEEPER - 1 - i)).otherwise(common)
-    return pairs.select(
+    less = F.col("node") < F.col("n.node")
+    return pairs.where("node <> n.node").select(
         F.least("node", "n.node").alias("a"), F.greatest("node", "n.node").alias("b"),
-        (common + DEPTH).alias("depth")).where("a <> b").groupBy("a", "b").agg(
+        F.when(less, F.col("cell")).otherwise(F.col("n.cell")).alias("cell_a"),
+        F.when(less, F.col("n.cell")).otherwise(F.col("cell")).alias("cell_b"),
+        (common + DEPTH).alias("depth")).groupBy("a", "b", "cell_a", "cell_b").agg(
             F.sum("depth").alias("votes"))
 
 
+def likeliest(pairs: DataFrame, n: int) -> DataFrame:
+    """The pairs that are among the ``n`` with most votes of either document."""
+    order = W.partitionBy("doc").orderBy(F.col("votes").desc(), "a", "b")
+    return pairs.withColumn("doc", F.explode(F.array("a", "b"))).withColumn(
+        "place", F.row_number().over(order)).where(F.col("place") <= n).select("a", "b", "votes").distinct()
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """``100 * intersection >= percent * union`` of two sorted sets."""
     small, large = sorted((len(x), len(y)))
@@ -200,33 +218,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         _confirm_pairs(n, percent), "a long, b long").distinct()
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Confirmed links enough to connect all that the candidates can connect."""
-    region = components(pairs)
+def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``node, cell`` of all documents with candidates; ``sizes`` has ``node, n_shingles``."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
-        region, "node", "left").withColumn("region", F.coalesce("component", "node")).join(
-            classes.select("node", "n_shingles"), "node")
-    sizes = nodes.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    parts = sizes.select("region", "docs", "shingles", F.greatest(
+        components(pairs), "node", "left").withColumn("region", F.coalesce("component", "node")).join(
+            sizes, "node")
+    regions = nodes.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    parts = regions.select("region", F.greatest(
         F.ceil(F.col("docs") / CELL_DOCS), F.ceil(F.col("shingles") / CELL_SHINGLES)).alias("parts"))
-    total = sizes.agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).first()
-    cells = max(1, -(-(total["docs"] or 0) // CELL_DOCS), -(-(total["shingles"] or 0) // CELL_SHINGLES))
+    total = regions.agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).first()
+    cells = max(1, -(-4 * (total["docs"] or 0) // CELL_DOCS), -(-(total["shingles"] or 0) // CELL_SHINGLES))
     # A region of one part goes to a cell whole, one of several with a part to each.
-    placed = written(nodes.join(parts, "region").select(
-        "node", F.pmod(F.xxhash64("region", F.pmod(F.xxhash64("node"), "parts")), F.lit(cells)).cast("int").alias("cell"),
-        (F.col("parts") > 1).alias("dealt")), "placed")
-    texts = written(docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL").join(
-        placed.select("node", "cell"), "node"), "texts")
-    ends = [placed.select(F.col("node").alias(s), F.col("cell").alias(f"cell_{s}")) for s in "ab"]
-    meeting = written(pairs.join(ends[0], "a").join(ends[1], "b"), "meeting")
-    inside = meeting.where("cell_a = cell_b").select("a", "b", "votes", F.col("cell_a").alias("cell"))
+    return written(nodes.join(parts, "region").select("node", F.pmod(F.xxhash64(
+        "region", F.pmod(F.xxhash64("node"), "parts")), F.lit(cells)).cast("int").alias("cell")), "placed")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """Confirmed links enough to connect all that the candidates can connect.
+
+    ``texts`` has ``node, cell, text``; ``known`` are links found before.
+    """
+    inside = pairs.where("cell_a = cell_b").select("a", "b", "votes", F.col("cell_a").alias("cell"))
     links = written(texts.groupBy("cell").cogroup(inside.groupBy("cell")).applyInArrow(
         _confirm_cell(n, percent), "a long, b long"), "links")
-    across = meeting.where("cell_a <> cell_b").select("a", "b", "votes")
+    across = pairs.where("cell_a <> cell_b").select("a", "b", "votes")
     for only_best in (True, False):
         if across.isEmpty():
             break
-        found = components(links)
+        found = components(known.unionByName(links))
         for side in "ab":
             label = found.select(F.col("node").alias(side), F.col("component").alias(f"root_{side}"))
             across = across.join(label, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
@@ -257,11 +276,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sizes = members.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
     # Rows of one id hold together through it, rows of one class through their digest.
     links = full.join(members, digest).where("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    for reach in REACH:
-        found = components(links)
-        labelled = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = written(candidates(labelled, reach), "candidates")
-        links = links.unionByName(_links(pairs, sizes, docs, n, percent))
+    alone = classes.select("node", F.col("node").alias("component"), F.lit(0).alias("cell"), F.slice("trees", 1, FEW_TREES).alias("trees"))
+    pairs = written(likeliest(candidates(alone, 1), FIRST), "candidates")
+    placed = _placed(pairs, sizes)
+    texts = written(docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL").join(placed, "node"), "texts")
+    ends = [placed.select(F.col("node").alias(s), F.col("cell").alias(f"cell_{s}")) for s in "ab"]
+    links = links.unionByName(_links(pairs.join(ends[0], "a").join(ends[1], "b"), texts, links, n, percent))
+    # What has a neighbour at all was placed with the first pass.
+    known = classes.join(placed, "node").join(components(links), "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    pairs = written(candidates(known, REACH), "candidates")
+    links = links.unionByName(_links(pairs, texts, links, n, percent))
     found = components(links)
     return rows.select("doc_id", "n_shingles").join(
         found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(

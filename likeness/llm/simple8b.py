@@ -21,11 +21,12 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), escaped
-    at = np.arange(n)
-    selector = np.full(n, 13)
+    at = np.arange(n, dtype=np.int32)
+    narrow = values.astype(np.uint32)
+    selector = np.full(n, 13, np.int8)
     for s in range(12, -1, -1):
         # How many ids from here on fit the width; the end of the block fits any.
-        wide = np.where(values >> np.uint64(BITS[s]) != 0, at, n)
+        wide = np.where(narrow >= 1 << int(BITS[s]), at, np.int32(n))
         until = np.minimum.accumulate(wide[::-1])[::-1]
         # Fewer ids are left than a word takes: the rest of the word stays zero.
         selector[(until - at >= COUNTS[s]) | ((until == n) & (n - at > COUNTS[s + 1]))] = s

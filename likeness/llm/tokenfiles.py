@@ -38,15 +38,43 @@ from likeness.sources.checkpoints import checkpoint_dir
 END_ID = 2
 BLOCK_IDS = 1 << 16
 SLICE_BYTES = 1 << 20
-#: Pieces a worker remembers before it starts anew.
-PIECES = 400_000
+#: Pieces a worker remembers before it starts anew (about 200 bytes each).
+PIECES = 1_000_000
+#: Pieces encoded at a time.
+TOGETHER = 20_000
 BLOCKS = ("shard int, block int, first_token long, doc_ids array<long>, doc_offsets array<long>, "
           "n_tokens long, words binary, escaped binary")
 # White space next to white space or to an end of the text, or a mark used below.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 UNSURE = re.compile(r"\s\s|\A\s|\s\Z|\x00")
 SPACE = re.compile(r"\s")
 
 
+class Store:
+    """Arrays of ids one after the other, growing as needed."""
+
+    def __init__(self):
+        self.flat, self.first, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Append ``len(lengths)`` arrays given as one."""
+        begin, end = self.first[self.n], self.first[self.n] + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(lengths) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.flat[begin:end] = ids
+        self.first[self.n + 1:self.n + len(lengths) + 1] = begin + np.cumsum(lengths)
+        self.n += len(lengths)
+
+    def take(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the arrays of these numbers one after the other, and their lengths."""
+        lengths = self.first[number + 1] - self.first[number]
+        total = np.cumsum(lengths)
+        shift = np.repeat(self.first[number] - total + lengths, lengths)
+        return self.flat[shift + np.arange(len(shift))], lengths
+
+
 class Encoder:
     """Ids of texts, remembering those of pieces between spaces."""
 
@@ -55,36 +83,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.forget()
 
     def forget(self):
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = np.empty(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
+        self.store = Store()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, pieces: list[str]):
-        """Encode new pieces: plain ones many at a time, with line ends in between."""
-        plain = [p for p in pieces if p[:1] != "\x00" and p and not SPACE.search(p)]
-        found = dict.fromkeys(pieces)
-        if plain and len(self.line) == 1:
-            joined = self.whole(" " + "\n ".join(plain))
-            ends = np.flatnonzero(joined == self.line[0])
-            if len(ends) == len(plain) - 1:
-                found.update(zip(plain, np.split(joined, ends)))
-                for p in plain[1:]:
-                    found[p] = found[p][1:]
-        for p, ids in found.items():
-            if ids is None:
-                ids = self.whole(p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p)
-            self.known[p] = len(self.ids)
-            self.ids.append(ids)
-        self.flat = np.concatenate([self.flat, *self.ids[len(self.first) - 1:]])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in self.ids[len(self.first) - 1:]])])
+    def keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(self.store.n, self.store.n + len(pieces))))
+        self.store.add(ids, lengths)
+
+    def learn_words(self, words: list[str], space: str) -> None:
+        """Encode words many at a time, line ends in between; ``space`` comes before each."""
+        for i in range(0, len(words), TOGETHER):
+            some = words[i:i + TOGETHER]
+            joined = self.whole(space + ("\n" + space).join([w.lstrip("\x00") for w in some]))
+            ends = np.flatnonzero(joined == self.line) if self.line is not None else []
+            if len(ends) != len(some) - 1:
+                self.learn_each(some)
+                continue
+            inside = np.ones(len(joined), bool)
+            inside[ends] = False
+            self.keep(some, joined[inside], np.diff(np.r_[-1, ends, len(joined)]) - 1)
+
+    def learn_each(self, pieces: list[str]) -> None:
+        ids = [self.whole(p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p) for p in pieces]
+        if ids:
+            self.keep(pieces, np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces; a word and the marks after it are encoded apart."""
+        words, first, marked, others = {}, {}, [], {}
+        for p in pieces:
+            word = p.rstrip(MARKS)
+            kind = words if word.isalpha() else first if word[:1] == "\x00" and word[1:].isalpha() else None
+            if kind is None:
+                others[p] = None
+                continue
+            kind[word] = None
+            if len(word) < len(p):
+                tail = "\x00" + p[len(word):]
+                others[tail] = None
+                marked.append((p, word, tail))
+        self.learn_words([w for w in words if w not in self.known], " ")
+        self.learn_words([w for w in first if w not in self.known], "")
+        self.learn_each([p for p in others if p not in self.known])
+        if marked:
+            number = np.array([[self.known[w], self.known[t]] for _, w, t in marked])
+            ids, lengths = self.store.take(number.ravel())
+            self.keep([p for p, _, _ in marked], ids, lengths.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id after it; and how many each has."""
@@ -102,15 +154,16 @@ class Encoder:
                 counts.append(len(own))
             else:
                 counts.append(0)
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
+        number = list(map(self.known.get, pieces))
+        new = [i for i, n in enumerate(number) if n is None]
         if new:
-            self.learn(new)
-        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        lengths = (self.first[1:] - self.first[:-1])[number]
+            self.learn(list(dict.fromkeys([pieces[i] for i in new])))
+            for i in new:
+                number[i] = self.known[pieces[i]]
+        ids, lengths = self.store.take(np.array(number, np.int64))
         total = np.r_[0, np.cumsum(lengths)]
         ends = np.r_[0, np.cumsum(counts)]
         per_text = total[ends[1:]] - total[ends[:-1]]
-        ids = self.flat[np.repeat(self.first[number] - total[:-1], lengths) + np.arange(total[-1])]
         n = per_text + 1
         for i, x in odd.items():
             n[i] = len(x) + 1
