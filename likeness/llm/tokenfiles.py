@@ -144,7 +144,8 @@ class Encoder:
             self.forget()
         pieces, counts, odd = [], [], {}
         for i, t in enumerate(texts):
-            if UNSURE.search(t):
+            # With single blanks and line ends alone there is one word more than of them.
+            if len(t.split()) != t.count(" ") + t.count("\n") + 1 and UNSURE.search(t) or "\x00" in t:
                 odd[i] = self.whole(t)
                 counts.append(0)
             elif t:
