@@ -56,7 +56,7 @@ def hashed_trigrams(dim: int = VECTOR_DIM) -> Callable[[Column], Column]:
     """
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
-        counts = _trigram_counts(texts.tolist(), dim)
+        counts = _trigram_counts(["" if t is None else t for t in texts.tolist()], dim)
         length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(
             counts, length, out=np.zeros(counts.shape), where=length > 0)
@@ -91,6 +91,12 @@ def with_vectors(
     """Stored vectors where there are any; the others are encoded."""
     if "identity_vec" not in df.columns:
         return encode_texts(df, dim, model)
-    stored = df.filter(F.col("identity_vec").isNotNull())
-    missing = df.filter(F.col("identity_vec").isNull()).drop("identity_vec")
-    return stored.unionByName(encode_texts(missing, dim, model))
+    stored = F.col("identity_vec")
+    if model is None:
+        # One pass: texts of stored vectors are masked, and cost nothing.
+        masked = F.when(stored.isNull(), F.col("identity_text"))
+        return df.withColumn("identity_vec", F.coalesce(stored, hashed_trigrams(dim)(masked)))
+    missing = encode_texts(
+        df.filter(stored.isNull()).select("identity_text").distinct(), dim, model)
+    return df.join(missing.withColumnRenamed("identity_vec", "_encoded"), "identity_text", "left").withColumn(
+        "identity_vec", F.coalesce("identity_vec", "_encoded")).drop("_encoded")

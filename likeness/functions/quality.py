@@ -112,7 +112,7 @@ def loan_errors() -> Column:
     """Messages on the loan fields of an application, empty when it is good."""
     formats = [
         ("requested_amount", valid_amount(F.col("requested_amount")),
-         "Please enter a valid amount"),
+         "Please enter a valid amount (e.g., 100000.00)"),
         ("loan_type", one_of(F.col("loan_type"), LOAN_TYPES),
          "Please choose a listed loan type"),
     ]

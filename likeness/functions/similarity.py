@@ -211,6 +211,18 @@ def _jaro_winkler_slice(a: pd.Series, b: pd.Series) -> np.ndarray:
     return np.where(sim > PREFIX_FROM, sim + prefix * PREFIX_WEIGHT * (1 - sim), sim)
 
 
+def key_similarity_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same similarity of arrays of text keys."""
+    sim = np.zeros(len(a))
+    equal = a == b
+    filled = (a != "") & (b != "")
+    sim[equal & filled] = 1.0
+    differing = np.flatnonzero(~equal & filled)
+    if len(differing):
+        sim[differing] = _jaro_winkler_kernel(pd.Series(a[differing]), pd.Series(b[differing]))
+    return sim
+
+
 def key_similarity_batch(a: Column, b: Column) -> Column:
     """The same similarity over Arrow batches.
 

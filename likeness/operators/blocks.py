@@ -7,7 +7,6 @@ shuffled, however many rows share a key.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +25,13 @@ def matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    if not n:
+        return np.empty((0, 0))
+    widths = np.diff(column.offsets.to_numpy())
+    if column.null_count or (widths != widths[0]).any():
+        raise ValueError("vectors of different widths, or missing; filter them first")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, -1) if n else np.empty((0, 0))
+    return flat.reshape(n, -1)
 
 
 def in_metric_space(x: np.ndarray, metric: str) -> np.ndarray:
@@ -49,6 +53,23 @@ def straight_gaps(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def row_distances(metric: str):
+    """Replaces ``q_vec`` and ``m_vec`` of each row by their distance."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, m = (in_metric_space(matrix(batch[c]), metric) for c in ("q_vec", "m_vec"))
+            if metric == "cosine":
+                gaps = np.maximum(1.0 - np.einsum("ij,ij->i", q, m), 0.0)
+            else:
+                gaps = np.linalg.norm(q - m, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch["query_id"], batch["customer_id"], pa.array(gaps)],
+                ["query_id", "customer_id", "vdist"])
+    return run
+
+
 def _first_k(rows, order_by, k):
     """Positions of the first ``k`` entries of each row, in the given order."""
     order = np.lexsort((*reversed(order_by), rows))
@@ -102,8 +123,8 @@ def _cluster_codes(q, m):
     """Comparable codes of the two sides' clusters, or nothing."""
     if "cluster" not in q.column_names:
         return None, None
-    both = q["cluster"].to_pylist() + m["cluster"].to_pylist()
-    codes, _ = pd.factorize(np.array(both, dtype=object))
+    both = pa.chunked_array([*q["cluster"].chunks, *m["cluster"].chunks], q.schema.field("cluster").type)
+    codes = both.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
     return codes[:q.num_rows], codes[q.num_rows:]
 
 
@@ -144,15 +165,8 @@ def merge_nearest(partial: DataFrame, k: int) -> DataFrame:
         F.col("rank") <= k)
 
 
-def nearest_in_blocks(
-    queries: DataFrame,
-    master: DataFrame,
-    sizes: DataFrame,
-    k: int,
-    metric: str,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Each query's ``k`` nearest within each ``block`` that it shares.
+def split_in_blocks(queries, master, sizes, block_rows=BLOCK_ROWS):
+    """Both sides grouped by block and part, for a cogroup.
 
     ``queries`` and ``master`` carry a ``block`` column; ``sizes`` has ``block``,
     ``m_rows`` and ``q_rows``. A block of more than ``block_rows`` customers, or
@@ -176,6 +190,18 @@ def nearest_in_blocks(
             .drop("m_parts", "q_parts"))
 
     keys = ["block", "m_part", "q_part"]
-    q = split(queries, "query_id", "q_part", "m_part").groupBy(*keys)
-    m = split(master, "customer_id", "m_part", "q_part").groupBy(*keys)
+    return (split(queries, "query_id", "q_part", "m_part").groupBy(*keys),
+            split(master, "customer_id", "m_part", "q_part").groupBy(*keys))
+
+
+def nearest_in_blocks(
+    queries: DataFrame,
+    master: DataFrame,
+    sizes: DataFrame,
+    k: int,
+    metric: str,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Each query's ``k`` nearest within each ``block`` that it shares."""
+    q, m = split_in_blocks(queries, master, sizes, block_rows)
     return q.cogroup(m).applyInArrow(block_task(k, metric), result_schema(queries))

@@ -8,11 +8,18 @@ from pyspark.sql.window import Window
 PART_ROWS = 10_000
 
 
+def digest(key: str):
+    """Stands for a long key wherever rows are grouped, joined or ordered by it."""
+    return F.sha2(F.col(key).cast("string"), 256)
+
+
 def identity_clusters(customers: DataFrame, key: str = "identity_text") -> DataFrame:
     """Every group of equal key: its lowest id and its size, counted map-side."""
-    return customers.groupBy(key).agg(
+    groups = customers.groupBy(digest(key).alias("_digest")).agg(
+        F.first(key).alias(key),
         F.min("customer_id").alias("cluster_id"),
         F.count("*").alias("cluster_size"))
+    return groups.drop("_digest")
 
 
 def duplicates_only(customers: DataFrame, key: str = "identity_text") -> DataFrame:
@@ -21,8 +28,10 @@ def duplicates_only(customers: DataFrame, key: str = "identity_text") -> DataFra
     A plain join with the grouped counts, whose skew Spark splits at run time; a
     window over the key would take a hot group to one task.
     """
-    groups = identity_clusters(customers, key).filter(F.col("cluster_size") > 1)
-    return customers.join(groups, key)
+    groups = customers.groupBy(digest(key).alias("_digest")).agg(
+        F.min("customer_id").alias("cluster_id"),
+        F.count("*").alias("cluster_size")).filter(F.col("cluster_size") > 1)
+    return customers.withColumn("_digest", digest(key)).join(groups, "_digest").drop("_digest")
 
 
 def duplicate_pairs(
@@ -43,11 +52,11 @@ def duplicate_pairs(
     """
     if cap < 1 or part_rows <= 2 * cap:
         raise ValueError("cap must be positive and well below part_rows")
-    digest = F.md5(F.concat(F.lit(seed), F.col("customer_id").cast("string")).cast("binary"))
+    place = F.md5(F.concat(F.lit(seed), F.col("customer_id").cast("string")).cast("binary"))
     parts = F.greatest(F.floor(F.col("cluster_size") / part_rows), F.lit(1))
-    salted = members.withColumn("_hash", digest).withColumn(
+    salted = members.withColumn("_hash", place).withColumn("_group", digest(key)).withColumn(
         "_part", F.pmod(F.xxhash64("customer_id"), parts))
-    ring = Window.partitionBy(key, "_part").orderBy("_hash", "customer_id")
+    ring = Window.partitionBy("_group", "_part").orderBy("_hash", "customer_id")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = salted.select(
         *members.columns,

@@ -2,14 +2,16 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from likeness.operators import blocks
-from likeness.operators.neighbours import block_sizes, kept_copies
+from likeness.operators.scored_blocks import best_in_blocks
 from likeness.sources.checkpoints import written
 
 KEYS = {"phone": "phone_e164", "email": "email_norm", "gov_id": "gov_id_norm"}
 
+# A key held by more customers is scored in blocks instead of listed in pairs.
+HOT_ROWS = 200
+
 
 def key_rows(df: DataFrame, *keep: str) -> DataFrame:
     """One row per non-empty key of each record, as ``block``."""
@@ -19,38 +21,50 @@ def key_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(keys).alias("block"))
 
 
+def hot_keys(queries: DataFrame, master: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys of the queries that more than ``hot_rows`` customers hold, with both counts.
+
+    Only keys that are asked for are counted, so that a small batch of queries costs one
+    scan of the master's key columns.
+    """
+    asked = key_rows(queries).groupBy("block").agg(F.count("*").alias("q_rows"))
+    held = key_rows(master).join(asked.select("block"), "block", "left_semi")
+    counts = held.groupBy("block").agg(F.count("*").alias("m_rows"))
+    return written(counts.filter(F.col("m_rows") > hot_rows).join(asked, "block"), "hot")
+
+
 def shared_key_pairs(
-    queries: DataFrame, master: DataFrame, k: int, metric: str = "cosine",
-    *, block_rows: int = blocks.BLOCK_ROWS,
+    queries: DataFrame, master: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
-    """(query, customer) pairs that share a key, each pair once.
+    """(query_id, customer_id) of all that share a key not in ``hot``, each pair once."""
+    q = key_rows(queries, "query_id")
+    m = key_rows(master, "customer_id").join(q.select("block").distinct(), "block", "left_semi")
+    if hot is not None:
+        q = q.join(hot.select("block"), "block", "left_anti")
+        m = m.join(hot.select("block"), "block", "left_anti")
+    return q.join(m, "block").select("query_id", "customer_id").distinct()
 
-    Both sides have the key columns and ``vec``. All customers of a key are given
-    when there are at most ``k`` of them. Of the customers that share a key held
-    by more, each query gets its ``k`` nearest by vector, found in bounded blocks.
-    The result so holds the ``k`` nearest of all customers that share a key, the
-    depth a search has without keys, and hot keys are never paired up.
+
+def best_of_hot_keys(
+    queries: DataFrame,
+    master: DataFrame,
+    hot: DataFrame,
+    scorer,
+    evidence: int,
+    metric: str = "cosine",
+    exclude_self: bool = False,
+    block_rows: int = blocks.BLOCK_ROWS,
+) -> DataFrame:
+    """Each query's ``evidence`` best customers by score of each block of a hot key.
+
+    Both sides have ``vec``, the keys, and the compared columns (``q_``, ``c_``). All
+    pairs of a key are judged in bounded blocks and none is left out before it is scored,
+    so that the verdict does not depend on how many customers share the key.
     """
-    m_keys = key_rows(master, "customer_id")
-    first = Window.partitionBy("block").orderBy("customer_id")
-    # Ranks are filtered within each task before the shuffle, so a key held by
-    # many customers reaches the grouping with a few ids more than k.
-    holders = written(
-        m_keys.withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= k + 1)
-        .groupBy("block").agg(F.collect_list("customer_id").alias("ids")),
-        "holders")
-    q_keys = key_rows(queries, "query_id")
-    listed = q_keys.join(holders.filter(F.size("ids") <= k), "block").select(
-        "query_id", F.explode("ids").alias("customer_id"))
-    hot = holders.filter(F.size("ids") > k).select("block")
-    if not hot.isEmpty():
-        q = key_rows(queries, "query_id", "vec").join(hot, "block", "left_semi")
-        m = kept_copies(
-            key_rows(master, "customer_id", "vec").join(hot, "block", "left_semi"), k)
-        near = blocks.nearest_in_blocks(
-            q, m, block_sizes(q, m), k, metric, block_rows)
-        listed = listed.unionByName(
-            blocks.merge_nearest(near.dropDuplicates(["query_id", "customer_id"]), k)
-            .select("query_id", "customer_id"))
-    return listed.distinct()
+    def side(df, own):
+        kept = [c for c in df.columns if c not in KEYS.values() and c != own]
+        return key_rows(df, own, *kept).join(hot.select("block"), "block", "left_semi")
+
+    return best_in_blocks(
+        side(queries, "query_id"), side(master, "customer_id"), hot, scorer, evidence,
+        metric, exclude_self, block_rows)

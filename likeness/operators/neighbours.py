@@ -1,11 +1,12 @@
 """Exact and approximate nearest-neighbour joins of queries with customers."""
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,13 @@ BROADCAST_ROWS = 1024
 BROADCAST_BYTES = 32 << 20
 MAX_PIVOTS = 1024
 
+# More pairs of vectors than this are not compared in cells unless asked for.
+MAX_COMPARED = 10 ** 10
+
+# Hash tables of the approximate search, and about how many customers share a bucket.
+TABLES = 8
+BUCKET_ROWS = 64
+
 # Room for rounding when a cell is ruled out.
 SLACK = 1e-6
 
@@ -64,6 +72,7 @@ def nearest(
     block_rows: int = blocks.BLOCK_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    max_compared: int | None = MAX_COMPARED,
 ) -> DataFrame:
     """The exact ``k`` nearest customers of every query, ranked.
 
@@ -74,17 +83,24 @@ def nearest(
 
     A few queries are sent to every task of one scan of the master. More are
     joined cell by cell: customers are assigned to the nearest of a bounded set of
-    pivots, and the triangle inequality tells which cells a query need not visit.
+    pivots, and the triangle inequality tells which cells a query need not visit. That
+    helps with grouped vectors in few dimensions; in many dimensions few cells are
+    ruled out, and the work comes near all pairs. So beyond ``max_compared`` pairs this
+    form is refused (None lifts that); use :func:`approximate_nearest` there.
     """
+    queries, master = _with_vectors(queries, dim), _with_vectors(master, dim)
+    if "cluster" in queries.columns and "cluster" not in master.columns:
+        queries = queries.drop("cluster", "cluster_size")
     few = _few_queries(queries, broadcast_rows)
     if few is not None:
-        partial = _scan_with(few, _with_vectors(master, dim), queries, k, metric)
+        partial = _scan_with(few, master, queries, k, metric)
     else:
         # Counted without the vectors, so that no vector is read for it.
-        rows = master.select("customer_id").count()
-        partial = _join_cells(
-            _with_vectors(queries, dim), _with_vectors(master, dim), rows,
-            k, metric, block_rows, max_pivots)
+        rows, asked = master.select("customer_id").count(), queries.select("query_id").count()
+        if max_compared is not None and rows * asked > max_compared:
+            raise ValueError(
+                f"{asked} x {rows} vectors are more pairs than max_compared ({max_compared})")
+        partial = _join_cells(queries, master, rows, k, metric, block_rows, max_pivots)
     return blocks.merge_nearest(partial, k)
 
 
@@ -92,8 +108,7 @@ def _few_queries(queries: DataFrame, limit: int) -> pa.Table | None:
     """The queries, when they are few enough for every task; else nothing."""
     if limit < 1 or queries.select("query_id").limit(limit + 1).count() > limit:
         return None
-    asked = queries.filter(F.col("vec").isNotNull()).drop("cluster_size")
-    table = asked.limit(limit).toArrow()
+    table = queries.drop("cluster_size").limit(limit).toArrow()
     return table if table.nbytes <= BROADCAST_BYTES else None
 
 
@@ -260,6 +275,41 @@ def block_sizes(queries: DataFrame, master: DataFrame) -> DataFrame:
         .join(queries.groupBy("block").agg(F.count("*").alias("q_rows")), "block"))
 
 
+def signs(tables: int, bits: int, dim: int) -> np.ndarray:
+    """+1 or -1 for each dimension (rows), table and bit, from an md5 of their numbers."""
+    def sign(t, b, d):
+        return 1.0 if hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0] < "8" else -1.0
+    return np.array([[sign(t, b, d) for t in range(tables) for b in range(bits)] for d in range(dim)])
+
+
+def bucket_bits(rows: int, bucket_rows: int) -> int:
+    """Bits with which ``rows`` customers give about ``bucket_rows`` a bucket."""
+    return min(60, max(1, math.ceil(math.log2(max(rows, 1) / bucket_rows)))) if rows else 1
+
+
+def _bucketed(side: DataFrame, centre: np.ndarray, tables: int, bits: int) -> DataFrame:
+    """Each row once per table, with its bucket as ``block``."""
+    plane = signs(tables, bits, len(centre))
+    columns = [c for c in side.columns if c != "cluster_size"]
+    side = side.select(*columns)
+
+    def hashed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = np.round((blocks.matrix(batch["vec"]) - centre) @ plane, blocks.TIE_DIGITS) >= 0
+            powers = 1 << np.arange(bits, dtype=np.int64)
+            keys = sides.reshape(batch.num_rows, tables, bits) @ powers
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))],
+                names=[*batch.schema.names, "_keys"])
+
+    keyed = side.mapInArrow(hashed, T.StructType([
+        *side.schema.fields, T.StructField("_keys", T.ArrayType(T.LongType()))]))
+    return keyed.select(*columns, F.posexplode("_keys").alias("_table", "_key")).select(
+        *columns, F.struct("_table", "_key").alias("block"))
+
+
 def approximate_nearest(
     queries: DataFrame,
     master: DataFrame,
@@ -267,43 +317,27 @@ def approximate_nearest(
     metric: str = "cosine",
     *,
     dim: int | None = None,
-    tables: int = 8,
-    projections: int = 4,
-    bucket_length: float = 0.25,
-    seed: int = 1,
+    tables: int = TABLES,
+    bucket_rows: int = BUCKET_ROWS,
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest among the customers that share a hash bucket.
 
-    Every table joins ``projections`` random projections into one key. Distances
-    are exact; a neighbour that shares no bucket is missed. A bucket is a block
-    like any other, so a hot one is split instead of paired up.
+    A bucket is the side of ``bits`` planes on which a vector lies; the planes go
+    through the mean of the customers, and the number of bits grows with theirs, so that a
+    bucket holds about ``bucket_rows`` whatever the size of the table. Distances
+    are exact; a neighbour that shares no bucket is missed. A hot bucket is
+    split like any block. ``vec`` is of one width on both sides, ``dim`` if given.
     """
     queries, master = _with_vectors(queries, dim), _with_vectors(master, dim)
     if master.isEmpty():
         return blocks.merge_nearest(
             master.sparkSession.createDataFrame([], blocks.result_schema(queries)), k)
-    model = BucketedRandomProjectionLSH(
-        inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
-        numHashTables=tables * projections, seed=seed,
-    ).fit(master.select(array_to_vector("vec").alias("_features")))
-
-    def bucketed(side):
-        columns = [c for c in side.columns if c not in ("cluster_size",)]
-        hashed = model.transform(
-            side.select(*columns, array_to_vector("vec").alias("_features")))
-        values = [
-            vector_to_array(F.col("_hashes")[i])[0].cast("bigint")
-            for i in range(tables * projections)]
-        keys = F.array(*[
-            F.concat_ws(":", F.lit(t).cast("string"), *[
-                v.cast("string")
-                for v in values[t * projections:(t + 1) * projections]])
-            for t in range(tables)])
-        return hashed.select(*columns, F.explode(keys).alias("block"))
-
-    q, m = bucketed(queries), written(bucketed(kept_copies(master, k)), "buckets")
-    partial = blocks.nearest_in_blocks(
-        q, m, block_sizes(q, m), k, metric, block_rows)
+    counted = master.select(
+        F.count("*").alias("n"), Summarizer.mean(array_to_vector("vec")).alias("mean")).first()
+    bits, centre = bucket_bits(counted["n"], bucket_rows), counted["mean"].toArray()
+    q = _bucketed(queries, centre, tables, bits)
+    m = _bucketed(kept_copies(master, k), centre, tables, bits)
+    partial = blocks.nearest_in_blocks(q, m, block_sizes(q, m), k, metric, block_rows)
     found = partial.groupBy("query_id", "customer_id").agg(F.min("vdist").alias("vdist"))
     return blocks.merge_nearest(found, k)

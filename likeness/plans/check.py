@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions.score import compared, feature_columns, with_rule_score
-from likeness.functions.vectors import distance, has_width
-from likeness.operators.keys import shared_key_pairs
+from likeness.functions.vectors import has_width
+from likeness.operators.blocks import BLOCK_ROWS, row_distances
+from likeness.operators.keys import HOT_ROWS, KEYS, best_of_hot_keys, hot_keys, shared_key_pairs
 from likeness.operators.neighbours import approximate_nearest, nearest
 from likeness.operators.ranking import top_evidence, verdicts
 from likeness.plans.records import candidate_rows, query_object, with_query_vectors
@@ -30,61 +31,55 @@ def split_by_width(
     return df.filter(good), df.filter(~good)
 
 
-def candidate_pairs(
+METHODS = ("default", "keys", "exact")
+
+
+def nearest_pairs(
     queries: DataFrame,
     master: DataFrame,
-    method: str = "exact",
+    method: str,
     k: int = TOP_K,
     metric: str = "cosine",
     exclude_self: bool = False,
     dim: int = VECTOR_DIM,
     **options,
 ) -> DataFrame:
-    """(query_id, customer_id, vdist) to be scored.
+    """(query_id, customer_id, vdist) of the ``k`` nearest customers of each query.
 
-    ``exact``: the ``k`` nearest customers of each query. ``keys``: customers that
-    share a phone, e-mail address or government id. ``hashed``: the ``k`` nearest
-    by shared hash buckets, and those that share a key. ``exclude_self`` is for a
-    master checked against itself, where a query's id is its customer id.
-
-    Customers with a vector of another width are no candidates; the queries have
-    theirs from the encoder, at the right width.
+    ``exact`` compares all vectors, ``default`` those that share a hash bucket.
     """
     q = queries.withColumnRenamed("identity_vec", "vec")
     m = master.withColumnRenamed("identity_vec", "vec")
+    own = ["cluster", "cluster_size"] if exclude_self else []
     if exclude_self:
         q = q.withColumn("cluster", F.col("query_id")).withColumn(
             "cluster_size", F.lit(1).cast("bigint"))
         m = m.withColumn("cluster", F.col("customer_id"))
-    own = ["cluster", "cluster_size"] if exclude_self else []
-    q_vec = q.select("query_id", "vec", *own)
-    m_vec = m.select("customer_id", "vec", *own[:1])
-    pairs = None
-    if method in ("exact", "hashed"):
-        search = nearest if method == "exact" else approximate_nearest
-        pairs = search(q_vec, m_vec, k, metric, dim=dim, **options).select(
-            "query_id", "customer_id", "vdist")
-    if method in ("keys", "hashed"):
-        m = m.filter(has_width(F.col("vec"), dim))
-        keyed = shared_key_pairs(q, m, k, metric)
-        if exclude_self:
-            keyed = keyed.filter(F.col("query_id") != F.col("customer_id"))
-        if pairs is not None:
-            keyed = keyed.join(pairs, ["query_id", "customer_id"], "left_anti")
-        measured = (
-            keyed.join(m.select("customer_id", F.col("vec").alias("m_vec")), "customer_id")
-            .join(q.select("query_id", "vec"), "query_id")
-            .select("query_id", "customer_id",
-                    distance(F.col("vec"), F.col("m_vec"), metric).alias("vdist")))
-        pairs = measured if pairs is None else pairs.unionByName(measured)
-    if pairs is None:
-        raise ValueError(f"unknown method '{method}'")
-    return pairs
+    search = nearest if method == "exact" else approximate_nearest
+    return search(
+        q.select("query_id", "vec", *own), m.select("customer_id", "vec", *own[:1]),
+        k, metric, dim=dim, **options).select("query_id", "customer_id", "vdist")
+
+
+def with_distances(
+    pairs: DataFrame, queries: DataFrame, master: DataFrame, metric: str = "cosine"
+) -> DataFrame:
+    """Pairs of ids with the distance of their vectors."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return (
+        pairs.join(master.select("customer_id", F.col("identity_vec").alias("m_vec")), "customer_id")
+        .join(queries.select("query_id", F.col("identity_vec").alias("q_vec")), "query_id")
+        .select("query_id", "customer_id", "q_vec", "m_vec")
+        .mapInArrow(row_distances(metric), f"query_id {kind}, customer_id bigint, vdist double"))
+
+
+def _fields():
+    return {c: F.col(c) for c in FIELDS}
 
 
 def side_columns(df: DataFrame, id_column: str, prefix: str) -> DataFrame:
     """A record's id and what the features compare of it."""
-    return df.select(id_column, *compared({c: F.col(c) for c in FIELDS}, prefix))
+    return df.select(id_column, *compared(_fields(), prefix))
 
 
 def pair_features(
@@ -106,11 +101,60 @@ def scored_pairs(
     queries: DataFrame,
     master: DataFrame,
     scorer: Scorer = with_rule_score,
-    **search,
+    *,
+    method: str = "default",
+    k: int = TOP_K,
+    metric: str = "cosine",
+    exclude_self: bool = False,
+    evidence: int = EVIDENCE,
+    dim: int = VECTOR_DIM,
+    hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    **options,
 ) -> DataFrame:
-    """All candidates of all queries, ids only, with features and ``score``."""
-    pairs = candidate_pairs(queries, master, **search)
-    return scorer(pair_features(pairs, queries, candidate_rows(master)))
+    """(query_id, customer_id, vdist, score) of all that can be among a query's best.
+
+    ``keys``: customers that share a phone, e-mail address or government id; of a key that
+    more than ``hot_rows`` hold, the ``evidence`` best by score. ``default``: these, and
+    the ``k`` nearest by shared hash buckets. ``exact``: the ``k`` nearest customers.
+    ``exclude_self`` is for a master checked against itself, where a query's id is its
+    customer id.
+
+    Customers with a vector of another width are no candidates; the queries have
+    theirs from the encoder, at the right width.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method '{method}'")
+    ids = ["query_id", "customer_id"]
+    master = master.filter(has_width(F.col("identity_vec"), dim))
+    pairs = hot_scored = None
+    if method != "exact":
+        hot = hot_keys(queries, master, hot_rows)
+        crowded = not hot.isEmpty()
+        listed = shared_key_pairs(queries, master, hot if crowded else None)
+        if exclude_self:
+            listed = listed.filter(F.col("query_id") != F.col("customer_id"))
+        pairs = with_distances(listed, queries, master, metric)
+        if crowded:
+            vec = F.col("identity_vec").alias("vec")
+            keys = list(KEYS.values())
+            hot_scored = best_of_hot_keys(
+                queries.select("query_id", vec, *keys, *compared(_fields(), "q_")),
+                candidate_rows(master, "identity_vec").select(
+                    "customer_id", vec, *keys, *compared(_fields(), "c_")),
+                hot, scorer, evidence, metric, exclude_self, block_rows)
+    if method != "keys":
+        near = nearest_pairs(
+            queries, master, method, k, metric, exclude_self, dim, block_rows=block_rows, **options)
+        pairs = near if pairs is None else pairs.unionByName(near).groupBy(*ids).agg(
+            F.min("vdist").alias("vdist"))
+    scored = scorer(pair_features(pairs, queries, candidate_rows(master))).select(
+        *ids, "vdist", "score")
+    if hot_scored is None:
+        return scored
+    # A pair may share a hot key and another one, or several parts of one.
+    return scored.unionByName(hot_scored).groupBy(*ids).agg(
+        F.min("vdist").alias("vdist"), F.max("score").alias("score"))
 
 
 def evidence_rows(
@@ -146,7 +190,8 @@ def check_duplicates(
             query_object(asked, "query_id", *keep), dim, model), "queries")
 
     def verdicts_of(queries):
-        scored = scored_pairs(queries, master, scorer, dim=dim, **search)
+        scored = scored_pairs(
+            queries, master, scorer, evidence=evidence, dim=dim, **search)
         return verdicts(queries, evidence_rows(scored, master, evidence), threshold)
 
     if search.get("exclude_self"):
@@ -154,12 +199,9 @@ def check_duplicates(
     record = F.md5(F.to_json(
         F.struct(*RAW_FIELDS), {"ignoreNullFields": "false"}).cast("binary"))
     asked = applicants.select("query_id", record.alias("record"), *RAW_FIELDS)
-    # Spread by number, not by size: a text is small, its vector and search are not.
-    spark = applicants.sparkSession
-    parts = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        4 * spark.sparkContext.defaultParallelism)
-    once = asked.select("record", *RAW_FIELDS).distinct().repartition(parts, "record")
+    # One shuffle, spread by number, not by size: a text is small, its vector is not.
+    parts = int(applicants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = asked.select("record", *RAW_FIELDS).repartition(parts, "record").dropDuplicates(["record"])
     # Short ids for the pairs; they are fixed by the table they are written to.
     queries = prepared(
         once.withColumn("query_id", F.monotonically_increasing_id()), "record")

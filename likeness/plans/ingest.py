@@ -10,6 +10,7 @@ from likeness.functions.quality import identity_errors
 from likeness.functions.vectors import has_width
 from likeness.plans.records import customer_rows
 from likeness.schemas import RAW_FIELDS, VECTOR_DIM
+from likeness.sources.checkpoints import written
 from likeness.sources.master import append_customers
 from likeness.sources.readers import resolve_aliases
 
@@ -53,11 +54,12 @@ def new_customers(
     """
     good, rejects = split_good(applicants, strict, as_of)
     keep = [c for c in good.columns if c not in RAW_FIELDS and c != "identity_text"]
-    rows = customer_rows(good, *keep, dim=dim, model=model)
-    narrow = rows.filter(~has_width(F.col("identity_vec"), dim)).select(
+    # Judged and encoded once, then split: a model need not answer twice alike.
+    judged = written(customer_rows(good, *keep, dim=dim, model=model), "judged")
+    narrow = judged.filter(~has_width(F.col("identity_vec"), dim)).select(
         *keep, "full_name", F.array(F.lit("Vector width differs")).alias("dq_errors"))
     return (
-        rows.filter(has_width(F.col("identity_vec"), dim)),
+        judged.filter(has_width(F.col("identity_vec"), dim)),
         rejects.unionByName(narrow, allowMissingColumns=True))
 
 
@@ -68,8 +70,9 @@ def ingest(
     created_at: Column,
     *,
     order: list[str] | None = None,
+    writer: str = "",
     **checks,
 ) -> tuple[DataFrame, DataFrame]:
     """Load applicants into the master at ``path``; gives (loaded, set aside)."""
     rows, rejects = new_customers(applicants, **checks)
-    return append_customers(rows, path, batch_id, created_at, order), rejects
+    return append_customers(rows, path, batch_id, created_at, order, writer), rejects

@@ -41,6 +41,19 @@ def total_customers(customers: DataFrame) -> DataFrame:
     return customers.agg(F.count("*").alias("total_applicants"))
 
 
+def created_today(customers: DataFrame, as_of: Column) -> DataFrame:
+    """How many customers one day brought: a count over its partition alone."""
+    return created_on_day(customers, as_of).agg(F.count("*").alias("today_applicants"))
+
+
+def daily_rate(customers: DataFrame, as_of: Column) -> DataFrame:
+    """The day's share of all customers, from counts in the tasks; no id is shuffled."""
+    return customers.agg(
+        F.count("*").alias("total_applicants"),
+        F.count_if(F.col("created_on") == as_of).alias("today_applicants")).select(
+            processing_rate().alias("processing_rate"))
+
+
 def created_on_day(customers: DataFrame, as_of: Column) -> DataFrame:
     """Customers of one day: a partition filter on the master."""
     return customers.filter(F.col("created_on") == as_of)

@@ -1,7 +1,6 @@
 """Training the ranker: features of labelled pairs, and a logistic fit."""
 
 import time
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,11 +12,11 @@ from pyspark.sql import functions as F
 
 from likeness.functions.encode import encode_texts
 from likeness.functions.score import compared, feature_columns
-from likeness.functions.vectors import distance
+from likeness.functions.vectors import distance, has_width
 from likeness.plans.check import FIELDS
 from likeness.plans.pairs import labelled_pairs, pair_source
 from likeness.plans.records import candidate_rows, identity_text, pair_query_object
-from likeness.schemas import FEATURES, MAX_PAIRS, VECTOR_DIM
+from likeness.schemas import FEATURES, MAX_PAIRS, NO_TRAINING_DATA, TRAINED, VECTOR_DIM
 from likeness.sources.checkpoints import written
 from likeness.sources.models import LinearRanker, Scorer, pipeline_scorer, save_ranker
 from likeness.sources.readers import path_exists, read_table
@@ -74,14 +73,23 @@ def training_features(
     dim: int = VECTOR_DIM,
     model: Callable[[Column], Column] | None = None,
     cache_path: str | None = None,
+    model_name: str | None = None,
 ) -> DataFrame:
-    """The ten features and the label of every pair, in one plan."""
+    """The ten features and the label of every pair, in one plan.
+
+    Candidates with a vector of another width are no candidates. With a cache a model
+    needs ``model_name``, under which its vectors are kept.
+    """
     queries = pair_queries(pairs)
+    customers = customers.filter(has_width(F.col("identity_vec"), dim))
     if cache_path is None:
         encoded = encode_texts(queries, dim, model)
     else:
+        if model is not None and model_name is None:
+            raise ValueError("a cache of a model's vectors needs model_name")
         vectors = cached_vectors(
-            queries, cache_path, lambda texts: encode_texts(texts, dim, model))
+            queries, cache_path, lambda texts: encode_texts(texts, dim, model),
+            f"{model_name or 'trigrams'}:{dim}")
         encoded = queries.join(vectors, "identity_text")
     joined = pair_distances(
         encoded.withColumnRenamed("identity_vec", "vec"), customers, metric)
@@ -123,13 +131,14 @@ def fit_mllib(features: DataFrame) -> PipelineModel | LinearRanker:
 
 
 def fit_penalised(
-    features: DataFrame, tolerance: float = 1e-8, max_steps: int = 100
+    features: DataFrame, tolerance: float = 1e-8, max_steps: int = MAX_ITERATIONS
 ) -> LinearRanker:
     """The same fit with the intercept penalised like the other coefficients.
 
     Minimises half the squared length of all eleven coefficients plus the
     weighted log loss. Every Newton step is one aggregate of 78 sums over the
-    features, which are all that reaches the driver.
+    features, which are all that reaches the driver. ``converged`` tells whether the
+    gradient vanished, or no step improved the value within rounding.
     """
     weighted, weights, _ = _weighted(features)
     if len(weights) < 2:
@@ -164,8 +173,10 @@ def fit_penalised(
 
     w = np.zeros(d)
     value, gradient, hessian = sums(w)
+    converged = False
     for _ in range(max_steps):
         if np.abs(gradient).max() <= tolerance * max(1.0, abs(value)):
+            converged = True
             break
         step, size = np.linalg.solve(hessian, gradient), 1.0
         while True:
@@ -174,11 +185,14 @@ def fit_penalised(
             if new_value <= value or size < 1e-6:
                 break
             size /= 2
+        if new_value > value:
+            break  # no step along this direction is better: the point stays
         stalled = value - new_value <= 1e-14 * abs(value)
         w, value, gradient, hessian = trial, new_value, new_gradient, new_hessian
         if stalled:
+            converged = True
             break
-    return LinearRanker(tuple(w[:-1]), float(w[-1]))
+    return LinearRanker(tuple(w[:-1]), float(w[-1]), converged=converged)
 
 
 FITS = {"mllib": fit_mllib, "penalised": fit_penalised}
@@ -208,6 +222,7 @@ def train_ranker(
     dim: int = VECTOR_DIM,
     model: Callable[[Column], Column] | None = None,
     cache_path: str | None = None,
+    model_name: str | None = None,
     **pair_options,
 ) -> dict:
     """Train on labelled pairs, or on pairs made from the customers; a report.
@@ -218,22 +233,23 @@ def train_ranker(
     table = pair_source(customers, dim, model)
     if pairs_path is not None:
         if not path_exists(spark, pairs_path):
-            return {"success": False, "message": f"Training data not found: {pairs_path}"}
+            return {"success": False, "message": f"{NO_TRAINING_DATA}: {pairs_path}"}
         pairs = read_table(spark, pairs_path)
     else:
         pairs = labelled_pairs(
             table, max_pairs=max_pairs, dim=dim, model=model, **pair_options)
     features = written(
         training_features(
-            pairs, table, metric=metric, dim=dim, model=model, cache_path=cache_path),
+            pairs, table, metric=metric, dim=dim, model=model, cache_path=cache_path,
+            model_name=model_name),
         "features")
     fitted = FITS[fit](features)
     save_ranker(spark, fitted, model_path)
     result = accuracy(as_scorer(fitted)(features)).first()
     return {
         "success": True,
-        "message": "Model trained successfully",
-        "training_id": uuid.uuid4().hex[:8],
+        "message": TRAINED,
+        "training_id": f"{model_path.rstrip('/').rpartition('/')[2]}-{time.time_ns()}",
         "details": {
             "pairs_processed": result["pairs_processed"],
             "accuracy": result["accuracy"],

@@ -98,6 +98,10 @@ COMPLIANCE_NOTE = T.StructType([
     T.StructField("decision", _S),
 ])
 
+# Texts of the training report.
+TRAINED = "Model trained successfully"
+NO_TRAINING_DATA = "Training data not found"
+
 # The decision rule, search depth and vector width of the check.
 THRESHOLD = 0.82
 TOP_K = 200

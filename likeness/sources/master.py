@@ -55,10 +55,41 @@ def scan_jdbc(
     return scan_customers(rows, wanted)
 
 
+# One small row per batch: who wrote it, and the last id that it uses.
+MANIFEST = T.StructType([
+    T.StructField("batch_id", T.StringType()),
+    T.StructField("writer", T.StringType()),
+    T.StructField("last_id", T.LongType()),
+])
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    folder = f"{path.rstrip('/')}/_manifest"
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(folder)
+
+
 def last_id(spark: SparkSession, path: str, other_than: str) -> int:
-    """The largest id in use by other batches, zero for a new master."""
-    others = read_master(spark, path).filter(F.col("batch_id") != other_than)
-    return others.agg(F.coalesce(F.max("customer_id"), F.lit(0))).first()[0]
+    """The largest id in use by other batches, zero for a new master.
+
+    From the manifest; a batch that is not in it has its ids scanned.
+    """
+    listed = read_manifest(spark, path)
+    unlisted = read_master(spark, path).join(
+        listed.select("batch_id"), "batch_id", "left_anti").select(
+            "batch_id", F.col("customer_id").alias("last_id"))
+    used = listed.select("batch_id", "last_id").unionByName(unlisted)
+    return used.filter(F.col("batch_id") != other_than).agg(
+        F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
+
+
+def refuse_other_writer(spark: SparkSession, path: str, batch_id: str, writer: str) -> None:
+    """A batch is replaced by its own writer only."""
+    row = read_manifest(spark, path).filter(F.col("batch_id") == batch_id).first()
+    if row is not None and row["writer"] != writer:
+        raise ValueError(
+            f"batch {batch_id} was loaded by '{row['writer']}', not by '{writer}'; name the stream anew")
 
 
 def with_ids(rows: DataFrame, after: int, order: list[str] | None = None) -> DataFrame:
@@ -69,7 +100,9 @@ def with_ids(rows: DataFrame, after: int, order: list[str] | None = None) -> Dat
     the offsets, and a retried task cannot renumber anything.
     """
     if order:
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        # A digest as tie-break, so that many rows of one value can be split.
+        tie = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])
+        rows = rows.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
     place = F.monotonically_increasing_id()
     staged = written(
         rows.withColumn("_part", F.shiftright(place, 33).cast("int"))
@@ -97,14 +130,16 @@ def append_customers(
     batch_id: str,
     created_at: Column,
     order: list[str] | None = None,
+    writer: str = "",
 ) -> DataFrame:
     """Append normalised customers under fresh ids; gives the batch as written.
 
     ``created_at`` is used where rows bring no time of their own. One writer at a
     time: ids continue from the largest of the other batches, so writing a batch
-    again gives the same rows.
+    again gives the same rows. A batch that another ``writer`` loaded is refused.
     """
     spark = customers.sparkSession
+    refuse_other_writer(spark, path, batch_id, writer)
     stamp = (
         F.coalesce(F.col("created_at"), created_at)
         if "created_at" in customers.columns else created_at)
@@ -116,4 +151,8 @@ def append_customers(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.CUSTOMER.fields],
         F.to_date("created_at").alias("created_on"),
     ).write.mode("overwrite").partitionBy("created_on").parquet(folder)
-    return read_master(spark, path).filter(F.col("batch_id") == batch_id)
+    loaded = read_master(spark, path).filter(F.col("batch_id") == batch_id)
+    loaded.agg(F.max("customer_id").alias("last_id")).select(
+        F.lit(batch_id).alias("batch_id"), F.lit(writer).alias("writer"), "last_id",
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest/of={batch_id}")
+    return loaded

@@ -39,13 +39,13 @@ def read_delimited(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """A delimited file with a header, every column read as text.
 
     Types are never inferred, so ``+`` signs and leading zeros stay. Columns
-    come from the header; a ``schema`` has to agree with it. Quoted fields may
-    hold line breaks; where none do, ``multiline=False`` lets large files split.
+    come from the header; a ``schema`` has to agree with it. Large files are split;
+    where quoted fields hold line breaks, ``multiline=True`` reads each file in one task.
     """
     sep = TEXT_FORMATS.get(os.path.splitext(path)[1].lower(), ",")
     reader = (
@@ -72,7 +72,7 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
         s.getPath().getName() for s in fs.listStatus(p)
         if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
     if not splits:
-        raise ValueError(f"Unsupported data format for '{path}'")
+        raise ValueError(f"{path}: neither delimited text nor Parquet, and no folder of either")
     chosen = ["train"] if "train" in splits else splits
     frames = [
         spark.read.option("mergeSchema", True).parquet(f"{path.rstrip('/')}/{s}")
@@ -88,8 +88,11 @@ def concat(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read by what the path is: a folder of shards or splits, or a file."""
+def read_table(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Read by what the path is: a folder of shards or splits, or a file.
+
+    ``multiline`` is for delimited files whose quoted fields hold line breaks.
+    """
     extension = os.path.splitext(path)[1].lower()
     if _is_dir(spark, path):
         data = f"{path.rstrip('/')}/data"
@@ -97,19 +100,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         if _has_parquet(spark, folder):
             return read_shards(spark, path)
         if extension in TEXT_FORMATS:
-            return read_delimited(spark, path)
+            return read_delimited(spark, path, multiline=multiline)
         return read_splits(spark, path)
     if extension in TEXT_FORMATS:
-        return read_delimited(spark, path)
+        return read_delimited(spark, path, multiline=multiline)
     if extension in PARQUET_FORMATS:
         return spark.read.parquet(path)
-    raise ValueError(f"Unsupported data format for '{path}'")
+    raise ValueError(f"{path}: neither delimited text nor Parquet, and no folder of either")
 
 
-def read_payloads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Applicants from JSON: per file an object or an array of them.
+def read_payloads(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Applicants from JSON, an object on every line; large files are split.
 
-    With ``lines`` every line is an object, and large files are split.
+    Without ``lines`` each file is one object or an array of them.
     """
     reader = spark.read.schema(schemas.RAW_PAYLOAD).option("multiLine", not lines)
     raw = reader.json(path)

@@ -28,66 +28,79 @@ def applicant_stream(
     return reader.load(path)
 
 
-def batch_name(batch_id: int) -> str:
-    return f"stream-{batch_id:012d}"
+def batch_name(stream: str, batch_id: int) -> str:
+    """Streams into one master number their batches apart."""
+    return f"stream-{stream}-{batch_id:012d}"
+
+
+def run_id(batch: DataFrame) -> str:
+    """The identity of the running query; it stays with its progress folder."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
 def ingest_batch(
+    stream: str,
     master_path: str,
     created_at: Column,
     rejects_path: str | None = None,
     order: list[str] | None = None,
     **checks,
 ) -> Callable[[DataFrame, int], None]:
-    """The work on one micro-batch: load it under its own batch folder.
+    """The work on one micro-batch: load it under the stream's name and its own number.
 
     A batch that is run again finds the ids of the other batches unchanged and
-    replaces its own folder with the same rows.
+    replaces its own folder with the same rows. A stream started again on a fresh
+    progress folder counts from 0; it is refused, and needs another name.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
+        name = batch_name(stream, batch_id)
         _, rejects = ingest(
-            batch, master_path, batch_name(batch_id), created_at, order=order, **checks)
+            batch, master_path, name, created_at, order=order, writer=run_id(batch), **checks)
         if rejects_path is not None:
             rejects.write.mode("overwrite").parquet(
-                f"{rejects_path.rstrip('/')}/batch_id={batch_name(batch_id)}")
+                f"{rejects_path.rstrip('/')}/batch_id={name}")
     return load
 
 
 def check_batch(
-    master_path: str, verdicts_path: str, **check
+    stream: str, master_path: str, verdicts_path: str, **check
 ) -> Callable[[DataFrame, int], None]:
     """The work on one micro-batch: verdicts against the master as it is.
 
-    Customers of this and later batches are left out, so that a batch that is run
-    again after its ingest gives the same verdicts.
+    Customers of this and later batches of the stream are left out, so that a batch that
+    is run again after its ingest gives the same verdicts. By default only customers that
+    share a key are looked at, which reads the master's keys and few of its vectors.
     """
+    check = {"method": "keys"} | check
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        name = batch_name(batch_id)
+        name = batch_name(stream, batch_id)
         master = read_master(batch.sparkSession, master_path).filter(
-            ~F.col("batch_id").startswith("stream-") | (F.col("batch_id") < name))
+            ~F.col("batch_id").startswith(f"stream-{stream}-") | (F.col("batch_id") < name))
         check_duplicates(batch, master, **check).write.mode("overwrite").parquet(
             f"{verdicts_path.rstrip('/')}/batch_id={name}")
     return run
 
 
 def ingest_stream(
-    stream: DataFrame, master_path: str, created_at: Column, **options
+    stream: DataFrame, name: str, master_path: str, created_at: Column, **options
 ) -> DataStreamWriter:
     """A writer that loads every micro-batch; the caller starts it."""
     return stream.writeStream.foreachBatch(
-        ingest_batch(master_path, created_at, **options))
+        ingest_batch(name, master_path, created_at, **options))
 
 
 def check_stream(
-    stream: DataFrame, master_path: str, verdicts_path: str, **check
+    stream: DataFrame, name: str, master_path: str, verdicts_path: str, **check
 ) -> DataStreamWriter:
     """A writer that checks every micro-batch; ``stream`` has ``query_id``."""
     return stream.writeStream.foreachBatch(
-        check_batch(master_path, verdicts_path, **check))
+        check_batch(name, master_path, verdicts_path, **check))
 
 
 def check_and_ingest_stream(
     stream: DataFrame,
+    name: str,
     master_path: str,
     verdicts_path: str,
     created_at: Column,
@@ -98,8 +111,8 @@ def check_and_ingest_stream(
 
     Duplicates within one micro-batch meet in the next check of either.
     """
-    first = check_batch(master_path, verdicts_path, **(check or {}))
-    then = ingest_batch(master_path, created_at, **options)
+    first = check_batch(name, master_path, verdicts_path, **(check or {}))
+    then = ingest_batch(name, master_path, created_at, **options)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         first(batch, batch_id)
@@ -107,6 +120,25 @@ def check_and_ingest_stream(
     return stream.writeStream.foreachBatch(run)
 
 
+def upsert_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """The work on one micro-batch of changed counts: append them under the batch's number.
+
+    For the update mode; :func:`latest` gives the table as it stands. A batch run again
+    replaces its own rows.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id:012d}")
+    return run
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last count of each key that :func:`upsert_batch` wrote."""
+    changes = spark.read.parquet(path)
+    values = [c for c in changes.columns if c not in (*keys, "batch")]
+    return changes.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
+
+
 def daily_counts(customers: DataFrame, late: str = "1 day") -> DataFrame:
     """Customers per day of creation; rows later than ``late`` are not counted.
 

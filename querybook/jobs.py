@@ -10,10 +10,10 @@ from likeness.plans.ingest import ingest
 from likeness.plans.loans import check_loans, identity_part, loan_part, with_loan
 from likeness.plans.pairs import labelled_pairs
 from likeness.plans.records import pair_query_columns
-from likeness.plans.train import accuracy, class_weights, train_ranker, training_features
+from likeness.plans.train import accuracy, class_weights, fit_penalised, train_ranker, training_features
 from likeness.schemas import FEATURES
-from likeness.sources.checkpoints import checkpoint_dir
-from likeness.sources.models import LinearRanker, load_scorer
+from likeness.sources.checkpoints import checkpoint_dir, written
+from likeness.sources.models import LinearRanker, load_scorer, save_ranker
 from querybook.base import (
     AS_OF, applicants, as_of, customers, query, rounded, sql_cust, sql_fx, sql_vec, table)
 from querybook.checks import RANKED, _SIDES
@@ -34,7 +34,7 @@ def a1(spark, sf_dir):
 @query("a2_created_today", sql_cust(
     f"SELECT count(*) AS today_applicants FROM cust WHERE created_on = DATE '{AS_OF}'"))
 def a2(spark, sf_dir):
-    return st.stats(customers(spark, sf_dir), as_of()).select("today_applicants")
+    return st.created_today(customers(spark, sf_dir), as_of())
 
 
 @query("a3_duplicate_alerts", sql_cust(
@@ -53,7 +53,7 @@ def a4(spark, sf_dir):
   SELECT round(count(*) FILTER (created_on = DATE '{AS_OF}') / count(*) * 100, 1)
          AS processing_rate FROM cust"""))
 def a5(spark, sf_dir):
-    return st.stats(customers(spark, sf_dir), as_of()).select("processing_rate")
+    return st.daily_rate(customers(spark, sf_dir), as_of())
 
 
 _STATS = f"""
@@ -160,6 +160,18 @@ def w4(spark, sf_dir):
         stored_customers(spark, sf_dir), max_pairs=500).fillna("", ["query_dob"])
 
 
+@query("e3_with_bad_vectors", sql_vec(
+    "SELECT label, count(*) AS pairs FROM labelled GROUP BY label",
+    NEGATIVES.replace("FROM cust),", "FROM good),").replace("JOIN cust c ON c.identity_text", "JOIN good c ON c.identity_text"),
+    _RING.replace("FROM cust),", "FROM good),"),
+).replace("members AS (", "good AS (SELECT * FROM cust WHERE customer_id % 7 <> 3),\nmembers AS ("))
+def e3_bad(spark, sf_dir):
+    """Customers with a vector of another width take no part, and stop nothing."""
+    master = stored_customers(spark, sf_dir).withColumn("identity_vec", F.when(
+        F.col("customer_id") % 7 == 3, F.slice("identity_vec", 1, 100)).otherwise(F.col("identity_vec")))
+    return labelled_pairs(master).groupBy("label").agg(F.count("*").alias("pairs"))
+
+
 # -- training ---------------------------------------------------------------------
 # Every customer with the first of its group of five ids, labelled 1 when both are
 # the same person.
@@ -230,27 +242,74 @@ def _trained(spark, sf_dir, fit):
     return report, scored
 
 
-@query("m8_trained_scores_mllib")
+_BY_LABEL = f"SELECT {_LABEL} AS label, count(*) AS pairs, true AS in_range FROM feats GROUP BY 1"
+
+
+@query("m8_trained_scores_mllib", features_sql(_BY_LABEL))
 def m8(spark, sf_dir):
     _, scored = _trained(spark, sf_dir, "mllib")
-    return scored.select("query_id", "customer_id", "label", rounded("score").alias("score"))
+    return scored.groupBy("label").agg(
+        F.count("*").alias("pairs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"))
 
 
-@query("m8_trained_scores")
+@query("m8_trained_scores", features_sql(_BY_LABEL))
 def m8_penalised(spark, sf_dir):
     _, scored = _trained(spark, sf_dir, "penalised")
-    return scored.select("query_id", "customer_id", "label", rounded("score").alias("score"))
-
-
-@query("e4_train_report")
+    return scored.groupBy("label").agg(
+        F.count("*").alias("pairs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"))
+
+
+@query("m8_optimum", features_sql(f"""
+  SELECT count(*) AS pairs, count(*) FILTER ({_LABEL} = 1) AS positives, true AS converged,
+         true AS at_optimum FROM feats"""))
+def m8_optimum(spark, sf_dir):
+    """The gradient at the fitted weights, summed by SQL apart from the fit, is zero."""
+    features = written(training_features(*labelled_person_pairs(spark, sf_dir)), "features")
+    model = fit_penalised(features)
+    w = class_weights(features).select("label", "weight")
+    pull = F.col("weight") * (F.col("score") - F.col("label"))
+    at = model(features).join(w, "label")
+    sums = [F.sum(pull * c) + b for c, b in zip(
+        [*map(F.col, FEATURES), F.lit(1.0)], [*model.coefficients, model.intercept])]
+    scale = [F.sum(F.abs(pull * c)) + 1 for c in [*map(F.col, FEATURES), F.lit(1.0)]]
+    return at.agg(
+        F.count("*").alias("pairs"), F.count_if("label = 1").alias("positives"),
+        F.lit(model.converged).alias("converged"),
+        F.greatest(*[F.abs(s) / n for s, n in zip(sums, scale)]).alias("gap")).select(
+            "pairs", "positives", "converged", (F.col("gap") < 1e-5).alias("at_optimum"))
+
+
+@query("e4_train_report", sql_vec(
+    "SELECT true AS success, 'Model trained successfully' AS message, "
+    "least(count(*), 3000) AS pairs_processed FROM labelled", NEGATIVES, _RING))
 def e4(spark, sf_dir):
     report = train_ranker(
         spark, _new_path(spark, "model"), stored_customers(spark, sf_dir), max_pairs=3000)
-    details = report["details"]
     return spark.createDataFrame(
-        [(report["success"], report["message"], details["pairs_processed"],
-          details["accuracy"])],
-        "success boolean, message string, pairs_processed bigint, accuracy double")
+        [(report["success"], report["message"], report["details"]["pairs_processed"])],
+        "success boolean, message string, pairs_processed bigint")
+
+
+@query("s15_missing_training_data", """
+  SELECT false AS success, 'Training data not found' AS message, count(*) AS customers FROM customer""")
+def s15(spark, sf_dir):
+    master = stored_customers(spark, sf_dir)
+    report = train_ranker(
+        spark, _new_path(spark, "model"), master, pairs_path=_new_path(spark, "no-pairs.csv"))
+    return master.agg(F.count("*").alias("customers")).select(
+        F.lit(report["success"]).alias("success"),
+        F.lit(report["message"].split(":")[0]).alias("message"), "customers")
+
+
+@query("s13_stored_model", features_sql(
+    "SELECT query_id, customer_id, round(1 / (1 + exp(-("
+    + " + ".join(f"{w}::DOUBLE * {f}" for f, w in zip(FEATURES, _WEIGHTS))
+    + " - 6.0::DOUBLE))), 6) AS score FROM feats"))
+def s13(spark, sf_dir):
+    path = _new_path(spark, "ranker")
+    save_ranker(spark, LinearRanker(tuple(_WEIGHTS), -6.0), path)
+    return load_scorer(spark, path)(_labelled_scores(spark, sf_dir)).select(
+        "query_id", "customer_id", rounded("score").alias("score"))
 
 
 # -- loans and notes --------------------------------------------------------------

@@ -193,32 +193,56 @@ sized AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM keys)
   SELECT DISTINCT a.customer_id AS query_id, b.customer_id FROM keys a JOIN keys b
   ON a.key = b.key""", _KEYS))
 def j5(spark, sf_dir):
-    master = stored_customers(spark, sf_dir)
-    return _keyed(master, 200)
-
-
-def _keyed(master, k):
-    m = master.withColumnRenamed("identity_vec", "vec")
-    return shared_key_pairs(m.withColumnRenamed("customer_id", "query_id"), m, k)
+    return keyed(stored_customers(spark, sf_dir))
+
+
+def keyed(master):
+    return shared_key_pairs(master.withColumnRenamed("customer_id", "query_id"), master)
+
+
+# Which side of planes through the mean a vector lies on; the planes are an md5's.
+BUCKETS = """
+size AS (SELECT greatest(1, CAST(ceil(log2(count(*) / 64)) AS INT)) AS bits, count(*) AS n FROM cust),
+planes AS (
+  SELECT t, i, d, CASE WHEN substr(md5(t || ':' || i || ':' || d), 1, 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE AS s
+  FROM (SELECT t, d, unnest(range(bits)) AS i FROM size, range(8) a(t), range(512) b(d)) p),
+means AS (SELECT b AS d, sum(x) / any_value(n) AS mean FROM sparse, size GROUP BY b),
+shifts AS (SELECT t, i, sum(s * mean) AS shift FROM planes JOIN means USING (d) GROUP BY t, i),
+buckets AS (
+  SELECT customer_id, t, sum(CASE WHEN round(p - shift, 9) >= 0 THEN 1 << i ELSE 0 END) AS bucket
+  FROM (SELECT customer_id, t, i, sum(x * s) AS p FROM sparse JOIN planes ON d = b
+        GROUP BY customer_id, t, i) v JOIN shifts USING (t, i) GROUP BY customer_id, t),
+meeting AS (
+  SELECT DISTINCT a.customer_id AS query_id, b.customer_id FROM buckets a JOIN buckets b
+  ON a.t = b.t AND a.bucket = b.bucket)
+"""
 
 
-@query("j5_hot_keys", sql_vec("""
-  SELECT DISTINCT a.customer_id AS query_id, b.customer_id
-  FROM sized a JOIN sized b ON a.key = b.key WHERE b.n <= 2
-  UNION
-  SELECT query_id, customer_id FROM (
-    SELECT h.query_id, h.customer_id, row_number() OVER (
-             PARTITION BY h.query_id
-             ORDER BY round(list_cosine_distance(qv.vec, cv.vec), 9), h.customer_id) AS rank
-    FROM (SELECT DISTINCT a.customer_id AS query_id, b.customer_id
-          FROM sized a JOIN sized b ON a.key = b.key WHERE b.n > 2) h
-    JOIN vecs qv ON qv.customer_id = h.query_id
-    JOIN vecs cv ON cv.customer_id = h.customer_id) r WHERE rank <= 2""", _KEYS))
-def j5_hot(spark, sf_dir):
-    return _keyed(stored_customers(spark, sf_dir), 2)
+def hashed_near(k, name="near"):
+    return f"""
+{name} AS (
+  SELECT query_id, customer_id, vdist, row_number() OVER (
+           PARTITION BY query_id ORDER BY round(vdist, 9), customer_id) AS rank
+  FROM dist JOIN meeting USING (query_id, customer_id) QUALIFY rank <= {k})"""
 
 
-@query("j6_approximate_nearest")
+@query("j6_approximate_nearest", sql_vec(
+    "SELECT query_id, customer_id, rank, round(vdist, 6) AS vdist FROM near",
+    BUCKETS, hashed_near(10)))
 def j6(spark, sf_dir):
     master = stored_customers(spark, sf_dir)
     return _rounded(approximate_nearest(*_identity_sides(master), 10))
+
+
+@query("j6_recall", sql_vec("""
+  SELECT count(*) AS neighbours, count(h.rank) AS found FROM (
+    SELECT query_id, customer_id, row_number() OVER (
+      PARTITION BY query_id ORDER BY round(vdist, 9), customer_id) AS rank
+    FROM dist QUALIFY rank <= 2) e LEFT JOIN near h USING (query_id, customer_id)""",
+    BUCKETS, hashed_near(2)))
+def j6_recall(spark, sf_dir):
+    sides = _identity_sides(stored_customers(spark, sf_dir))
+    exact = nearest(*sides, 2).select("query_id", "customer_id")
+    found = approximate_nearest(*sides, 2).select("query_id", "customer_id", "rank")
+    return exact.join(found, ["query_id", "customer_id"], "left").agg(
+        F.count("*").alias("neighbours"), F.count("rank").alias("found"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from likeness.sources.checkpoints import checkpoint_dir
 from likeness.sources.master import append_customers, read_master
 from likeness.streaming.jobs import (
-    applicant_stream, check_stream, daily_counts, holder_counts, ingest_stream)
+    applicant_stream, check_stream, daily_counts, holder_counts, ingest_stream, latest,
+    upsert_batch)
 from querybook.base import AS_OF, applicants, customers, query, sql_cust
 from querybook.checks import _KEYED, _VERDICT, _verdict, check_sql
 
@@ -36,7 +37,7 @@ def t1(spark, sf_dir):
     folder = _folder(spark)
     stream = _arrivals(spark, sf_dir, folder).drop("created_on")
     _finish(ingest_stream(
-        stream, f"{folder}/master", F.to_timestamp(F.lit(AS_OF)), order=["customer_id"]), folder)
+        stream, "arrivals", f"{folder}/master", F.to_timestamp(F.lit(AS_OF)), order=["customer_id"]), folder)
     return read_master(spark, f"{folder}/master").groupBy(
         "identity_text", F.col("created_on").cast("string").alias("created_on")
     ).agg(F.countDistinct("customer_id").alias("customers"))
@@ -50,7 +51,7 @@ def t2(spark, sf_dir):
     append_customers(
         master, f"{folder}/master", "bulk", F.to_timestamp(F.lit(AS_OF)), ["customer_id"])
     _finish(check_stream(
-        stream, f"{folder}/master", f"{folder}/verdicts", method="keys"), folder)
+        stream, "arrivals", f"{folder}/master", f"{folder}/verdicts", method="keys"), folder)
     # The master numbers its customers from 1, in order of their former ids.
     checked = spark.read.parquet(f"{folder}/verdicts")
     return _verdict(checked).withColumn("best_customer_id", F.when(
@@ -58,11 +59,12 @@ def t2(spark, sf_dir):
     ).otherwise(F.col("best_customer_id")))
 
 
-def _to_memory(df, mode):
-    name = f"t_{uuid.uuid4().hex}"
-    folder = _folder(df.sparkSession)
-    _finish(df.writeStream.format("memory").queryName(name).outputMode(mode), folder)
-    return df.sparkSession.table(name)
+def _updated(counts, keys):
+    """The counts of a stream in update mode, each micro-batch written to a table."""
+    folder = _folder(counts.sparkSession)
+    _finish(counts.writeStream.outputMode("update").foreachBatch(
+        upsert_batch(f"{folder}/counts")), folder)
+    return latest(counts.sparkSession, f"{folder}/counts", keys)
 
 
 @query("t3_stream_daily_counts", sql_cust("""
@@ -70,7 +72,8 @@ def _to_memory(df, mode):
   FROM cust GROUP BY created_on"""))
 def t3_days(spark, sf_dir):
     stream = _arrivals(spark, sf_dir, _folder(spark))
-    return _to_memory(daily_counts(stream), "complete").select(
+    # All files of a day arrive together here, so that no row comes too late.
+    return _updated(daily_counts(stream, "40 days"), ["created_on"]).select(
         F.col("created_on").cast("string").alias("created_on"), "customers")
 
 
@@ -82,4 +85,4 @@ def t3_holders(spark, sf_dir):
     from likeness.functions.normalize import norm_govid
     stream = _arrivals(spark, sf_dir, _folder(spark)).withColumn(
         "gov_id_norm", norm_govid(F.col("gov_id")))
-    return _to_memory(holder_counts(stream), "complete")
+    return _updated(holder_counts(stream), ["gov_id_norm"])

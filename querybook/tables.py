@@ -101,6 +101,43 @@ def s7(spark, sf_dir):
     return readers.lower_columns(named)
 
 
+_SOURCES = ["customer", "documents", "events"]
+
+
+@query("s5_dispatch", " UNION ALL ".join(
+    f"SELECT '{t}{e}' AS source, {'true' if ok else 'false'} AS accepted, "
+    + (f"count(*) AS records FROM {t}" if ok else "0::BIGINT AS records")
+    for t in _SOURCES for e, ok in ((".parquet", True), (".csv", True), (".xlsx", False))))
+def s5(spark, sf_dir):
+    """What each given table is read as, by its name."""
+    outcomes = []
+    for t in _SOURCES:
+        copies = {".parquet": f"{sf_dir}/{t}.parquet", ".csv": _new_path(spark, f"{t}.csv"),
+                  ".xlsx": f"{sf_dir}/{t}.xlsx"}
+        table(spark, sf_dir, t).select(F.xxhash64("*").alias("row")).write.options(**CSV_OPTIONS).csv(copies[".csv"])
+        for extension, path in copies.items():
+            try:
+                outcomes.append((t + extension, True, readers.read_table(spark, path).count()))
+            except ValueError:
+                outcomes.append((t + extension, False, 0))
+    return spark.createDataFrame(outcomes, "source string, accepted boolean, records bigint")
+
+
+@query("s8_required_columns", " UNION ALL ".join(
+    f"SELECT '{t}' AS source, {'true' if t == 'documents' else 'false'} AS accepted, count(*) AS records FROM {t}"
+    for t in _SOURCES))
+def s8(spark, sf_dir):
+    """Which of the given tables have the columns of a document."""
+    def accepted(t):
+        try:
+            readers.require_columns(t, "doc_id", "text")
+            return True
+        except KeyError:
+            return False
+    rows = [(t, accepted(table(spark, sf_dir, t)), table(spark, sf_dir, t).count()) for t in _SOURCES]
+    return spark.createDataFrame(rows, "source string, accepted boolean, records bigint")
+
+
 @query("s9_vector_from_text", """
   SELECT vec_id, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total
   FROM embeddings""")
@@ -175,9 +212,9 @@ def s12_parquet(spark, sf_dir):
 def s14(spark, sf_dir):
     path = _new_path(spark, "vectors")
     texts = customers(spark, sf_dir).select("identity_text", "gov_id_norm")
-    cached_vectors(texts.filter("gov_id_norm = ''"), path, encode_texts)
+    cached_vectors(texts.filter("gov_id_norm = ''"), path, encode_texts, "trigrams:512")
     total = F.aggregate("identity_vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return cached_vectors(texts, path, encode_texts).select(
+    return cached_vectors(texts, path, encode_texts, "trigrams:512").select(
         "identity_text", rounded(total).alias("vec_sum"))
 
 

@@ -1,6 +1,7 @@
 """Ingest, pairs, training, checks, loans and streams end to end."""
 
 import json
+import random
 import uuid
 
 import numpy as np
@@ -12,7 +13,7 @@ from likeness.functions.encode import encode_texts
 from likeness.functions.score import with_rule_score
 from likeness.plans.check import check_duplicates, pair_features, split_by_width
 from likeness.plans.ingest import ingest, new_customers, with_errors
-from likeness.plans.loans import check_loans, rendered
+from likeness.plans.loans import check_loans
 from likeness.plans.pairs import labelled_pairs
 from likeness.plans.records import candidate_rows, customer_rows, query_object
 from likeness.plans.stats import stats
@@ -23,12 +24,12 @@ from likeness.sources import readers
 from likeness.sources.master import read_master, scan_customers
 from likeness.sources.models import LinearRanker, load_scorer, save_ranker
 from likeness.sources.vector_cache import cached_vectors, missing_texts
-from likeness.streaming.jobs import check_and_ingest_stream, ingest_batch, ingest_stream
+from likeness.streaming.jobs import check_and_ingest_stream, ingest_stream
 
 PERSON = {
-    "full_name": "John Doe", "dob": "1980-01-01", "phone": "+10012345678",
-    "email": "john@example.com", "gov_id": "ID123", "addr_line": "123 Street",
-    "city": "Metropolis", "state": "NY", "postal_code": "123456", "country": "IN",
+    "full_name": "Mira Okonkwo-Vance", "dob": "1971-11-23", "phone": "+4420794600",
+    "email": "mira.vance@mail.test", "gov_id": "QX7781", "addr_line": "9 Quarry Lane",
+    "city": "Harrowgate", "state": "KL", "postal_code": "682014", "country": "IN",
 }
 
 
@@ -51,21 +52,49 @@ def test_check_finds_the_identical_person(spark):
         raw(spark, {}, {"full_name": "Zoe", "phone": "1", "email": "z@z.z", "gov_id": "",
                         "dob": None, "addr_line": None, "city": None, "state": None,
                         "postal_code": None}),
-        master_of(spark, {"gov_id": " id123 "}, {"gov_id": "X", "email": "", "phone": ""}))
+        master_of(spark, {"gov_id": " qx7781 "}, {"gov_id": "X", "email": "", "phone": ""}))
     first, second = got.orderBy("query_id").collect()
     assert first.is_duplicate and first.score > 0.95 and first.threshold == 0.82
-    assert first.best_match.government_id == "ID123" and len(first.candidates) == 2
-    assert first.best_match.date_of_birth == "1980-01-01"
+    assert first.best_match.government_id == "QX7781" and len(first.candidates) == 2
+    assert first.best_match.date_of_birth == "1971-11-23"
     assert not second.is_duplicate and second.score < 0.5
 
 
-@pytest.mark.parametrize("method", ["exact", "keys", "hashed"])
+@pytest.mark.parametrize("method", ["exact", "keys", "default"])
 def test_check_without_candidates(spark, method):
     master = master_of(spark, {}).filter("customer_id < 0")
     row = check_duplicates(raw(spark, {}), master, method=method).first()
     assert (row.is_duplicate, row.score, row.best_match, row.candidates) == (False, 0.0, None, [])
 
 
+@pytest.mark.parametrize("holders", [100, 1500])
+def test_the_verdict_does_not_depend_on_how_many_share_a_key(spark, holders):
+    near = [{"phone": "+4420794600", "email": f"p{i}@x.test", "gov_id": f"P{i}", "dob": "1950-01-01"} for i in range(holders)]
+    mail = [{"phone": f"+99{i:09d}", "email": "mira.vance@mail.test", "gov_id": f"M{i}", "dob": "1950-01-01"} for i in range(holders)]
+    match = {"full_name": "zz", "addr_line": "1 x", "city": "q", "state": "w", "postal_code": "111111", "gov_id": "other", "dob": "1971-11-20"}
+    row = check_duplicates(
+        raw(spark, {"gov_id": ""}), master_of(spark, match, *near, *mail),
+        method="keys", block_rows=512).first()
+    assert row.is_duplicate and row.best_match.customer_id == 0
+    assert row.score > 0.9 and len(row.candidates) == 10
+
+
+def test_hot_keys_are_scored_like_listed_pairs(spark):
+    rng = random.Random(3)
+    people = [{"full_name": rng.choice(["ann lee", "bob ray", "anna lee", "robert ray"]), "phone": rng.choice(["+11111111111", "+22222222222", ""]),
+               "email": f"{i}@x.y" if i % 3 else "same@x.y", "gov_id": f"G{rng.randrange(60)}", "dob": rng.choice(["1980-01-01", "1980-01-15", None]),
+               "addr_line": rng.choice(["1 main st", "1 main road", "", "2 side st"]), "city": rng.choice(["A", "Ab", ""]),
+               "state": "S", "postal_code": rng.choice(["560001", "560002", "x"])} for i in range(90)]
+    master, asked = master_of(spark, *people), raw(spark, *people[:30])
+    rows = [check_duplicates(asked, master, method="keys", hot_rows=h, block_rows=16).orderBy("query_id").collect() for h in (10_000, 5)]
+    for a, b in zip(*rows):
+        assert [(c.customer_id, round(c.score, 9), round(c.vector_distance, 9)) for c in a.candidates] == [
+            (c.customer_id, round(c.score, 9), round(c.vector_distance, 9)) for c in b.candidates]
+        assert (a.is_duplicate, round(a.score, 9)) == (b.is_duplicate, round(b.score, 9))
+    with pytest.raises(ValueError, match="no array form"):
+        check_duplicates(asked, master, lambda df: with_rule_score(df), method="keys", hot_rows=5)
+
+
 def test_features_of_an_identical_pair(spark):
     queries = query_object(raw(spark, {}), "query_id")
     pairs = spark.createDataFrame([(0, 0, 0.0)], "query_id bigint, customer_id bigint, vdist double")
@@ -229,10 +258,17 @@ def test_vector_cache_encodes_only_what_is_missing(spark, tmp_path):
         asked.append(texts.count())
         return encode_texts(texts, 8)
     texts = spark.createDataFrame([("abc",), ("abc",), ("defg",)], "identity_text string")
-    assert cached_vectors(texts.limit(1), path, encode).count() == 1
-    assert cached_vectors(texts, path, encode).count() == 2
+    assert cached_vectors(texts.limit(1), path, encode, "e:8").count() == 1
+    assert cached_vectors(texts, path, encode, "e:8").count() == 2
     assert asked == [1, 1]
-    assert missing_texts(texts, spark.read.parquet(path)).count() == 0
+    assert missing_texts(texts, spark.read.parquet(path), "e:8").count() == 0
+    # Another width is another vector.
+    wide = cached_vectors(texts, path, lambda t: encode_texts(t, 16), "e:16")
+    assert {len(r.identity_vec) for r in wide.collect()} == {16}
+    # A text that two writers appended is read once.
+    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
+    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
+    assert cached_vectors(texts, path + "-twice", encode, "e:8").count() == 2
 
 
 def test_readers_dispatch(spark, tmp_path):
@@ -245,7 +281,7 @@ def test_readers_dispatch(spark, tmp_path):
     (tmp_path / "x.xlsx").write_text("no")
     (tmp_path / "empty").mkdir()
     for bad in ("x.xlsx", "empty"):
-        with pytest.raises(ValueError, match="Unsupported data format"):
+        with pytest.raises(ValueError, match="neither delimited text nor Parquet"):
             readers.read_table(spark, str(tmp_path / bad))
     with pytest.raises(KeyError):
         scan_customers(df)
@@ -256,14 +292,14 @@ def test_readers_dispatch(spark, tmp_path):
     '[{"full_name": "A", "dob": "1990-01-01", "gov_id": "G"}]'])
 def test_payloads_in_either_spelling(spark, tmp_path, text):
     (tmp_path / "p.json").write_text(text)
-    row = readers.read_payloads(spark, str(tmp_path / "p.json")).first()
+    row = readers.read_payloads(spark, str(tmp_path / "p.json"), lines=False).first()
     assert (row.full_name, row.dob, row.gov_id, row.country) == ("A", "1990-01-01", "G", None)
-    assert query_object(readers.read_payloads(spark, str(tmp_path / "p.json"))).first().country == "IN"
+    assert query_object(readers.read_payloads(spark, str(tmp_path / "p.json"), lines=False)).first().country == "IN"
 
 
 def test_quoted_fields_keep_line_breaks(spark, tmp_path):
     (tmp_path / "q.csv").write_text('full_name,addr_line\n"Doe, ""J""","1 Main\nSt"\n')
-    assert tuple(readers.read_table(spark, str(tmp_path / "q.csv")).first()) == ('Doe, "J"', "1 Main\nSt")
+    assert tuple(readers.read_table(spark, str(tmp_path / "q.csv"), multiline=True).first()) == ('Doe, "J"', "1 Main\nSt")
 
 
 def test_sorting_by_any_column(spark):
@@ -294,33 +330,80 @@ def test_loan_check_and_latest_note(spark):
         ("DUPLICATE DETECTED", "high", "rejected", "Home Loan"),
         ("UNIQUE APPLICANT", "low", None, "Home Loan")]
     assert got[0].score_text == "99.0%" and got[0].threshold_text == "82%"
-    assert rendered.__doc__
+
+
+def one_file(spark, folder, name, *people):
+    """One Parquet file; files arrive in order of their time."""
+    import os
+    import time
+
+    raw(spark, *people).coalesce(1).write.mode("append").parquet(str(folder))
+    for f in os.listdir(folder):
+        if f.endswith(".parquet") and not f.startswith("done"):
+            os.rename(folder / f, folder / f"done-{name}.parquet")
+            stamp = time.time() - 1000 + name
+            os.utime(folder / f"done-{name}.parquet", (stamp, stamp))
+
+
+def finish(writer, progress):
+    writer.option("checkpointLocation", str(progress)).trigger(availableNow=True).start().awaitTermination()
 
 
 def test_streamed_batches_are_checked_then_loaded_and_can_be_replayed(spark, tmp_path):
-    raw(spark, {}, {"full_name": "Other", "gov_id": "O", "phone": "+19999999999",
-                    "email": "o@o.io"}).repartition(1).write.parquet(str(tmp_path / "in"))
-    raw(spark, {"full_name": "JOHN DOE"}).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arrivals = tmp_path / "in"
+    one_file(spark, arrivals, 0, {}, {"full_name": "Other", "gov_id": "O", "phone": "+19999999999", "email": "o@o.io"})
+    one_file(spark, arrivals, 1, {"full_name": "MIRA OKONKWO-VANCE"})
     stream = spark.readStream.schema(raw(spark, {}).schema).option(
-        "maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        "maxFilesPerTrigger", 1).parquet(str(arrivals))
     master, verdicts = str(tmp_path / "master"), str(tmp_path / "verdicts")
-    check_and_ingest_stream(
-        stream, master, verdicts, now(), check={"method": "keys"},
-        rejects_path=str(tmp_path / "rejects")).option(
-            "checkpointLocation", str(tmp_path / "progress")).trigger(
-                availableNow=True).start().awaitTermination()
+    finish(check_and_ingest_stream(
+        stream, "s", master, verdicts, now(), rejects_path=str(tmp_path / "rejects")), tmp_path / "progress")
     rows = read_master(spark, master).orderBy("customer_id").collect()
-    assert [r.customer_id for r in rows] == [1, 2, 3]
-    seen = {r.batch_id: r.is_duplicate for r in spark.read.parquet(verdicts).filter(
-        "batch_id = 'stream-000000000001'").collect()}
-    assert list(seen.values()) in ([True], [True, True], [False])
-    # The last batch run again: the same rows under the same ids.
-    last = spark.read.parquet(str(tmp_path / "in")).filter("full_name = 'JOHN DOE'")
-    batch = max(r.batch_id for r in rows)
-    if [r.full_name for r in rows if r.batch_id == batch] == ["JOHN DOE"]:
-        ingest_batch(master, now())(last, int(batch.split("-")[1]))
-        assert [tuple(r)[:2] for r in read_master(spark, master).orderBy("customer_id").collect()] == [
-            tuple(r)[:2] for r in rows]
+    assert [(r.customer_id, r.batch_id) for r in rows] == [
+        (1, "stream-s-000000000000"), (2, "stream-s-000000000000"), (3, "stream-s-000000000001")]
+    seen = [(r.batch_id, r.is_duplicate) for r in spark.read.parquet(verdicts).orderBy("batch_id").collect()]
+    assert seen == [("stream-s-000000000000", False)] * 2 + [("stream-s-000000000001", True)]
+    # The last batch run again by the same writer: the same rows under the same ids.
+    run = spark.read.parquet(f"{master}/_manifest").first()["writer"]
+    assert run
+    last = spark.read.parquet(str(arrivals / "done-1.parquet"))
+    ingest(last, master, "stream-s-000000000001", now(), writer=run)
+    again = read_master(spark, master).orderBy("customer_id").collect()
+    assert [(r.customer_id, r.full_name) for r in again] == [(r.customer_id, r.full_name) for r in rows]
+
+
+def test_other_streams_do_not_replace_loaded_batches(spark, tmp_path):
+    one_file(spark, tmp_path / "in", 0, *[{"full_name": f"N{i}"} for i in range(30)])
+    one_file(spark, tmp_path / "more", 0, *[{"full_name": f"M{i}"} for i in range(7)])
+    schema, master = raw(spark, {}).schema, str(tmp_path / "master")
+    read = lambda folder: spark.readStream.schema(schema).parquet(str(tmp_path / folder))
+    finish(ingest_stream(read("in"), "a", master, now()), tmp_path / "p1")
+    finish(ingest_stream(read("more"), "b", master, now()), tmp_path / "p2")
+    assert sorted(r.customer_id for r in read_master(spark, master).collect()) == list(range(1, 38))
+    # The same name on a fresh progress folder would start at batch 0 again.
+    with pytest.raises(Exception, match="name the stream anew"):
+        finish(ingest_stream(read("more"), "a", master, now()), tmp_path / "p3")
+    assert read_master(spark, master).count() == 37
+
+
+def test_late_rows_of_a_stream_are_not_counted(spark, tmp_path):
+    from likeness.streaming.jobs import daily_counts, latest, upsert_batch
+
+    days = ["2024-01-10", "2024-01-10", "2024-01-20", "2024-01-10", "2024-01-20"]
+    for i, part in enumerate((days[:2], days[2:3], days[3:])):
+        spark.createDataFrame([(d,) for d in part], "d string").select(
+            F.to_timestamp("d").alias("created_at")).coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+    import os
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        f, = [x for x in os.listdir(tmp_path / f"f{i}") if x.endswith(".parquet")]
+        os.rename(tmp_path / f"f{i}" / f, tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("created_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    finish(daily_counts(stream, "1 day").writeStream.outputMode("update").foreachBatch(
+        upsert_batch(str(tmp_path / "counts"))), tmp_path / "p")
+    found = {str(r.created_on): r.customers for r in latest(spark, str(tmp_path / "counts"), ["created_on"]).collect()}
+    assert found == {"2024-01-10": 2, "2024-01-20": 2}
 
 
 def test_streamed_ingest_equals_bulk_ingest(spark, tmp_path):
@@ -328,7 +411,7 @@ def test_streamed_ingest_equals_bulk_ingest(spark, tmp_path):
     people.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(people.schema).option("maxFilesPerTrigger", 1).parquet(
         str(tmp_path / "in"))
-    ingest_stream(stream, str(tmp_path / "streamed"), now()).option(
+    ingest_stream(stream, "s", str(tmp_path / "streamed"), now()).option(
         "checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start().awaitTermination()
     bulk, _ = ingest(people, str(tmp_path / "bulk"), uuid.uuid4().hex, now())
     columns = [c for c in bulk.columns if c not in ("customer_id", "batch_id")]

@@ -31,11 +31,10 @@ def test_no_python_in_the_plan(spark, name):
     assert "Python" not in text and "InPandas" not in text and "InArrow" not in text
 
 
-def test_no_cross_joins_anywhere(spark):
-    for name in ("e5_stats_report", "j5_shared_keys", "e1_check_by_keys", "e3_labelled_pairs",
-                 "m10_training_features", "e6_loan_check"):
-        text = plan(querybook.QUERIES[name](spark, SF))
-        assert "CartesianProduct" not in text and "NestedLoop" not in text, name
+@pytest.mark.parametrize("name", [n for n in querybook.QUERIES if not n.startswith("t")])
+def test_no_cross_joins_anywhere(spark, name):
+    text = plan(querybook.QUERIES[name](spark, SF))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 @pytest.fixture()

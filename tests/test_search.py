@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from likeness.operators.clusters import duplicate_pairs, duplicates_only
-from likeness.operators.keys import KEYS, shared_key_pairs
+from likeness.operators import neighbours
+from likeness.operators.keys import KEYS, hot_keys, shared_key_pairs
 from likeness.operators.neighbours import approximate_nearest, nearest
 from likeness.plans.pairs import hard_negatives
 
@@ -98,32 +99,69 @@ def test_text_ids_missing_vectors_and_empty_sides(spark):
         assert nearest(qs.limit(0), ms, 2, **FORMS[form]).count() == 0
 
 
-def test_hashed_search_recall_and_distances(spark):
-    q, m = data(4)
-    exact = brute(q, m, 5, "cosine")
-    got = ranked(approximate_nearest(
-        side(spark, q, "query_id"), side(spark, m, "customer_id"), 5,
-        tables=12, projections=2, bucket_length=4.0, block_rows=50))
+def identities(n, dim=512, seed=4):
+    """Sparse unit vectors as identity texts give them, every third a slight variant."""
+    rng = np.random.default_rng(seed)
+    common = np.zeros(dim)
+    common[rng.integers(dim, size=60)] = 1
+    rows = []
+    for i in range(n):
+        if i % 3 == 2:
+            v = rows[-1].copy()
+            v[rng.integers(dim, size=4)] += 1
+        else:
+            v = common.copy()
+            np.add.at(v, rng.integers(dim, size=70), 1)
+        rows.append(v)
+    m = np.array(rows)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def test_hashed_search_recall_at_the_defaults(spark):
+    m = identities(1500)
+    q = m[2:600:3]  # each a variant of the row before it
+    got = ranked(approximate_nearest(side(spark, q, "query_id"), side(spark, m, "customer_id"), 2))
+    exact = brute(q, m, 2, "cosine")
     hits = sum(len(set(got.get(i, [])) & set(v)) for i, v in exact.items())
     assert hits / sum(map(len, exact.values())) > 0.9
+    # Distances of what is found are exact, and in order.
+    for i, found in got.items():
+        assert found[0] == exact[i][0]
+
+
+def test_hashed_buckets_stay_small(spark):
+    for n in (500, 4000):
+        m = side(spark, identities(n), "customer_id")
+        bits = neighbours.bucket_bits(n, neighbours.BUCKET_ROWS)
+        centre = identities(n).mean(axis=0)
+        sizes = [r["count"] for r in neighbours._bucketed(m, centre, 4, bits).groupBy("block").count().collect()]
+        assert sum(sizes) == 4 * n and sum(s * s for s in sizes) / (4 * n) < 6 * neighbours.BUCKET_ROWS
 
 
-def test_cells_rule_out_most_of_clustered_data(spark):
-    # Far-apart groups: a query has no business in the others' cells.
-    from likeness.operators import neighbours
-    rng = np.random.default_rng(5)
-    centres = rng.normal(size=(8, 6)) * 50
-    m = np.repeat(centres, 50, axis=0) + rng.normal(size=(400, 6)) * 0.01
-    pivots = centres
-    cell = np.repeat(np.arange(8), 50)
-    reach = np.full(8, 0.1)
-    route = neighbours._route(
-        pivots, np.bincount(cell), reach, np.arange(8, dtype=np.int32), 5, "euclidean",
-        ["query_id", "vec"])
+def test_the_cell_form_refuses_too_many_pairs(spark):
+    q, m = data(4, n=50, queries=10)
+    sides = side(spark, q, "query_id"), side(spark, m, "customer_id")
+    with pytest.raises(ValueError, match="max_compared"):
+        nearest(*sides, 2, broadcast_rows=0, max_compared=499)
+    assert nearest(*sides, 2, broadcast_rows=0, max_compared=None).count() == 20
+
+
+def test_both_forms_skip_other_widths_and_unknown_clusters(spark):
+    q, m = data(5, n=60, queries=8)
+    odd = spark.createDataFrame([(900, [1.0, 2.0]), (901, None)], "query_id bigint, vec array<float>")
+    qs = side(spark, q, "query_id").union(odd).withColumn("cluster", F.lit("x")).withColumn("cluster_size", F.lit(1))
+    ms = side(spark, m, "customer_id").union(odd.withColumnRenamed("query_id", "customer_id"))
+    forms = [ranked(nearest(qs, ms, 3, dim=12, **FORMS[f])) for f in ("scan", "cells")]
+    assert forms[0] == forms[1] == brute(q, m, 3, "cosine")
+
+
+def test_vectors_of_mixed_width_are_refused_not_reshaped():
     import pyarrow as pa
-    batch = pa.RecordBatch.from_pydict(
-        {"query_id": [0, 1], "vec": pa.array(m[[0, 399]].tolist(), pa.list_(pa.float32()))})
-    assert [len(b) for b in next(route([batch]))["blocks"].to_pylist()] == [1, 1]
+
+    from likeness.operators.blocks import matrix
+    with pytest.raises(ValueError, match="different widths"):
+        matrix(pa.array([[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]]))
+    assert matrix(pa.array([[1.0], [2.0]]).slice(1)).tolist() == [[2.0]]
 
 
 def keyed_rows(spark, n, hot):
@@ -138,26 +176,26 @@ def keyed_rows(spark, n, hot):
     return rows, spark.createDataFrame(rows, schema)
 
 
-def test_shared_keys_with_a_hot_phone(spark):
-    k = 10
+def test_shared_keys_are_never_cut(spark):
     rows, master = keyed_rows(spark, 240, hot=80)
-    got = {}
-    for r in shared_key_pairs(
-            master.withColumnRenamed("customer_id", "query_id"), master, k, block_rows=16).collect():
-        got.setdefault(r.query_id, set()).add(r.customer_id)
-    vec = np.array([r[4] for r in rows]).astype("f4").astype(float)
-    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    queries = master.withColumnRenamed("customer_id", "query_id")
     holders = {}
     for r in rows:
         for c, key in enumerate(r[1:4]):
             if key:
                 holders.setdefault((c, key), set()).add(r[0])
-    for r in rows:
-        keys = [(c, key) for c, key in enumerate(r[1:4]) if key]
-        cold = set().union(*[holders[key] for key in keys if len(holders[key]) <= k])
-        hot = set().union(set(), *[holders[key] for key in keys if len(holders[key]) > k])
-        near = sorted(hot, key=lambda j: (round(max(1 - unit[r[0]] @ unit[j], 0), 9), j))[:k]
-        assert got.get(r[0], set()) == cold | set(near)
+    for limit in (None, 10):
+        hot = None if limit is None else hot_keys(queries, master, limit)
+        got = {}
+        for r in shared_key_pairs(queries, master, hot).collect():
+            got.setdefault(r.query_id, set()).add(r.customer_id)
+        if hot is not None:
+            assert {(r.block, r.m_rows, r.q_rows) for r in hot.collect()} == {
+                (f"{list(KEYS)[c]}:{k}", len(v), len(v)) for (c, k), v in holders.items() if len(v) > limit}
+        for r in rows:
+            sets = [holders[c, k] for c, k in enumerate(r[1:4]) if k]
+            listed = [s for s in sets if limit is None or len(s) <= limit]
+            assert got.get(r[0], set()) == set().union(*listed)
 
 
 @pytest.mark.parametrize("part_rows", [10_000, 40])
