@@ -273,7 +273,7 @@ def m8_optimum(spark, sf_dir):
         [*map(F.col, FEATURES), F.lit(1.0)], [*model.coefficients, model.intercept])]
     scale = [F.sum(F.abs(pull * c)) + 1 for c in [*map(F.col, FEATURES), F.lit(1.0)]]
     return at.agg(
-        F.count("*").alias("pairs"), F.count_if("label = 1").alias("positives"),
+        F.count("*").alias("pairs"), F.count_if(F.col("label") == 1).alias("positives"),
         F.lit(model.converged).alias("converged"),
         F.greatest(*[F.abs(s) / n for s, n in zip(sums, scale)]).alias("gap")).select(
             "pairs", "positives", "converged", (F.col("gap") < 1e-5).alias("at_optimum"))
