@@ -21,15 +21,19 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), escaped
-    at = np.arange(n, dtype=np.int32)
     narrow = values.astype(np.uint32)
     selector = np.full(n, 13, np.int8)
+    wide = np.zeros(n + 1, np.int32)
     for s in range(12, -1, -1):
-        # How many ids from here on fit the width; the end of the block fits any.
-        wide = np.where(narrow >= 1 << int(BITS[s]), at, np.int32(n))
-        until = np.minimum.accumulate(wide[::-1])[::-1]
+        # Ids up to each place that are too wide: where the count stays, a whole word fits.
+        np.cumsum(narrow >= 1 << int(BITS[s]), out=wide[1:])
+        c = int(COUNTS[s])
+        if c <= n:
+            np.putmask(selector[:n - c + 1], wide[c:] == wide[:n - c + 1], s)
         # Fewer ids are left than a word takes: the rest of the word stays zero.
-        selector[(until - at >= COUNTS[s]) | ((until == n) & (n - at > COUNTS[s + 1]))] = s
+        low, high = max(0, n - c + 1), n - int(COUNTS[s + 1])
+        if high > low:
+            np.putmask(selector[low:high], wide[low:high] == wide[n], s)
     step = COUNTS[selector].tolist()
     starts, i = [], 0
     while i < n:
