@@ -45,10 +45,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([values, np.zeros(240, np.uint64)])
     for s in np.unique(chosen):
         if BITS[s]:
-            mine = chosen == s
-            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            taken = padded[starts[mine][:, None] + np.arange(COUNTS[s])] << shifts
-            words[mine] |= np.bitwise_or.reduce(taken, axis=1)
+            mine = np.flatnonzero(chosen == s)
+            first, packed = starts[mine], words[mine]
+            for j in range(COUNTS[s]):
+                packed |= padded[first + j] << np.uint64(j * BITS[s])
+            words[mine] = packed
     return words, escaped
 
 
@@ -60,10 +61,11 @@ def decode(words: np.ndarray, escaped: np.ndarray, n: int) -> np.ndarray:
     ids = np.zeros(int(counts.sum()), np.uint32)
     for s in np.unique(selector):
         if BITS[s]:
-            mine = selector == s
-            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
+            mine = np.flatnonzero(selector == s)
+            first, packed = starts[mine], words[mine]
             mask = np.uint64((1 << int(BITS[s])) - 1)
-            ids[starts[mine][:, None] + np.arange(COUNTS[s])] = ((words[mine][:, None] >> shifts) & mask)
+            for j in range(COUNTS[s]):
+                ids[first + j] = packed >> np.uint64(j * BITS[s]) & mask
     ids = ids[:n]
     if len(escaped):
         ids[ids == ESCAPE] = escaped
