@@ -389,13 +389,14 @@ def test_other_streams_do_not_replace_loaded_batches(spark, tmp_path):
 def test_late_rows_of_a_stream_are_not_counted(spark, tmp_path):
     from likeness.streaming.jobs import daily_counts, latest, upsert_batch
 
-    days = ["2024-01-10", "2024-01-10", "2024-01-20", "2024-01-10", "2024-01-20"]
-    for i, part in enumerate((days[:2], days[2:3], days[3:])):
+    # Late rows are told by the watermark that the batch before began with.
+    days = ["2024-01-10", "2024-01-10", "2024-01-20", "2024-01-20", "2024-01-10"]
+    for i, part in enumerate((days[:2], days[2:3], days[3:4], days[4:])):
         spark.createDataFrame([(d,) for d in part], "d string").select(
             F.to_timestamp("d").alias("created_at")).coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
     import os
     (tmp_path / "in").mkdir()
-    for i in range(3):
+    for i in range(4):
         f, = [x for x in os.listdir(tmp_path / f"f{i}") if x.endswith(".parquet")]
         os.rename(tmp_path / f"f{i}" / f, tmp_path / "in" / f"{i}.parquet")
         os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
