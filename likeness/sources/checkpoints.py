@@ -21,15 +21,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a written table that nothing reads any more."""
-    spark = df.sparkSession
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table under the checkpoint folder and read it back.
 
