@@ -1,12 +1,13 @@
 """The queries of this package, and the SQL that some have to agree with."""
 
-from likeness.llm import contamination, htmltext, language, neardup, packing, pii, tokenfiles, topk, toxicity
+from likeness.llm import contamination, htmltext, language, neardup, packing, pii, tokencounts, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_topk": topk.op2_topk,
     "op3_tokens": tokenfiles.op3_tokens,
     "op4_main_text": htmltext.op4_main_text,
+    "op5_token_counts": tokencounts.op5_token_counts,
     "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_contamination": contamination.op8_contamination,

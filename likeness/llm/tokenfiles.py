@@ -138,7 +138,7 @@ class Encoder:
             ids, lengths = self.store.take(number.ravel())
             self.keep([p for p, _, _ in marked], ids, lengths.reshape(-1, 2).sum(axis=1))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id after it; and how many each has."""
         if len(self.known) > PIECES:
             self.forget()
@@ -170,7 +170,7 @@ class Encoder:
             n[i] = len(x) + 1
         out = np.empty(int(n.sum()), np.uint32)
         stops = np.cumsum(n)
-        out[stops - 1] = END_ID
+        out[stops - 1] = end_id
         inside = np.ones(len(out), bool)
         inside[stops - 1] = False
         for i, x in odd.items():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from likeness.llm import (components, contamination, htmltext, language, neardup, packing, pii,
-                          tokenfiles, topk, toxicity)
+                          tokencounts, tokenfiles, topk, toxicity)
 
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, language string, spans int, matches string"
@@ -231,6 +231,46 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfiles.read_index(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_counts(spark, docs, none, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    expected = sorted((r.doc_id or 0, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    for block in (7, 1000, 1 << 16):
+        folder = str(tmp_path / f"flat{block}")
+        tokencounts.write_flat(docs, folder, path, block_ids=block)
+        flat = spark.read.parquet(folder)
+        rows = tokencounts.count_tokens(flat)
+        names = flat.select("file", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+        found = rows.join(names, ["file", "block", "place"]).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in found) == expected and rows.count() == len(expected)
+    tokencounts.write_flat(none, str(tmp_path / "none"), path)
+    assert tokencounts.count_tokens(spark.read.schema(tokencounts.FLAT).parquet(str(tmp_path / "none"))).count() == 0
+
+
+def test_flat_files_with_and_without_an_end(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows, expected = [], []
+    for file in range(12):
+        ids = rng.integers(0, 4, rng.integers(0, 60))
+        start = 0
+        for i, x in enumerate(ids):
+            if x == 3:
+                expected.append((file, start, i - start, True))
+                start = i + 1
+        if start < len(ids):
+            expected.append((file, start, len(ids) - start, False))
+        rows += [(file, b, ids[b * 5:b * 5 + 5].astype("<u4").tobytes()) for b in range(-(-len(ids) // 5))]
+    blocks = spark.createDataFrame([(f, b, bytearray(x)) for f, b, x in rows], "file int, block int, ids binary")
+    found = tokencounts.count_tokens(blocks, end_id=3, width=4).orderBy("file", "document").collect()
+    assert [(r.file, r.start, r.n_tokens, r.ended) for r in found] == expected
+
+
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [0.5, 0.5]), (50, [1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [float("inf")]), (4, [None, 1.0]), (5, []),
             (6, [0.5, 0.5]), (7, [0.5, 0.5]), (100, [-1.0, 0.0]), (0, [0.5, 0.5])] + [(i, [0.25, 0.25]) for i in range(10, 30)]
