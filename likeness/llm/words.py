@@ -118,8 +118,10 @@ def words_of(column: pa.Array, word_bytes: np.ndarray) -> Words:
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` words; as many fewer than words."""
-    total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    """A hash of each run of ``n`` words; as many fewer than words, and none of less."""
+    if len(hashes) < n:
+        return np.empty(0, np.uint64)
+    total = np.zeros(len(hashes) - n + 1, np.uint64)
     for i in range(n):
         total = total * np.uint64(0x5851F42D4C957F2D) + hashes[i:len(hashes) - n + 1 + i]
     return mix(total + np.uint64(n))

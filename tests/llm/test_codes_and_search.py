@@ -138,3 +138,15 @@ def test_shingle_sets_equal_plain_sets():
     sets = [frozenset(values[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
     assert [len(s) for s in sets] == [2, 1, 1, 0, 0, 4, 1]
     assert sets[1] < sets[0] and not sets[2] & sets[6] and sets[1] < sets[5]
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_shingles_of_slices_with_few_words(n):
+    for k in range(n + 2):
+        text = " ".join(f"w{i}" for i in range(k))
+        values, first = neardup.shingle_sets(pa.array([text]), n)
+        assert len(values) == first[1] == (max(1, k - n + 1) if k else 0)
+        assert len(words.runs(np.arange(k, dtype=np.uint64), n)) == max(0, k - n + 1)
+        # The shingles do not depend on what stands in the slice besides.
+        both, at = neardup.shingle_sets(pa.array([text, "u v w x y z"]), n)
+        assert both[:at[1]].tolist() == values.tolist()
