@@ -10,8 +10,9 @@ table, a lost task writes its shard again and none is half there.
 
 Texts are cut at spaces between words, where the tokenizer cuts in any case, and each
 piece is encoded once per worker; texts with runs of white space, where that might
-differ, are encoded whole. Strings of special tokens count as ordinary text. Ids from
-1,048,575 on are written as escapes.
+differ, are encoded whole. Strings of special tokens count as ordinary text, unless
+``special`` is set: then they become the tokens, as by the library's default (``op3_tokens``).
+Ids from 1,048,575 on are written as escapes.
 
 Null and empty texts have the end id alone. Rows with equal ids follow each other in the
 order of their texts; a null id comes first. A long text is one block. Other columns are
@@ -48,6 +49,8 @@ BLOCKS = ("shard int, block int, first_token long, doc_ids array<long>, doc_offs
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 UNSURE = re.compile(r"\s\s|\A\s|\s\Z|\x00")
 SPACE = re.compile(r"\s")
+#: All white space but the blank and the line end.
+OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 class Store:
@@ -78,11 +81,13 @@ class Store:
 class Encoder:
     """Ids of texts, remembering those of pieces between spaces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        # Strings that are tokens wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         self.forget()
@@ -138,14 +143,22 @@ class Encoder:
             ids, lengths = self.store.take(number.ravel())
             self.keep([p for p, _, _ in marked], ids, lengths.reshape(-1, 2).sum(axis=1))
 
+    def uncuttable(self, text: str) -> bool:
+        """Whether a cut at blanks and line ends might change the ids."""
+        # With single blanks and line ends alone there is one word more than of them; split()
+        # cuts at other white space too, so that the sum says nothing where there is any.
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(c in text for c in OTHER_SPACE):
+            if UNSURE.search(text):
+                return True
+        return "\x00" in text or any(a in text for a in self.added)
+
     def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id after it; and how many each has."""
         if len(self.known) > PIECES:
             self.forget()
         pieces, counts, odd = [], [], {}
         for i, t in enumerate(texts):
-            # With single blanks and line ends alone there is one word more than of them.
-            if len(t.split()) != t.count(" ") + t.count("\n") + 1 and UNSURE.search(t) or "\x00" in t:
+            if self.uncuttable(t):
                 odd[i] = self.whole(t)
                 counts.append(0)
             elif t:
@@ -180,14 +193,14 @@ class Encoder:
         return out, n
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, special: bool = False) -> Encoder:
     """One per Python worker, kept from task to task."""
     kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders"))
     if not hasattr(kept, "by_path"):
         kept.by_path = {}
-    if path not in kept.by_path:
-        kept.by_path[path] = Encoder(path)
-    return kept.by_path[path]
+    if (path, special) not in kept.by_path:
+        kept.by_path[path, special] = Encoder(path, special)
+    return kept.by_path[path, special]
 
 
 def _block(shard: int, number: int, first: int, docs: list, sizes: list, ids: list) -> pa.RecordBatch:
@@ -203,11 +216,11 @@ def _block(shard: int, number: int, first: int, docs: list, sizes: list, ids: li
             ("n_tokens", pa.int64()), ("words", pa.binary()), ("escaped", pa.binary())]))
 
 
-def _encode_shard(path: str):
+def _encode_shard(path: str, special: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard = _encoder(path), TaskContext.get().partitionId()
+        encoder, shard = _encoder(path, special), TaskContext.get().partitionId()
         number = first = held = 0
         docs, sizes, ids = [], [], []
         for batch in batches:
@@ -229,13 +242,16 @@ def _encode_shard(path: str):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Write the token file of ``docs`` (``doc_id``, ``text``) as a table at ``path``."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = False) -> None:
+    """Write the token file of ``docs`` (``doc_id``, ``text``) as a table at ``path``.
+
+    ``special``: strings of special tokens become these tokens, else they are ordinary text.
+    """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(
         shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(_encode_shard(tokenizer), BLOCKS).write.parquet(path)
+    ordered.mapInArrow(_encode_shard(tokenizer, special), BLOCKS).write.parquet(path)
 
 
 def _decode(batches):
@@ -280,5 +296,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), special=True)
     return read_index(spark, path)

@@ -150,3 +150,41 @@ def test_shingles_of_slices_with_few_words(n):
         # The shingles do not depend on what stands in the slice besides.
         both, at = neardup.shingle_sets(pa.array([text, "u v w x y z"]), n)
         assert both[:at[1]].tolist() == values.tolist()
+
+
+def test_ids_of_odd_white_space_and_special_strings_equal_plain_encoding():
+    import sys
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from likeness.llm import tokenfiles
+
+    assert set(tokenfiles.OTHER_SPACE) == {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()} - {" ", "\n"}
+    texts = ["a\tb\tc\n\n\nd", "Oui\xa0! Non\xa0?\n\n", "a\tb\tc\n\n", "a\tb c", "a \t b\tc", "\tx", "", " ", "it's <|endoftext|> we go",
+             "x<|endoftext|>y", "<|endoftext|>", "plain words\non lines, with marks."]
+    rng = random.Random(6)
+    for _ in range(400):
+        texts.append("".join(rng.choices(["ab", "c", "'s", "7", "!", "é", " ", " ", "\n", "\t", "\xa0", "\r", " ", "<|endoftext|>"], k=rng.randrange(1, 25))))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for special in (False, True):
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = not special
+        ids, n = tokenfiles.Encoder(path, special).encode(texts)
+        at = 0
+        for t, size in zip(texts, n.tolist()):
+            assert ids[at:at + size].tolist() == plain.encode(t, add_special_tokens=False).ids + [tokenfiles.END_ID], repr(t)
+            at += size
+
+
+def test_op3_takes_the_default_for_special_strings(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from likeness.llm import tokenfiles
+
+    text = "a\tb\tc\n\n\nd <|endoftext|> e"
+    spark.createDataFrame([(1, text), (2, "next")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: (r.start, r.n_tokens) for r in tokenfiles.op3_tokens(spark, str(tmp_path)).collect()}
+    n = len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids) + 1
+    assert rows == {1: (0, n), 2: (n, 2)}
