@@ -1,9 +1,10 @@
 """Toxicity scores by weak supervision.
 
 1. Voters. Every word and every word beginning (4, 6 or 8 bytes) that is found
-   oftener in rows labelled toxic can vote; those with the highest likelihood ratio, at
-   most 256, become the lexicon and pattern voters. A voter votes "toxic" for the texts that
-   have its word or beginning.
+   oftener in rows labelled toxic, and by more than chance (for as many as are tested),
+   votes: the 256 with the highest likelihood ratio each for itself, all others in groups
+   of like strength. Of words and beginnings that stand for the same words
+   only the shortest is taken. A voter votes "toxic" for the texts that have its word or beginning.
 2. A generative label model estimates, by expectation maximisation, how often each voter
    fires on toxic and on clean texts, how far the given label can be trusted, and from the
    correlations that remain within a class how much a voter only repeats others; repeated
@@ -11,9 +12,9 @@
 3. A linear (logistic) classifier of the votes, of the number of words voted for and of
    their share is fitted to the posterior labels by Newton steps, and scores all texts.
 
-The classifier is fitted on at most ``sample_rows`` labelled rows, chosen by a hash of
-their id; held-out rows (crc32 of the id as text divisible by 5) are never among them. The
-voters' counts come from all those rows, summed in the tasks first.
+The voters' counts come from all labelled rows, summed in the tasks first. Label model and
+classifier are fitted on at most ``sample_rows`` ids of these, chosen by a hash of the id.
+Held-out rows (crc32 of the id as text divisible by 5) are never among either.
 
 Null and empty texts get the score of a text without votes. Repeated rows get
 equal scores; long texts are read whole. A label that is null is none; of
@@ -34,6 +35,8 @@ from likeness.sources.checkpoints import written
 
 SAMPLE_ROWS = 16384
 VOTERS = 256
+#: From here on (log odds against the share of toxic rows) begin the groups of further voters.
+GROUPS = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 LEAST_ROWS = 4
 BEGINNINGS = (4, 6, 8)
 SLICE_BYTES = 1 << 20
@@ -62,14 +65,18 @@ def evidence(texts: pa.Array) -> Votes:
 
 
 def _counts(batches):
-    """Rows with each hash, and toxic rows with it, of each slice."""
+    """Rows with each hash, and toxic rows with it, of each slice; the least and greatest
+    hash of a word that it stands for, and its length if it is a beginning."""
     for batch in batches:
         for begin, end in slices(batch.column("text"), SLICE_BYTES):
             part = batch.slice(begin, end - begin)
             toxic = np.asarray(part.column("toxic").to_pylist(), np.int64)
             votes = evidence(part.column("text"))
-            pairs = np.stack([np.concatenate(votes.hashes),
-                              np.concatenate([votes.text[w] for w in votes.words]).astype(np.uint64)])
+            hashes = np.concatenate(votes.hashes)
+            of = votes.hashes[0][np.concatenate(votes.words)].view(np.int64)
+            length = np.repeat([127, *BEGINNINGS], [len(h) for h in votes.hashes])
+            by_hash = np.argsort(hashes, kind="stable")
+            pairs = np.stack([hashes, np.concatenate([votes.text[w] for w in votes.words]).astype(np.uint64)])
             order = np.lexsort((pairs[1], pairs[0]))
             pairs = pairs[:, order]
             new = np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)][:pairs.shape[1]]
@@ -77,27 +84,33 @@ def _counts(batches):
             first = np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]][:pairs.shape[1]])
             if len(first):
                 ones = toxic[pairs[1].astype(np.int64)]
+                same = np.flatnonzero(np.r_[True, np.diff(hashes[by_hash]) != 0])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(pairs[0, first].view(np.int64)),
                     pa.array(np.add.reduceat(ones, first)),
-                    pa.array(np.diff(np.r_[first, pairs.shape[1]]).astype(np.int64))],
-                    ["hash", "toxic", "n"])
+                    pa.array(np.diff(np.r_[first, pairs.shape[1]]).astype(np.int64)),
+                    pa.array(np.minimum.reduceat(of[by_hash], same)),
+                    pa.array(np.maximum.reduceat(of[by_hash], same)),
+                    pa.array(length[by_hash][same].astype(np.int64))],
+                    ["hash", "toxic", "n", "low", "high", "length"])
 
 
 @dataclass
 class Voters:
     members: Members
+    vote: np.ndarray  # of each member, the number of its vote
+    n_votes: int
 
     def fired(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Texts and numbers of their voters (each pair once); words voted for; words."""
+        """Texts and numbers of their votes (each pair once); words voted for; words."""
         votes = evidence(texts)
         at, number = [], []
         for hashes, words in zip(votes.hashes, votes.words):
             found = self.members.positions(hashes)
             at.append(words[found])
-            number.append(np.searchsorted(self.members.keys, hashes[found]))
+            number.append(self.vote[np.searchsorted(self.members.keys, hashes[found])])
         at, number = np.concatenate(at), np.concatenate(number)
-        n = max(1, len(self.members.keys))
+        n = max(1, self.n_votes)
         pairs = np.unique(votes.text[at] * n + number)
         marked = np.bincount(votes.text[np.unique(at)], minlength=len(texts))
         return pairs // n, pairs % n, marked, votes.n_words
@@ -132,7 +145,7 @@ def posterior_labels(fired: np.ndarray, given: np.ndarray, rounds: int = 15) ->
 
     ``fired``: rows by voters, 0 or 1. ``given``: the labels, one more voter.
     """
-    prior = given.mean()
+    prior = np.clip(given.mean(), 1e-6, 1 - 1e-6)  # the sample may hold one kind only
     q = np.clip(given, 0.02, 0.98)
     trust = 0.95
     for _ in range(rounds):
@@ -198,17 +211,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         voters: int = VOTERS) -> ToxicityModel:
     """Learn from the labelled rows of ``docs`` that are not held out."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(
-        F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # At most sample_rows ids: small enough for every task.
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
-    total, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
+        F.max("toxic").cast("long").alias("toxic"))
+    labelled = written(docs.select("doc_id", "text").where(~held_out()).join(chosen.hint("merge"), "doc_id"), "labelled")
+    total, toxic = labelled.agg(F.count("*"), F.sum("toxic")).first()
     toxic = toxic or 0
     if not 0 < toxic < total:
         share = toxic / total if total else 0.0
         intercept = np.log(max(share, 1e-15) / max(1 - share, 1e-15))
-        return ToxicityModel(Voters(Members(np.empty(0, np.uint64))), np.array([0.0, 0.0, intercept]))
-    counts = sample.mapInArrow(_counts, "hash long, toxic long, n long").groupBy("hash").agg(
-        F.sum("toxic").alias("t"), F.sum("n").alias("n")).where(F.col("t") >= LEAST_ROWS)
+        none = np.empty(0, np.uint64)
+        return ToxicityModel(Voters(Members(none), none.astype(np.int64), 0), np.array([0.0, 0.0, intercept]))
+    counts = labelled.select("text", "toxic").mapInArrow(
+        _counts, "hash long, toxic long, n long, low long, high long, length long").groupBy("hash").agg(
+            F.sum("toxic").alias("t"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.min("length").alias("length")).where(F.col("t") >= LEAST_ROWS)
+    # In as many rows and with the same words: one of them says all.
+    counts = written(counts.groupBy("t", "n", "low", "high").agg(
+        F.min(F.struct("length", "hash")).alias("shortest")).select("shortest.hash", "t", "n"), "counts")
     rate = toxic / total
 
     def part(seen, expected):
@@ -217,11 +235,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     t, n = F.col("t"), F.col("n")
     ratio = (part(t, n * rate) + part(n - t, n * (1 - rate)) + part(toxic - t, (total - n) * rate)
              + part(total - toxic - n + t, (total - n) * (1 - rate)))
-    best = counts.where((t > n * rate) & (n < total)).orderBy(ratio.desc(), "hash").limit(voters).select("hash").collect()
-    found = Voters(Members(np.array([r["hash"] for r in best], np.int64).view(np.uint64)))
+    # Twice the ratio is distributed as chi square: of m without a tie to the labels, less than one exceeds log m.
+    ranked = counts.where((t > n * rate) & (n < total)).withColumn("ratio", ratio).where(
+        F.col("ratio") >= float(np.log(max(1, counts.count()))))
+    best = ranked.orderBy(F.col("ratio").desc(), "hash").limit(voters).select("hash").collect()
+    beyond = ranked.select("hash", "t", "n").toArrow()
+    own = np.array([r["hash"] for r in best], np.int64).view(np.uint64)
+    vote = dict(zip(own.tolist(), range(len(own))))
+    hashes = beyond.column("hash").to_numpy().view(np.uint64)
+    t, n = beyond.column("t").to_numpy(), beyond.column("n").to_numpy()
+    strength = np.log((t + 0.5) / (n - t + 0.5)) - np.log(rate / (1 - rate))
+    for h, group in zip(hashes.tolist(), np.digitize(strength, GROUPS).tolist()):
+        vote.setdefault(h, len(own) + group)
+    members = Members(np.array(list(vote), np.uint64))
+    n_votes = len(own) + len(GROUPS) + 1
+    found = Voters(members, np.array([vote[h] for h in members.keys.tolist()], np.int64), n_votes)
+    # At most sample_rows ids: small enough for every task.
+    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = labelled.join(F.broadcast(ids), "doc_id").select("text", "toxic")
     rows = sample.mapInArrow(_fire(found), "toxic long, fired array<int>, marked long, n_words long").toArrow()
     given = rows.column("toxic").to_numpy().astype(float)
-    fired = np.zeros((len(given), len(best)), np.float32)
+    fired = np.zeros((len(given), n_votes), np.float32)
     lists = rows.column("fired").combine_chunks()
     fired[np.repeat(np.arange(len(given)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
     target = posterior_labels(fired, given)

@@ -322,3 +322,18 @@ def test_minimum_cut_equals_trying_all_labels():
                     + sum(w for i, j, w in edges if labels[i] != labels[j]))
         best = min(cost(y) for y in itertools.product([False, True], repeat=n))
         assert cost(htmltext.labels_by_cut(scores, edges)) == pytest.approx(best)
+
+
+def test_toxicity_counts_all_labelled_rows_and_takes_all_significant_terms(spark):
+    # 90 long terms, each with its three beginnings, in 12 toxic rows (a fifth held out); sample and lexicon are small.
+    terms = [f"{i:02d}zq{'abcdefghij'[i % 10]}kterm" for i in range(90)]
+    rows = [(i, f"good day to all {terms[i // 12]}", 1) for i in range(1080)]
+    rows += [(i, "good day to all of you", 0) for i in range(1080, 4000)]
+    train = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 0) for i in range(10_000, 14_000)], "doc_id long, toxic int")
+    model = toxicity.fit(train, labels, sample_rows=400, voters=20)
+    scored = by_id(toxicity.with_toxicity(spark.createDataFrame(
+        [(i, f"good day to all {t}") for i, t in enumerate(terms)] + [(1000, "good day to all")], "doc_id long, text string"), model), "toxicity")
+    assert [i for i in range(90) if scored[i][0] < 0.5] == [] and scored[1000][0] < 0.5
+    # One voter stands for a term and its beginnings.
+    assert len(model.voters.members.keys) <= 100
