@@ -1,6 +1,7 @@
 """The queries of this package, and the SQL that some have to agree with."""
 
-from likeness.llm import contamination, htmltext, language, neardup, packing, pii, tokencounts, tokenfiles, topk, toxicity
+from likeness.llm import (contamination, htmltext, language, neardup, packing, pii, resampling, substrings,
+                          tokencounts, tokenfiles, topk, toxicity, turns)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,9 +14,13 @@ QUERIES = {
     "op8_contamination": contamination.op8_contamination,
     "op9_pii": pii.op9_pii,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op11_repeats": substrings.op11_repeats,
+    "op12_conversations": turns.op12_conversations,
+    "op13_importance": resampling.op13_importance,
 }
 ORACLES = {
     "op2_topk": topk.ORACLE,
     "op8_contamination": contamination.ORACLE,
     "op9_pii": pii.ORACLE,
+    "op11_repeats": substrings.ORACLE,
 }

@@ -15,13 +15,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def _byte_values() -> np.ndarray:
-    values = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64)
-    values[65:91] = values[97:123]  # A-Z count as a-z
-    return values
-
-
-VALUES = _byte_values()
+#: Values of bytes where A-Z differ from a-z, and where they count as a-z.
+EXACT = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64)
+VALUES = EXACT.copy()
+VALUES[65:91] = VALUES[97:123]
 #: Word bytes where words are runs of letters, digits and all that is not ASCII.
 ALPHANUMERIC = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
                          for b in range(256)])
@@ -83,7 +80,7 @@ def _powers(n: int, known={}) -> tuple[np.ndarray, np.ndarray]:
     return known["up"], known["down"]
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
     """Hashes of stretches of bytes that begin in ascending order."""
     found = np.empty(len(begin), np.uint64)
     i = 0
@@ -92,7 +89,7 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
         low, high = begin[i], end[j - 1]
         up, down = _powers(high - low)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.multiply(VALUES[data[low:high]], up[:high - low], out=sums[1:])
+        np.multiply(values[data[low:high]], up[:high - low], out=sums[1:])
         np.cumsum(sums, out=sums)
         found[i:j] = (sums[end[i:j] - low] - sums[begin[i:j] - low]) * down[begin[i:j] - low]
         i = j
@@ -110,11 +107,11 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray, word_bytes: np.ndarray) ->
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
-def words_of(column: pa.Array, word_bytes: np.ndarray) -> Words:
+def words_of(column: pa.Array, word_bytes: np.ndarray, values: np.ndarray = VALUES) -> Words:
     """The words of a column of texts, in order."""
     data, bounds = utf8(column)
     begin, end = word_bounds(data, bounds, word_bytes)
-    return Words(span_hashes(data, begin, end), np.searchsorted(begin, bounds))
+    return Words(span_hashes(data, begin, end, values), np.searchsorted(begin, bounds))
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
