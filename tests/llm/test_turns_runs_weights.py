@@ -216,9 +216,12 @@ def test_spans_are_verbatim_stretches_of_their_sources(spark):
 
 def test_paths_end_at_branches_and_where_the_source_does(spark):
     edges = [(1, 2, 5, 0), (2, 3, 5, 1), (3, 4, 5, 2), (3, 9, 6, 4), (4, 7, 5, 3), (7, 8, 6, 9), (8, 10, 6, 10)]
-    found = substrings.compacted(spark.createDataFrame(edges, "node long, next long, doc_id long, place long")).collect()
-    assert {(r.node, r.next): r.path for r in found} == {
-        (1, 2): 0, (2, 3): 0, (3, 4): 2, (3, 9): 4, (4, 7): 2, (7, 8): 9, (8, 10): 9}
+    rows = [(*e[:2], s, e[2] + s, e[3], False) for e in edges for s in (0, 1)] + [(10, 11, 0, 6, 11, False)]
+    found = substrings.compacted(spark.createDataFrame(
+        rows, "node long, next long, slice long, doc_id long, place long, several boolean")).collect()
+    assert len(found) == 2 * len(edges)
+    assert {(r.node, r.next) for r in found if r.goes_on} == {(2, 3), (4, 7), (8, 10)}
+    assert all(tuple(r.source)[2] == 0 for r in found)
 
 
 def test_text_ids_and_empty_tables(spark):
