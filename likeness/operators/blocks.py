@@ -112,8 +112,10 @@ def nearest_in_block(q, q_cluster, m, m_id, m_cluster, k, metric):
             for s in range(0, len(rows), 1 << 15):
                 part = slice(s, s + (1 << 15))
                 exact[part] = np.linalg.norm(tile[rows[part]] - m[cols[part]], axis=1)
-        keep = _first_k(rows, (np.round(exact, TIE_DIGITS), m_id[cols]), k)
-        found.append((rows[keep] + start, m_id[cols[keep]], exact[keep]))
+        if gaps.shape[1] > k:
+            keep = _first_k(rows, (np.round(exact, TIE_DIGITS), m_id[cols]), k)
+            rows, cols, exact = rows[keep], cols[keep], exact[keep]
+        found.append((rows + start, m_id[cols], exact))
     if not found:
         return np.empty(0, np.int64), np.empty(0, m_id.dtype), np.empty(0)
     return tuple(np.concatenate(parts) for parts in zip(*found))
@@ -136,16 +138,19 @@ def result_schema(queries: DataFrame) -> T.StructType:
     ])
 
 
+def _near_in_tables(q: pa.Table, m: pa.Table, k: int, metric: str):
+    qc, mc = _cluster_codes(q, m)
+    if not q.num_rows or not m.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return nearest_in_block(
+        in_metric_space(matrix(q["vec"]), metric), qc,
+        in_metric_space(matrix(m["vec"]), metric), m["customer_id"].to_numpy(), mc, k, metric)
+
+
 def block_task(k: int, metric: str):
     """The work on one block pair: an Arrow table in from each side, one out."""
     def work(q: pa.Table, m: pa.Table) -> pa.Table:
-        qc, mc = _cluster_codes(q, m)
-        ids = m["customer_id"].to_numpy()
-        rows, found, gaps = (np.empty(0, np.int64),) * 3
-        if q.num_rows and m.num_rows:
-            rows, found, gaps = nearest_in_block(
-                in_metric_space(matrix(q["vec"]), metric), qc,
-                in_metric_space(matrix(m["vec"]), metric), ids, mc, k, metric)
+        rows, found, gaps = _near_in_tables(q, m, k, metric)
         return pa.table({
             "query_id": q["query_id"].take(pa.array(rows)),
             "customer_id": pa.array(found, pa.int64()),
@@ -154,6 +159,48 @@ def block_task(k: int, metric: str):
     return work
 
 
+def listing_task(k: int, metric: str):
+    """As :func:`block_task`, with one row per query, its customers and distances as lists."""
+    def work(q: pa.Table, m: pa.Table) -> pa.Table:
+        rows, found, gaps = _near_in_tables(q, m, k, metric)
+        asked = np.unique(rows)  # rows come in order
+        bounds = pa.array(np.searchsorted(rows, np.r_[asked, q.num_rows]), pa.int32())
+        return pa.table({
+            "query_id": q["query_id"].take(pa.array(asked)),
+            "ids": pa.ListArray.from_arrays(bounds, pa.array(found, pa.int64())),
+            "gaps": pa.ListArray.from_arrays(bounds, pa.array(gaps, pa.float64()))})
+    return work
+
+
+def _merged_lists(k: int):
+    def work(table: pa.Table) -> pa.Table:
+        lists = table["ids"].combine_chunks()
+        codes = table["query_id"].combine_chunks().dictionary_encode()
+        query = np.repeat(codes.indices.to_numpy(), np.diff(lists.offsets.to_numpy()))
+        ids = lists.flatten().to_numpy()
+        gaps = table["gaps"].combine_chunks().flatten().to_numpy()
+        order = np.lexsort((gaps, ids, query))  # a customer met in several blocks counts once
+        query, ids, gaps = query[order], ids[order], gaps[order]
+        first = np.ones(len(ids), bool)
+        first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+        query, ids, gaps = query[first], ids[first], gaps[first]
+        keep = _first_k(query, (np.round(gaps, TIE_DIGITS), ids), k)
+        query = query[keep]
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        return pa.table({
+            "query_id": codes.dictionary.take(pa.array(query)), "customer_id": pa.array(ids[keep], pa.int64()),
+            "vdist": pa.array(gaps[keep], pa.float64()), "rank": pa.array(rank.astype(np.int32))})
+    return work
+
+
+def merge_lists(partial: DataFrame, k: int, groups: int) -> DataFrame:
+    """The ``k`` nearest per query over all lists, with their rank, in ``groups`` groups of queries."""
+    schema = T.StructType([
+        partial.schema["query_id"], T.StructField("customer_id", T.LongType()),
+        T.StructField("vdist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    return partial.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups))).applyInArrow(_merged_lists(k), schema)
+
+
 def merge_nearest(partial: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest per query over all blocks, with their rank.
 
@@ -205,3 +252,13 @@ def nearest_in_blocks(
     """Each query's ``k`` nearest within each ``block`` that it shares."""
     q, m = split_in_blocks(queries, master, sizes, block_rows)
     return q.cogroup(m).applyInArrow(block_task(k, metric), result_schema(queries))
+
+
+def lists_in_blocks(
+    queries: DataFrame, master: DataFrame, sizes: DataFrame, k: int, metric: str, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """As :func:`nearest_in_blocks`, one row per query and block: ``query_id``, ``ids``, ``gaps``."""
+    q, m = split_in_blocks(queries, master, sizes, block_rows)
+    return q.cogroup(m).applyInArrow(listing_task(k, metric), T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("gaps", T.ArrayType(T.DoubleType()))]))

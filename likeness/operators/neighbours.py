@@ -1,6 +1,7 @@
 """Exact and approximate nearest-neighbour joins of queries with customers."""
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -25,7 +26,10 @@ MAX_COMPARED = 10 ** 10
 
 # Hash tables of the approximate search, and about how many customers share a bucket.
 TABLES = 8
-BUCKET_ROWS = 64
+BUCKET_ROWS = 128
+
+# About how many candidates are merged at a time.
+LISTED = 2_000_000
 
 # Room for rounding when a cell is ruled out.
 SLACK = 1e-6
@@ -279,17 +283,39 @@ def signs(tables: int, bits: int, dim: int) -> np.ndarray:
     """+1 or -1 for each dimension (rows), table and bit, from an md5 of their numbers."""
     def sign(t, b, d):
         return 1.0 if hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0] < "8" else -1.0
-    return np.array([[sign(t, b, d) for t in range(tables) for b in range(bits)] for d in range(dim)])
+    return np.array([[sign(t, b, d) for t in range(tables) for b in range(bits)] for d in range(dim)], float)
 
 
 def bucket_bits(rows: int, bucket_rows: int) -> int:
-    """Bits with which ``rows`` customers give about ``bucket_rows`` a bucket."""
-    return min(60, max(1, math.ceil(math.log2(max(rows, 1) / bucket_rows)))) if rows else 1
+    """Bits with which ``rows`` customers give at most about ``bucket_rows`` a bucket."""
+    return min(60, math.ceil(math.log2(rows / bucket_rows))) if rows > bucket_rows else 0
+
+
+def bucket_probes(bits: int) -> int:
+    """How many buckets of a table a query visits: more where there are more to choose from."""
+    return 1 + bits // 2
 
 
-def _bucketed(side: DataFrame, centre: np.ndarray, tables: int, bits: int) -> DataFrame:
-    """Each row once per table, with its bucket as ``block``."""
-    plane = signs(tables, bits, len(centre))
+def probe_masks(margins: np.ndarray, probes: int) -> np.ndarray:
+    """For each row of distances to planes, the ``probes`` cheapest sets of planes to cross, as bit masks.
+
+    A set costs the sum of its squared distances; the first is the empty one. A set of ``c``
+    planes costs at least as much as each of its ``2 ** c`` subsets, and a plane as much as each nearer
+    one, so only small sets of the nearest planes need to be looked at.
+    """
+    n, bits = margins.shape
+    order = np.argsort(margins ** 2, axis=1, kind="stable")[:, :max(probes - 1, 0)]
+    near = order.shape[1]
+    sets = [s for c in range(min(near, probes.bit_length() - 1) + 1) for s in itertools.combinations(range(near), c)]
+    chosen = np.array([[i in s for s in sets] for i in range(near)], float).reshape(near, len(sets))
+    cost = np.round(np.take_along_axis(margins ** 2, order, 1) @ chosen, blocks.TIE_DIGITS)
+    mask = (np.int64(1) << order.astype(np.int64)) @ chosen.astype(np.int64)
+    return np.take_along_axis(mask, np.lexsort((mask, cost), axis=1)[:, :probes], 1)
+
+
+def _bucketed(side: DataFrame, centre: np.ndarray, tables: int, bits: int, probes: int = 1) -> DataFrame:
+    """Each row once per table and probe, with the bucket as ``block``; the first probe is its own."""
+    plane = signs(tables, bits, len(centre)).reshape(len(centre), tables * bits)
     columns = [c for c in side.columns if c != "cluster_size"]
     side = side.select(*columns)
 
@@ -297,17 +323,21 @@ def _bucketed(side: DataFrame, centre: np.ndarray, tables: int, bits: int) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sides = np.round((blocks.matrix(batch["vec"]) - centre) @ plane, blocks.TIE_DIGITS) >= 0
-            powers = 1 << np.arange(bits, dtype=np.int64)
-            keys = sides.reshape(batch.num_rows, tables, bits) @ powers
+            margins = np.round((blocks.matrix(batch["vec"]) - centre) @ plane, blocks.TIE_DIGITS)
+            margins = margins.reshape(batch.num_rows * tables, bits)
+            keys = ((margins >= 0) @ (1 << np.arange(bits, dtype=np.int64)))[:, None]
+            if probes > 1:
+                keys = keys ^ probe_masks(margins, probes)
+            width = tables * keys.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))],
+                [*batch.columns, pa.ListArray.from_arrays(
+                    pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(keys.ravel()))],
                 names=[*batch.schema.names, "_keys"])
 
     keyed = side.mapInArrow(hashed, T.StructType([
         *side.schema.fields, T.StructField("_keys", T.ArrayType(T.LongType()))]))
-    return keyed.select(*columns, F.posexplode("_keys").alias("_table", "_key")).select(
-        *columns, F.struct("_table", "_key").alias("block"))
+    return keyed.select(*columns, F.posexplode("_keys").alias("_at", "_key")).select(
+        *columns, F.struct(F.floor(F.col("_at") / min(probes, 1 << bits)).cast("int").alias("_table"), "_key").alias("block"))
 
 
 def approximate_nearest(
@@ -319,15 +349,19 @@ def approximate_nearest(
     dim: int | None = None,
     tables: int = TABLES,
     bucket_rows: int = BUCKET_ROWS,
+    probes: int | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
-    """The ``k`` nearest among the customers that share a hash bucket.
+    """The ``k`` nearest among the customers in the hash buckets that a query visits.
 
     A bucket is the side of ``bits`` planes on which a vector lies; the planes go
     through the mean of the customers, and the number of bits grows with theirs, so that a
-    bucket holds about ``bucket_rows`` whatever the size of the table. Distances
-    are exact; a neighbour that shares no bucket is missed. A hot bucket is
-    split like any block. ``vec`` is of one width on both sides, ``dim`` if given.
+    bucket holds about ``bucket_rows`` whatever the size of the table. Customers stand in one
+    bucket of each table; a query visits its own and those across the planes that it lies
+    nearest to, in order of the squared distances to be crossed. Distances are exact; a
+    neighbour in no visited bucket is missed. Where one bucket holds all, nothing is. Buckets that nobody visits
+    are dropped before vectors are shuffled, and a hot one is split like any block. ``vec`` is of
+    one width on both sides, ``dim`` if given.
     """
     queries, master = _with_vectors(queries, dim), _with_vectors(master, dim)
     if master.isEmpty():
@@ -336,8 +370,10 @@ def approximate_nearest(
     counted = master.select(
         F.count("*").alias("n"), Summarizer.mean(array_to_vector("vec")).alias("mean")).first()
     bits, centre = bucket_bits(counted["n"], bucket_rows), counted["mean"].toArray()
-    q = _bucketed(queries, centre, tables, bits)
+    tables = tables if bits else 1
+    probes = bucket_probes(bits) if probes is None else probes
+    q = _bucketed(queries, centre, tables, bits, probes)
     m = _bucketed(kept_copies(master, k), centre, tables, bits)
-    partial = blocks.nearest_in_blocks(q, m, block_sizes(q, m), k, metric, block_rows)
-    found = partial.groupBy("query_id", "customer_id").agg(F.min("vdist").alias("vdist"))
-    return blocks.merge_nearest(found, k)
+    partial = blocks.lists_in_blocks(q, m, block_sizes(q, m), k, metric, block_rows)
+    listed = queries.select("query_id").count() * tables * probes * min(k, max(bucket_rows, 1))
+    return blocks.merge_lists(partial, k, max(1, -(-listed // LISTED)))

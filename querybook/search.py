@@ -200,20 +200,32 @@ def keyed(master):
     return shared_key_pairs(master.withColumnRenamed("customer_id", "query_id"), master)
 
 
-# Which side of planes through the mean a vector lies on; the planes are an md5's.
+# Which side of planes through the mean a vector lies on; the planes are an md5's. Queries visit the
+# buckets that they reach across the planes nearest to them.
 BUCKETS = """
-size AS (SELECT greatest(1, CAST(ceil(log2(count(*) / 64)) AS INT)) AS bits, count(*) AS n FROM cust),
+size AS (SELECT greatest(0, CAST(ceil(log2(count(*) / 128)) AS INT)) AS bits, count(*) AS n FROM cust),
 planes AS (
   SELECT t, i, d, CASE WHEN substr(md5(t || ':' || i || ':' || d), 1, 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE AS s
   FROM (SELECT t, d, unnest(range(bits)) AS i FROM size, range(8) a(t), range(512) b(d)) p),
 means AS (SELECT b AS d, sum(x) / any_value(n) AS mean FROM sparse, size GROUP BY b),
 shifts AS (SELECT t, i, sum(s * mean) AS shift FROM planes JOIN means USING (d) GROUP BY t, i),
-buckets AS (
-  SELECT customer_id, t, sum(CASE WHEN round(p - shift, 9) >= 0 THEN 1 << i ELSE 0 END) AS bucket
+margins AS (
+  SELECT customer_id, t, i, round(p - shift, 9) AS margin
   FROM (SELECT customer_id, t, i, sum(x * s) AS p FROM sparse JOIN planes ON d = b
-        GROUP BY customer_id, t, i) v JOIN shifts USING (t, i) GROUP BY customer_id, t),
+        GROUP BY customer_id, t, i) v JOIN shifts USING (t, i)),
+buckets AS (
+  SELECT customer_id, t, sum(CASE WHEN margin >= 0 THEN 1 << i ELSE 0 END)::BIGINT AS bucket
+  FROM margins GROUP BY customer_id, t),
+crossed AS (
+  SELECT customer_id, t, mask, row_number() OVER (
+    PARTITION BY customer_id, t ORDER BY round(cost, 9), mask) AS place
+  FROM (SELECT customer_id, t, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN margin * margin ELSE 0 END) AS cost
+        FROM margins, (SELECT unnest(range(1 << bits)) AS mask FROM size) m GROUP BY customer_id, t, mask) c),
+visited AS (
+  SELECT customer_id, t, xor(bucket, mask) AS bucket
+  FROM crossed JOIN buckets USING (customer_id, t), size WHERE place <= 1 + bits // 2),
 meeting AS (
-  SELECT DISTINCT a.customer_id AS query_id, b.customer_id FROM buckets a JOIN buckets b
+  SELECT DISTINCT a.customer_id AS query_id, b.customer_id FROM visited a JOIN buckets b
   ON a.t = b.t AND a.bucket = b.bucket)
 """
 
@@ -235,7 +247,7 @@ def j6(spark, sf_dir):
 
 
 @query("j6_recall", sql_vec("""
-  SELECT count(*) AS neighbours, count(h.rank) AS found FROM (
+  SELECT count(*) AS neighbours, count(h.rank) AS found, count(h.rank) >= 0.95 * count(*) AS enough FROM (
     SELECT query_id, customer_id, row_number() OVER (
       PARTITION BY query_id ORDER BY round(vdist, 9), customer_id) AS rank
     FROM dist QUALIFY rank <= 2) e LEFT JOIN near h USING (query_id, customer_id)""",
@@ -245,4 +257,5 @@ def j6_recall(spark, sf_dir):
     exact = nearest(*sides, 2).select("query_id", "customer_id")
     found = approximate_nearest(*sides, 2).select("query_id", "customer_id", "rank")
     return exact.join(found, ["query_id", "customer_id"], "left").agg(
-        F.count("*").alias("neighbours"), F.count("rank").alias("found"))
+        F.count("*").alias("neighbours"), F.count("rank").alias("found"),
+        (F.count("rank") >= 0.95 * F.count("*")).alias("enough"))

@@ -138,6 +138,37 @@ def test_hashed_buckets_stay_small(spark):
         assert sum(sizes) == 4 * n and sum(s * s for s in sizes) / (4 * n) < 6 * neighbours.BUCKET_ROWS
 
 
+@pytest.mark.parametrize("n", [1, 2, 64, 128, 129])
+def test_hashed_search_of_small_tables_misses_nothing(spark, n):
+    assert neighbours.bucket_bits(n, 128) == (n > 128)
+    m = identities(n)
+    if n <= 128:
+        got = ranked(approximate_nearest(side(spark, m, "query_id"), side(spark, m, "customer_id"), 3))
+        assert got == brute(m, m, 3, "cosine")
+
+
+def test_probes_are_the_cheapest_sets_of_planes():
+    rng = np.random.default_rng(8)
+    for bits in (1, 2, 5, 9):
+        margins = rng.normal(size=(40, bits))
+        for probes in (1, 2, 3, 4, 8, 13):
+            got = neighbours.probe_masks(margins, probes)
+            for row, masks in zip(margins, got):
+                cost = lambda mask: round(sum(x * x for i, x in enumerate(row) if mask >> i & 1), 9)
+                assert masks.tolist() == sorted(range(1 << bits), key=lambda mask: (cost(mask), mask))[:probes]
+
+
+def test_more_probes_find_more(spark):
+    m = identities(1500, seed=9)
+    sides = side(spark, m[:300], "query_id"), side(spark, m, "customer_id")
+    exact = brute(m[:300], m, 3, "cosine")
+    hits = []
+    for probes in (1, 3, 6):
+        got = ranked(approximate_nearest(*sides, 3, tables=2, bucket_rows=32, probes=probes))
+        hits.append(sum(len(set(got.get(i, [])) & set(v)) for i, v in exact.items()))
+    assert hits[0] < hits[1] < hits[2]
+
+
 def test_the_cell_form_refuses_too_many_pairs(spark):
     q, m = data(4, n=50, queries=10)
     sides = side(spark, q, "query_id"), side(spark, m, "customer_id")
