@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from likeness.operators import blocks
+from likeness.operators import blocks, codes
 from likeness.sources.checkpoints import written
 
 # At most this many queries, of at most this many bytes, are sent to every task.
@@ -21,8 +21,12 @@ BROADCAST_ROWS = 1024
 BROADCAST_BYTES = 32 << 20
 MAX_PIVOTS = 1024
 
-# More pairs of vectors than this are not compared in cells unless asked for.
-MAX_COMPARED = 10 ** 10
+# Up to this many nearest are searched by codes; beyond, joining that many full vectors to
+# each query costs more than comparing all in full.
+CODED_K = 32
+
+# About how many queries' candidates are merged at a time.
+MERGED_QUERIES = 2048
 
 # Hash tables of the approximate search, and about how many customers share a bucket.
 TABLES = 8
@@ -76,7 +80,7 @@ def nearest(
     block_rows: int = blocks.BLOCK_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
     max_pivots: int = MAX_PIVOTS,
-    max_compared: int | None = MAX_COMPARED,
+    max_compared: int | None = None,
 ) -> DataFrame:
     """The exact ``k`` nearest customers of every query, ranked.
 
@@ -89,8 +93,10 @@ def nearest(
     joined cell by cell: customers are assigned to the nearest of a bounded set of
     pivots, and the triangle inequality tells which cells a query need not visit. That
     helps with grouped vectors in few dimensions; in many dimensions few cells are
-    ruled out, and the work comes near all pairs. So beyond ``max_compared`` pairs this
-    form is refused (None lifts that); use :func:`approximate_nearest` there.
+    ruled out, and the work comes near all pairs, in blocks of bounded size. For up to
+    ``CODED_K`` nearest these pairs are compared by byte codes with error bounds, and in full only
+    where the bounds leave a pair in the running. ``max_compared`` refuses more pairs than that;
+    :func:`approximate_nearest` does not compare all.
     """
     queries, master = _with_vectors(queries, dim), _with_vectors(master, dim)
     if "cluster" in queries.columns and "cluster" not in master.columns:
@@ -169,12 +175,15 @@ def _join_cells(queries, master, rows, k, metric, block_rows, max_pivots):
     pivots = _pivots(
         master, rows, min(max_pivots, math.ceil(4 * rows / block_rows)), metric)
 
+    coded = k <= CODED_K
     columns = [c for c in ("customer_id", "vec", "cluster") if c in master.columns]
+    kept = [c for c in columns if c != "vec" or not coded]
+    few_copies = kept_copies(master.select(*columns), k)
     celled = written(
-        kept_copies(master.select(*columns), k).mapInArrow(
-            _assign(pivots, metric),
+        few_copies.mapInArrow(
+            _assign(pivots, metric, kept, coded),
             T.StructType([
-                *[master.schema[c] for c in columns],
+                *[master.schema[c] for c in kept], *(codes.FIELDS if coded else []),
                 T.StructField("cell", T.IntegerType()),
                 T.StructField("reach", T.DoubleType())])),
         "cells")
@@ -187,25 +196,38 @@ def _join_cells(queries, master, rows, k, metric, block_rows, max_pivots):
     block = _packed(pivots, size, block_rows)
 
     fields = [queries.schema[c] for c in ("query_id", "vec", "cluster")
-              if c in queries.columns and (c != "cluster" or "cluster" in columns)]
+              if c in queries.columns and (c != "cluster" or "cluster" in columns) and (c != "vec" or not coded)]
     routed = written(
         queries.mapInArrow(
-            _route(pivots, size, reach, block, k, metric, [f.name for f in fields]),
-            T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.IntegerType()))])),
+            _route(pivots, size, reach, block, k, metric, [f.name for f in fields], coded),
+            T.StructType([*fields, *(codes.FIELDS if coded else []),
+                          T.StructField("blocks", T.ArrayType(T.IntegerType()))])),
         "routes")
     # At most one row per pivot again.
     visits = routed.select(F.explode("blocks").alias("block")).groupBy("block").agg(
         F.count("*").alias("q_rows")).collect()
     m_rows = np.bincount(block, weights=size, minlength=len(pivots)).astype(int)
-    sizes = spark.createDataFrame(
+    sizes = F.broadcast(spark.createDataFrame(
         [(v["block"], int(m_rows[v["block"]]), v["q_rows"]) for v in visits],
-        "block int, m_rows bigint, q_rows bigint")
+        "block int, m_rows bigint, q_rows bigint"))
     blocks_of = spark.createDataFrame(
         list(enumerate(block.tolist())), "cell int, block int")
-    return blocks.nearest_in_blocks(
-        routed.select("*", F.explode("blocks").alias("block")).drop("blocks"),
-        celled.drop("reach").join(F.broadcast(blocks_of), "cell").drop("cell"),
-        F.broadcast(sizes), k, metric, block_rows)
+    q = routed.select("*", F.explode("blocks").alias("block")).drop("blocks")
+    m = celled.drop("reach").join(F.broadcast(blocks_of), "cell").drop("cell")
+    if not coded:
+        return blocks.nearest_in_blocks(q, m, sizes, k, metric, block_rows)
+    groups = -(-routed.select("query_id").count() // MERGED_QUERIES)
+    pairs = codes.possible_pairs(q, m, sizes, k, max(1, groups), block_rows)
+    return _compared_in_full(pairs, queries, few_copies, metric)
+
+
+def _compared_in_full(pairs, queries, master, metric):
+    """Pairs of ids with the distance of their vectors, by row."""
+    return (
+        pairs.join(master.select("customer_id", F.col("vec").alias("m_vec")), "customer_id")
+        .join(queries.select("query_id", F.col("vec").alias("q_vec")), "query_id")
+        .select("query_id", "customer_id", "q_vec", "m_vec")
+        .mapInArrow(blocks.row_distances(metric), blocks.result_schema(queries)))
 
 
 def _packed(pivots, size, block_rows):
@@ -227,21 +249,24 @@ def _packed(pivots, size, block_rows):
     return block
 
 
-def _assign(pivots, metric):
-    """Adds each customer's nearest pivot and the distance to it."""
+def _assign(pivots, metric, kept, coded):
+    """Each customer's nearest pivot and the distance to it; codes for vectors if ``coded``."""
     def assign(batches):
         for batch in batches:
-            gaps = blocks.straight_gaps(
-                blocks.in_metric_space(blocks.matrix(batch["vec"]), metric), pivots)
+            if not batch.num_rows:
+                continue
+            x = blocks.in_metric_space(blocks.matrix(batch["vec"]), metric)
+            gaps = blocks.straight_gaps(x, pivots)
             cell = gaps.argmin(axis=1)
             reach = gaps[np.arange(len(cell)), cell]
+            more = dict(zip((f.name for f in codes.FIELDS), codes.coded(x))) if coded else {}
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell, pa.int32()), pa.array(reach, pa.float64())],
-                names=[*batch.schema.names, "cell", "reach"])
+                [*[batch[c] for c in kept], *more.values(), pa.array(cell, pa.int32()), pa.array(reach, pa.float64())],
+                names=[*kept, *more, "cell", "reach"])
     return assign
 
 
-def _route(pivots, size, reach, block, k, metric, names):
+def _route(pivots, size, reach, block, k, metric, names, coded):
     """Adds the blocks with cells that can hold any of a query's ``k`` nearest.
 
     Taking cells by their farthest point until they hold ``k`` customers gives a
@@ -250,6 +275,8 @@ def _route(pivots, size, reach, block, k, metric, names):
     """
     def route(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             q = blocks.in_metric_space(blocks.matrix(batch["vec"]), metric)
             gaps = blocks.straight_gaps(q, pivots)
             need = np.full(len(q), k, np.int64)
@@ -266,9 +293,10 @@ def _route(pivots, size, reach, block, k, metric, names):
             scale = 1.0 + np.abs(gaps).max(axis=1, initial=0.0)
             visit = (gaps - reach <= (bound + SLACK * scale)[:, None]) & (size > 0)
             cells = [np.unique(block[v]) for v in visit]
+            more = dict(zip((f.name for f in codes.FIELDS), codes.coded(q))) if coded else {}
             yield pa.RecordBatch.from_arrays(
-                [*[batch[n] for n in names], pa.array(cells, pa.list_(pa.int32()))],
-                names=[*names, "blocks"])
+                [*[batch[n] for n in names], *more.values(), pa.array(cells, pa.list_(pa.int32()))],
+                names=[*names, *more, "blocks"])
     return route
 
 

@@ -1,11 +1,12 @@
 """Similarity joins against brute force, copies and hot keys included."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from likeness.operators.clusters import duplicate_pairs, duplicates_only
-from likeness.operators import neighbours
+from likeness.operators import blocks, codes, neighbours
 from likeness.operators.keys import KEYS, hot_keys, shared_key_pairs
 from likeness.operators.neighbours import approximate_nearest, nearest
 from likeness.plans.pairs import hard_negatives
@@ -169,6 +170,30 @@ def test_more_probes_find_more(spark):
     assert hits[0] < hits[1] < hits[2]
 
 
+def test_codes_bound_distances_and_spare_full_ones(spark):
+    m = identities(1500)
+    m[7] = 0
+    x = blocks.in_metric_space(m, "cosine")
+    fields = dict(zip(("code", "scale", "residual"), codes.coded(x)))
+    side_of = codes.Codes(pa.table(fields))
+    rows, cols, least, most = codes._possible(side_of, side_of, slice(0, 300), None, 1500)
+    exact = np.linalg.norm(x[:300, None] - x[None], axis=2)[rows, cols]
+    assert len(rows) == 300 * 1500 and (least <= exact).all() and (exact <= most).all()
+    # All pairs of one block: what the bounds leave is far below a twentieth of them.
+    table = pa.table({"customer_id": np.arange(1500), "query_id": np.arange(1500), **fields})
+    listed = codes._task(2)(table, table)
+    assert len(codes._merged(2)(listed)) < 0.05 * 1500 ** 2
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_coded_and_full_cells_agree(spark, metric, monkeypatch):
+    q, m = identities(300, seed=11), identities(900, seed=11)
+    sides = side(spark, q, "query_id"), side(spark, m, "customer_id")
+    found = ranked(nearest(*sides, 5, metric, broadcast_rows=0, block_rows=128))
+    monkeypatch.setattr(neighbours, "CODED_K", 0)
+    assert found == ranked(nearest(*sides, 5, metric, broadcast_rows=0, block_rows=128)) == brute(q, m, 5, metric)
+
+
 def test_the_cell_form_refuses_too_many_pairs(spark):
     q, m = data(4, n=50, queries=10)
     sides = side(spark, q, "query_id"), side(spark, m, "customer_id")
