@@ -17,7 +17,10 @@
    two groups, then all that still join different groups. A pair already connected needs
    no confirmation, since it cannot change a component. So a group of n copies costs
    about n confirmations, and no step holds a whole group or emits all its pairs.
-4. Components of the confirmed links give the result.
+4. Regions with more documents than the second pass looks at, of which not all are connected, are
+   crowds. All their pairs that can be similar enough are found by the prefixes of their sets in order of
+   frequency, and confirmed likewise; so in a crowd nothing is missed.
+5. Components of the confirmed links give the result.
 
 Null and empty texts have no set and are linked with nothing. Rows that share a
 ``doc_id`` count as one document, linked through each of their texts; a row with a null id
@@ -45,6 +48,8 @@ DEEPER = 8
 REACH = 4
 #: How many of its candidates each document has confirmed in the first pass.
 FIRST = 2
+#: How many documents with one shingle meet in one part.
+CROWD_ROWS = 1000
 SLICE_BYTES = 1 << 19
 #: About how many documents and shingles meet in one cell.
 CELL_DOCS = 4000
@@ -259,6 +264,69 @@ def _links(pairs: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent
     return links
 
 
+def crowded(known: DataFrame) -> DataFrame:
+    """``node, component`` of documents in a region of a tree that the second pass did not see whole.
+
+    A region (one head of one tree) of up to ``REACH + 1`` documents is seen whole, and one whose documents are all
+    connected needs no more.
+    """
+    rows = known.select("node", "component", F.posexplode("trees").alias("tree", "key")).select(
+        "node", "component", "tree", "key.head")
+    regions = rows.groupBy("tree", "head").agg(
+        F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).where(
+            (F.col("docs") > REACH + 1) & (F.col("low") < F.col("high"))).select("tree", "head")
+    return rows.join(regions, ["tree", "head"], "left_semi").select("node", "component").distinct()
+
+
+def _listed(n: int):
+    """Every shingle of each document, once."""
+    def run(batches):
+        for batch in batches:
+            for begin, end in slices(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(begin, end - begin)
+                values, first = shingle_sets(part.column("text"), n)
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), part.column("component"), lists], ["node", "component", "shingles"])
+    return run
+
+
+def prefix_pairs(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b, votes`` of all documents of different components that can be similar enough; none is left out.
+
+    ``texts`` has ``node``, ``component`` and ``text``. Shingles are put in order of their frequency among these
+    documents. Two sets of the wanted similarity share ``common`` shingles, at least ``percent`` of ``100 + percent``
+    hundredths of both sizes; so the first that they share in this order stands so early in both that
+    ``common`` are left from there. What many documents share comes last in
+    the order and hardly ever so early. A shingle that many documents have there all the same is
+    met in parts by parts, so that no task holds all its documents.
+    """
+    rows = texts.mapInArrow(_listed(n), "node long, component long, shingles array<long>").select(
+        "node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy(F.col("shingle").alias("s")).agg(F.countDistinct("node").alias("docs")).where("docs > 1")
+    # A shingle of one document alone is rarer than all others, and links to nothing.
+    by_node = W.partitionBy("node", "size").orderBy(F.coalesce("docs", F.lit(1)), "shingle")
+    left = F.col("size") - F.col("place") + 1
+    prefix = written(rows.join(often, F.col("shingle") == F.col("s"), "left").withColumn(
+        "place", F.row_number().over(by_node)).where(
+            (100 * left >= percent * F.col("size")) & F.col("docs").isNotNull()).select(
+                "node", "component", "size", "shingle", left.alias("left")), "prefixes")
+    parts = prefix.groupBy("shingle").agg(F.ceil(F.count("*") / CROWD_ROWS).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    split = prefix.join(parts, "shingle").withColumn("own", own)
+    fields = ["node", "component", "size", "left"]
+    # x is the smaller set, or has the smaller id; as both are at least its size, it shares more.
+    small = (100 + percent) * F.col("left") >= 2 * percent * F.col("size")
+    x = split.where(small).select(F.struct(*fields).alias("x"), "shingle", F.col("own").alias("p"), every.alias("q"))
+    y = split.select(F.struct(*fields).alias("y"), "shingle", every.alias("p"), F.col("own").alias("q"))
+    first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.size") + F.col("y.size"))
+    return x.join(y, ["shingle", "p", "q"]).where(
+        first & (F.col("x.component") != F.col("y.component")) & enough).groupBy(
+            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("votes"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -288,6 +356,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = written(candidates(known, REACH), "candidates")
     links = links.unionByName(_links(pairs, texts, links, n, percent))
     found = components(links)
+    # Regions that neighbours did not cover: all pairs that can be similar at all.
+    crowd = written(crowded(known.drop("component").join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))), "crowd")
+    if not crowd.isEmpty():
+        pairs = prefix_pairs(texts.drop("cell").join(crowd, "node"), n, percent)
+        pairs = written(pairs.join(ends[0], "a").join(ends[1], "b"), "candidates")
+        links = links.unionByName(_links(pairs, texts, links, n, percent))
+        found = components(links)
     return rows.select("doc_id", "n_shingles").join(
         found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
