@@ -128,9 +128,10 @@ def usable(vector: Column) -> Column:
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score`` from two tables of ``id`` and ``vector`` (array<long>)."""
-    same = W.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
-    candidates = written(candidates.withColumn("copy", F.row_number().over(same)).where(
-        F.col("copy") <= k + 1).select("id", "vector"), "candidates")
+    # Of equal vectors the k + 1 smallest ids can be among a query's best (one may be its own), each id k times.
+    same, again = (W.partitionBy(F.xxhash64("vector"), "vector", *by).orderBy("id") for by in ((), ("id",)))
+    candidates = written(candidates.withColumn("again", F.row_number().over(again)).where(F.col("again") <= k).withColumn(
+        "copy", F.dense_rank().over(same)).where(F.col("copy") <= k + 1).select("id", "vector"), "candidates")
     queries = written(queries.groupBy("id").agg(F.min("vector").alias("vector")), "queries")
     blocks = max(1, -(-candidates.count() // BLOCK_ROWS))
     groups = max(1, -(-queries.count() // GROUP_QUERIES))

@@ -2,7 +2,7 @@
 
 import random
 
-from likeness.llm import neardup
+from likeness.llm import neardup, topk
 
 
 def template(rng, n, words, least, most):
@@ -57,3 +57,10 @@ def test_prefix_pairs_hold_all_similar_pairs(spark):
                 common = len(sets[i] & sets[j])
                 if common and 100 * common >= percent * len(sets[i] | sets[j]):
                     assert (j, i) in found
+
+
+def test_repeated_ids_do_not_use_up_the_places_of_copies(spark):
+    rows = [(50, [100, 0])] * 8 + [(51, [100, 0]), (52, [90, 0])] + [(53, [80, 0])] * 7
+    df = spark.createDataFrame(rows, "id long, vector array<long>").repartition(3)
+    found = topk.top_k(df.where("id = 50"), df, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(51, 10_000), (52, 9000), (53, 8000), (53, 8000), (53, 8000)]
