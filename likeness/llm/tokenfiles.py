@@ -51,6 +51,7 @@ UNSURE = re.compile(r"\s\s|\A\s|\s\Z|\x00")
 SPACE = re.compile(r"\s")
 #: All white space but the blank and the line end.
 OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ASCII_SPACES = sum(c.isascii() for c in OTHER_SPACE)  # they come first
 
 
 class Store:
@@ -97,7 +98,12 @@ class Encoder:
         self.store = Store()
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.each([text])[0]
+
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; places in the text, which nobody asks for, are not worked out."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
 
     def keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.known.update(zip(pieces, range(self.store.n, self.store.n + len(pieces))))
@@ -117,7 +123,7 @@ class Encoder:
             self.keep(some, joined[inside], np.diff(np.r_[-1, ends, len(joined)]) - 1)
 
     def learn_each(self, pieces: list[str]) -> None:
-        ids = [self.whole(p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p) for p in pieces]
+        ids = self.each([p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p for p in pieces])
         if ids:
             self.keep(pieces, np.concatenate(ids), np.array([len(x) for x in ids]))
 
@@ -147,7 +153,8 @@ class Encoder:
         """Whether a cut at blanks and line ends might change the ids."""
         # With single blanks and line ends alone there is one word more than of them; split()
         # cuts at other white space too, so that the sum says nothing where there is any.
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(c in text for c in OTHER_SPACE):
+        other = OTHER_SPACE[:ASCII_SPACES] if text.isascii() else OTHER_SPACE
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(c in text for c in other):
             if UNSURE.search(text):
                 return True
         return "\x00" in text or any(a in text for a in self.added)
