@@ -13,7 +13,8 @@ of bounded size, each in a pass of its own over the rows of a task.
 
 Null and empty texts have no words, no hits and are not contaminated. Repeated rows
 give repeated results; a long text is searched whole. Test items without words match
-nothing; repeated item ids count once. An empty benchmark leaves all clean. Other
+nothing; repeated item ids count once, items
+with a null id hit as others do and count as one item without a name. An empty benchmark leaves all clean. Other
 columns of the documents are kept by ``decontaminate``.
 """
 
@@ -41,7 +42,8 @@ class Suffixes:
         self.window = window
         words = words_of(pa.array([t for _, t in items], pa.large_string()), ALPHANUMERIC)
         self.vocabulary = np.unique(words.hashes)
-        self.names = sorted({str(i) for i, _ in items})
+        # Items without an id are one item, the last.
+        self.names = sorted({None if i is None else str(i) for i, _ in items}, key=lambda i: (i is None, i))
         at = {n: i for i, n in enumerate(self.names)}
         ids = (np.searchsorted(self.vocabulary, words.hashes) + 1).astype(">u4")
         anchors: dict[int, list[np.ndarray]] = {}
@@ -55,7 +57,7 @@ class Suffixes:
             anchors.setdefault(short, []).append(runs(words.hashes[low:high], short))
             for p in range(low, high - n + 1):
                 keys.append(ids[p:p + n].tobytes())
-                owners.append((at[str(name)], p - low))
+                owners.append((at[None if name is None else str(name)], p - low))
         self.anchors = {n: Members(np.concatenate(x)) for n, x in anchors.items()}
         by_key: dict[bytes, list[tuple[int, int]]] = {}
         for key, owner in zip(keys, owners):
@@ -165,8 +167,7 @@ def _search_slice(part: pa.Table, texts: pa.Array, tests: Suffixes) -> pa.Table:
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
     """Test items, at most about ``block_words`` words at a time."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(
-        F.col("t").isNotNull() & F.col("i").isNotNull())
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     total = rows.agg(F.sum(F.length("t") / 2 + 1).alias("n")).first()["n"] or 0
     n = max(1, int(-(-total // block_words)))
     if n == 1:

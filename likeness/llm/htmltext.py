@@ -41,7 +41,7 @@ BLOCK_TAGS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe label legend li main menu nav ol optgroup option p pre "
     "section select summary table tbody td textarea tfoot th thead tr ul video audio".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = "script|style|noscript|template|svg|math|title|object|canvas"
+NO_TEXT = "script|style|noscript|template|title"
 CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select textarea dialog menu iframe label".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -171,15 +171,57 @@ def features(b: Block) -> list[float]:
             float(b.tag in ("p", "h1", "h2", "h3", "blockquote", "pre")), float(b.tag in ("li", "td", "th", "div"))]
 
 
+def _decided(scores: list[float], near: list[dict[int, float]]) -> list[bool | None]:
+    """Blocks that the minimum cut labels alike whatever the others get, in linear time.
+
+    A capacity above the sum of a block's edges settles its label; its edges then become
+    capacities of its neighbours. Settled blocks are taken out of ``near``.
+    """
+    label: list[bool | None] = [None] * len(scores)
+    reach = [sum(x.values()) for x in near]
+    check = deque(range(len(scores)))
+    while check:
+        i = check.popleft()
+        if label[i] is not None or -reach[i] - 1e-9 < scores[i] <= reach[i] + 1e-9:
+            continue
+        label[i] = scores[i] > 0
+        for j, w in near[i].items():
+            del near[j][i]
+            reach[j] -= w
+            scores[j] += w if label[i] else -w
+            check.append(j)
+        near[i] = {}
+    return label
+
+
 def labels_by_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Content or not: the minimum cut of scores (capacities) and edges (both ways)."""
+    """Content or not: the minimum cut of scores (capacities) and edges (both ways).
+
+    Paths are sought among the blocks only that stand against no stronger capacity of their own.
+    """
     n = len(scores)
     excess = list(scores)  # above zero from the source, below zero to the sink
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, w in edges:
         near[i][j] = near[i].get(j, 0.0) + w
         near[j][i] = near[j].get(i, 0.0) + w
-    sources = [i for i in range(n) if excess[i] > 0]
+    label = _decided(excess, near)
+    for first in range(n):
+        if label[first] is None:
+            group, queue = {first}, deque([first])
+            while queue:
+                new = [j for j in near[queue.popleft()] if j not in group]
+                group.update(new)
+                queue.extend(new)
+            content = _augment(excess, near, sorted(group))
+            for i in group:
+                label[i] = i in content
+    return label
+
+
+def _augment(excess: list[float], near: list[dict[int, float]], group: list[int]) -> dict[int, int]:
+    """The blocks of a connected group that the source still reaches after the maximum flow."""
+    sources = [i for i in group if excess[i] > 0]
     while True:
         # Breadth first from all blocks whose source has capacity left.
         came = {i: i for i in sources if excess[i] > 0}
@@ -195,7 +237,7 @@ def labels_by_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> l
                         break
                     queue.append(j)
         if end is None:
-            return [i in came for i in range(n)]
+            return came
         flow, j = -excess[end], end
         while came[j] != j:
             flow = min(flow, near[came[j]][j])

@@ -12,7 +12,7 @@ has, a bin is opened.
 Null, empty and blank texts have no words and go to no bin (null). A null source and a
 cluster with one member in the shard conflict with nothing. Ties in length go to the
 smaller id and piece, ties in room to the older bin. Repeated rows are packed as often as
-they come, each in another bin, as they are copies. Long texts are cut, never
+they come, each in another bin, as they are copies (full pieces by their number among equal rows). Long texts are cut, never
 shortened. Other columns play no part.
 """
 
@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from likeness.sources.checkpoints import written
@@ -103,10 +104,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     shards = max(1, -(-part.count() // shard_pieces))
     packed = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards))).groupBy(
         "shard").applyInArrow(_pack_shard(capacity), BIN_SCHEMA)
-    # Full pieces need no search; their bins are numbered below zero, by document and piece.
-    full = pieces.where("full").select(
+    # Full pieces need no search; their bins are numbered below zero, by document, piece and,
+    # as rows may repeat, the row's number among equal ones.
+    equal = W.partitionBy("doc_id", "piece", "cluster", "source").orderBy("n_words")
+    full = pieces.where("full").withColumn("copy", F.row_number().over(equal)).select(
         "doc_id", "source", "piece", "first_word", "n_words",
-        (-1 - F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(1 << 62))).alias("bin_id"),
+        (-1 - F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source", "copy"), F.lit(1 << 62))).alias("bin_id"),
         F.lit(0).cast("long").alias("bin_offset"))
     empty = pieces.where("n_words = 0").select(
         "doc_id", "source", "piece", "first_word", "n_words", F.lit(None).cast("long").alias("bin_id"),

@@ -113,17 +113,20 @@ def _spans(number: int, text: Column, found: Column) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` and ``spans``: start, kind (number in ``KINDS``), end, value, score; in order.
 
-    A column of that name is replaced.
+    A column of that name is replaced; all others are kept, whatever their names.
     """
-    docs = docs.drop("spans", *[f"_{k}" for k, *_ in KINDS])
+    docs = docs.drop("spans")
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
     digits = text.rlike("[0-9]")
     hints = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")) & digits}
     rows = docs.select("*", *[
-        F.when(hints.get(k, digits), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"_{k}")
+        F.when(hints.get(k, digits), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"{mark}{k}")
         for k, p, *_ in KINDS])
-    spans = F.array_sort(F.concat(*[_spans(i, text, F.col(f"_{k}")) for i, (k, *_) in enumerate(KINDS)]))
+    spans = F.array_sort(F.concat(*[_spans(i, text, F.col(f"{mark}{k}")) for i, (k, *_) in enumerate(KINDS)]))
     return rows.select(*[f"`{c}`" for c in docs.columns], spans.alias("spans"))
 
 

@@ -104,6 +104,9 @@ def test_contamination(spark, docs, none):
     kept = contamination.decontaminate(docs, items)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 7, 9, 10, None}
     assert contamination.find_matches(none, items).count() == 0
+    nameless = items.withColumn("item_id", F.when(F.col("item_id") == 4, F.col("item_id")))
+    rows = by_id(contamination.find_matches(docs, nameless), "match_items", "longest_match")
+    assert rows[1] == ([None], 3) and rows[9] == ([], 0)
     assert contamination.decontaminate(docs, items.where("false")).count() == docs.count()
 
 
@@ -170,6 +173,9 @@ def test_pii(spark, docs, none):
     assert clean[1][0].startswith("mail: <EMAIL>, 😀 ip <IP> not 10.0.0.256; card <CARD> no 4111111111111112 <PHONE>.")
     assert clean[1][1] == "x" and clean[2][0] is None and "@b" not in clean[4][0]
     assert pii.with_spans(none).count() == 0 and pii.redacted(docs).columns == docs.columns
+    own = pii.with_spans(df.withColumnsRenamed({"spans": "_email"}).withColumn("__Card", F.lit(7)))
+    assert own.columns == ["doc_id", "text", "_email", "__Card", "spans"]
+    assert own.where("doc_id = 1").select("_email", "__Card", F.size("spans")).first() == ("x", 7, 6)
 
 
 def test_packing(docs, none, spark):
@@ -192,6 +198,9 @@ def test_packing(docs, none, spark):
             assert r.bin_offset == at
             at += r.n_words
     assert packing.pack(none).count() == 0
+    twice = spark.createDataFrame([(1, "w " * 250, "a")] * 3, "doc_id long, text string, source string")
+    held = {r.bin_id: r.words for r in packing.pack(twice, capacity=100).groupBy("bin_id").agg(F.sum("n_words").alias("words")).collect()}
+    assert sorted(held.values()) == [50] * 3 + [100] * 6
 
 
 def test_packing_equals_plain_best_fit_on_one_shard(spark):
@@ -305,6 +314,9 @@ def test_main_text(spark):
     assert htmltext.with_main_text(long, htmltext.fit(long)).first()["main_text"].count("\n") == 2999
     none = pages.where("false")
     assert htmltext.with_main_text(none, htmltext.fit(none)).count() == 0
+    drawn = ("<article><p>First of them.</p><svg width=4 /><p>Second is <math><mi>x</mi></math> here.</p>"
+             "<object><p>Third one of them.</p></object><script>no</script></article>")
+    assert htmltext.main_text(drawn, htmltext.DEFAULT_WEIGHTS) == "First of them.\nSecond is x here.\nThird one of them."
 
 
 def test_minimum_cut_equals_trying_all_labels():
@@ -324,6 +336,24 @@ def test_minimum_cut_equals_trying_all_labels():
         assert cost(htmltext.labels_by_cut(scores, edges)) == pytest.approx(best)
 
 
+def test_a_cut_of_very_many_blocks():
+    import random
+    import time
+
+    rng = random.Random(5)
+    scores = [rng.uniform(-6, 6) for _ in range(100_000)]
+    begin = time.monotonic()
+    labels = htmltext.labels_by_cut(scores, [(i, i + 1, htmltext.SIBLINGS) for i in range(len(scores) - 1)])
+    assert time.monotonic() - begin < 30
+    # The best labels of a chain, place by place.
+    off = on = 0.0
+    for i, s in enumerate(scores):
+        w = htmltext.SIBLINGS if i else 0.0
+        off, on = min(off, on + w) + max(s, 0), min(on, off + w) + max(-s, 0)
+    cost = sum(abs(s) for s, y in zip(scores, labels) if (s > 0) != y) + htmltext.SIBLINGS * sum(a != b for a, b in zip(labels, labels[1:]))
+    assert cost == pytest.approx(min(off, on))
+
+
 def test_toxicity_counts_all_labelled_rows_and_takes_all_significant_terms(spark):
     # 90 long terms, each with its three beginnings, in 12 toxic rows (a fifth held out); sample and lexicon are small.
     terms = [f"{i:02d}zq{'abcdefghij'[i % 10]}kterm" for i in range(90)]
@@ -337,3 +367,12 @@ def test_toxicity_counts_all_labelled_rows_and_takes_all_significant_terms(spark
     assert [i for i in range(90) if scored[i][0] < 0.5] == [] and scored[1000][0] < 0.5
     # One voter stands for a term and its beginnings.
     assert len(model.voters.members.keys) <= 100
+
+
+def test_the_cut_keeps_what_the_classifier_alone_drops():
+    page = ("<div><p>The first sentence of it is long, and it ends here.</p><p>Not so</p>"
+            "<p>The last sentence of it is long, and it ends here.</p></div>")
+    blocks, w = htmltext.blocks_of(page), htmltext.DEFAULT_WEIGHTS
+    alone = [sum(a * b for a, b in zip(htmltext.features(b), w)) + w[-1] for b in blocks]
+    assert [s > 0 for s in alone] == [True, False, True] and not any(b.evidence for b in blocks)
+    assert htmltext.main_text(page, w).count("\n") == 2
