@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A cluster of more rows than this is split into parts before it is ordered.
+# The ring of a cluster of more rows than this is cut into arcs before it is ordered.
 PART_ROWS = 10_000
 
 
@@ -46,32 +46,57 @@ def duplicate_pairs(
     ``members`` comes from :func:`duplicates_only`. The group is put on a ring in
     order of a seeded hash, and each member is paired with those after it: always
     ``min(cap, size - 1)`` distinct partners, from one pass that never builds
-    all pairs. Groups of more than ``part_rows`` rows form several rings.
+    all pairs. The ring of a group of more than ``part_rows`` rows is cut into arcs of
+    about that many, by the hash's first digits; the last members of an arc get their
+    partners from the first rows of the arcs that follow, so that the pairs are those of
+    the uncut ring whatever ``part_rows`` is.
 
     Adds ``cand_customer_id``.
     """
     if cap < 1 or part_rows <= 2 * cap:
         raise ValueError("cap must be positive and well below part_rows")
     place = F.md5(F.concat(F.lit(seed), F.col("customer_id").cast("string")).cast("binary"))
-    parts = F.greatest(F.floor(F.col("cluster_size") / part_rows), F.lit(1))
-    salted = members.withColumn("_hash", place).withColumn("_group", digest(key)).withColumn(
-        "_part", F.pmod(F.xxhash64("customer_id"), parts))
-    ring = Window.partitionBy("_group", "_part").orderBy("_hash", "customer_id")
+    arcs = F.ceil(F.col("cluster_size") / part_rows)
+    arc = F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint") * arcs, 32)
+    salted = members.withColumn("_hash", place).withColumn("_group", digest(key)).withColumn("_arc", arc)
+    ring = Window.partitionBy("_group", "_arc").orderBy("_hash", "customer_id")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = salted.select(
-        *members.columns,
+        *members.columns, "_group", "_arc",
         F.row_number().over(ring).alias("_place"),
         F.count("*").over(whole).alias("_n"),
         *[F.lead("customer_id", j).over(ring).alias(f"_next{j}")
           for j in range(1, cap + 1)],
         F.array(*[F.nth_value("customer_id", j).over(whole)
                   for j in range(1, cap + 1)]).alias("_firsts"))
+    following = _rows_after_arcs(salted.where(F.col("cluster_size") > part_rows), ring, cap)
+    placed = placed.join(following, ["_group", "_arc"], "left").withColumns({
+        "_firsts": F.coalesce("_after", "_firsts"),
+        "_last": F.coalesce("_total", F.col("_n")) - 1})
     partners = F.array_compact(F.array(*[
         F.when(
-            F.lit(j) < F.col("_n"),
+            F.lit(j) <= F.col("_last"),
             F.coalesce(
                 F.col(f"_next{j}"),
                 F.get("_firsts", (F.col("_place") + j - F.col("_n") - 1).cast("int"))))
         for j in range(1, cap + 1)]))
     return placed.select(
         *members.columns, F.explode(partners).alias("cand_customer_id"))
+
+
+def _rows_after_arcs(salted: DataFrame, ring: Window, cap: int) -> DataFrame:
+    """For each arc of the large groups the ``cap`` ids that follow it on the ring, and the group's rows.
+
+    One row per arc. ``cap`` arcs, none of them empty, hold the ids looked for.
+    """
+    sizes = salted.groupBy("_group", "_arc").agg(F.count("*").alias("_n"))
+    heads = salted.select("_group", "_arc", "_hash", "customer_id").withColumn(
+        "_place", F.row_number().over(ring)).where(F.col("_place") <= cap).groupBy("_group", "_arc").agg(
+            F.array_sort(F.collect_list(F.struct("_place", "customer_id")))["customer_id"].alias("_head"))
+    around = Window.partitionBy("_group").orderBy("_arc")
+    group = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    begin = F.array(*[F.nth_value("_head", j).over(group) for j in range(1, cap + 1)])
+    nexts = F.array(*[F.lead("_head", j).over(around) for j in range(1, cap + 1)])
+    return sizes.join(heads, ["_group", "_arc"]).select(
+        "_group", "_arc", F.sum("_n").over(group).alias("_total"),
+        F.slice(F.flatten(F.array_compact(F.concat(nexts, begin))), 1, cap).alias("_after"))

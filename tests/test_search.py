@@ -274,6 +274,15 @@ def test_duplicate_pairs_in_a_hot_group(spark, part_rows):
         assert len(set(found)) == len(found) == min(5, size[t] - 1)
 
 
+def test_arcs_make_the_pairs_of_the_whole_ring(spark):
+    ids = spark.range(50_300).select(F.col("id").alias("customer_id"), F.when(
+        F.col("id") < 50_000, "hot").otherwise((F.col("id") % 100).cast("string")).alias("identity_text"))
+    members = duplicates_only(ids)
+    runs = [{tuple(r) for r in duplicate_pairs(members, 3, part_rows=n).select(
+        "customer_id", "cand_customer_id").collect()} for n in (100_000, 10_000, 7)]
+    assert len(runs[0]) == 3 * 50_000 + 100 * 3 * 2 and runs[0] == runs[1] == runs[2]
+
+
 def test_duplicate_pairs_depend_on_the_seed_only(spark):
     ids = spark.range(50).select(F.col("id").alias("customer_id"), F.lit("t").alias("identity_text"))
     run = lambda seed: {tuple(r) for r in duplicate_pairs(
