@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from likeness import schemas
 from likeness.sources.checkpoints import written
-from likeness.sources.readers import lower_columns, path_exists, require_columns
+from likeness.sources.readers import folders, lower_columns, path_exists, require_columns
 
 SCAN_COLUMNS = ["customer_id", "dob", *schemas.CUSTOMER_TEXT_FIELDS, "identity_text"]
 
@@ -55,7 +55,8 @@ def scan_jdbc(
     return scan_customers(rows, wanted)
 
 
-# One small row per batch: who wrote it, and the last id that it uses.
+# One small row per batch: who wrote it, and the last id that it uses. The writer is put
+# down in ``_claims`` before any row of the batch, the last id after the last row.
 MANIFEST = T.StructType([
     T.StructField("batch_id", T.StringType()),
     T.StructField("writer", T.StringType()),
@@ -73,21 +74,31 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def last_id(spark: SparkSession, path: str, other_than: str) -> int:
     """The largest id in use by other batches, zero for a new master.
 
-    From the manifest; a batch that is not in it has its ids scanned.
+    From the manifest. Only folders of batches that are not in it, as after a crash between
+    rows and manifest, have their ids scanned; the names of the folders tell.
     """
-    listed = read_manifest(spark, path)
-    unlisted = read_master(spark, path).join(
-        listed.select("batch_id"), "batch_id", "left_anti").select(
-            "batch_id", F.col("customer_id").alias("last_id"))
-    used = listed.select("batch_id", "last_id").unionByName(unlisted)
-    return used.filter(F.col("batch_id") != other_than).agg(
-        F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
+    # One row per folder, whose names the driver lists as well.
+    used = {r["batch_id"]: r["last_id"] or 0 for r in read_manifest(spark, path).collect()}
+    last = max((n for batch, n in used.items() if batch != other_than), default=0)
+    unlisted = set(folders(spark, path, "batch_id=")) - used.keys() - {other_than}
+    if unlisted:
+        rows = read_master(spark, path).filter(F.col("batch_id").isin(sorted(unlisted)))
+        last = max(last, rows.agg(F.coalesce(F.max("customer_id"), F.lit(0))).first()[0])
+    return last
 
 
 def refuse_other_writer(spark: SparkSession, path: str, batch_id: str, writer: str) -> None:
-    """A batch is replaced by its own writer only."""
+    """A batch is replaced by its own writer only, also one that was broken off.
+
+    Puts the writer down when there is none yet.
+    """
+    claim = f"{path.rstrip('/')}/_claims/of={batch_id}"
     row = read_manifest(spark, path).filter(F.col("batch_id") == batch_id).first()
-    if row is not None and row["writer"] != writer:
+    if row is None and path_exists(spark, claim):
+        row = spark.read.schema("writer string").parquet(claim).first()
+    if row is None:
+        spark.createDataFrame([(writer,)], "writer string").coalesce(1).write.mode("overwrite").parquet(claim)
+    elif row["writer"] != writer:
         raise ValueError(
             f"batch {batch_id} was loaded by '{row['writer']}', not by '{writer}'; name the stream anew")
 

@@ -23,6 +23,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names of the folders in ``path`` that begin with ``prefix``, without it."""
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     fs, p = _hadoop_path(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()

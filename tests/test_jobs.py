@@ -386,6 +386,25 @@ def test_other_streams_do_not_replace_loaded_batches(spark, tmp_path):
     assert read_master(spark, master).count() == 37
 
 
+def test_ids_and_writers_of_a_batch_that_was_broken_off(spark, tmp_path, monkeypatch):
+    from likeness.sources import master as m
+
+    path = str(tmp_path / "master")
+    m.refuse_other_writer(spark, path, "b2", "w")  # and then the driver is lost
+    with pytest.raises(ValueError, match="name the stream anew"):
+        m.refuse_other_writer(spark, path, "b2", "v")
+    m.refuse_other_writer(spark, path, "b2", "w")
+    people = raw(spark, *[{"full_name": f"N{i}"} for i in range(9)])
+    ingest(people, path, "b1", now())
+    # Rows without a line in the manifest: their ids are looked up.
+    lost = read_master(spark, path).withColumn("customer_id", F.col("customer_id") + 100)
+    lost.drop("batch_id").write.partitionBy("created_on").parquet(f"{path}/batch_id=b2")
+    assert m.last_id(spark, path, "b3") == 109 and m.last_id(spark, path, "b2") == 9
+    ingest(people, path, "b2", now(), writer="w")
+    monkeypatch.setattr(m, "read_master", None)  # nothing is scanned where all are listed
+    assert m.last_id(spark, path, "b3") == 18 and m.last_id(spark, path, "b2") == 9
+
+
 def test_late_rows_of_a_stream_are_not_counted(spark, tmp_path):
     from likeness.streaming.jobs import daily_counts, latest, upsert_batch
 
