@@ -1,7 +1,9 @@
 """Statistics, ingest, pair generation, training, loans and notes."""
 
 import uuid
+from dataclasses import astuple
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from likeness.operators.notes import latest_notes, with_latest_note
@@ -238,25 +240,55 @@ def _trained(spark, sf_dir, fit):
     pairs_path, model_path = _new_path(spark, "pairs.parquet"), _new_path(spark, "model")
     pairs.write.parquet(pairs_path)
     report = train_ranker(spark, model_path, master, pairs_path=pairs_path, fit=fit)
-    scored = load_scorer(spark, model_path)(_labelled_scores(spark, sf_dir))
-    return report, scored
+    return report, model_path
 
 
-_BY_LABEL = f"SELECT {_LABEL} AS label, count(*) AS pairs, true AS in_range FROM feats GROUP BY 1"
+def _gap(scored, coefficients, intercept):
+    """How far the gradient of the penalised loss is from zero, relative to its terms.
+
+    ``intercept`` is what the penalty adds to the intercept's sum: itself or nothing.
+    """
+    pull = F.col("weight") * (F.col("score") - F.col("label"))
+    x = [*map(F.col, FEATURES), F.lit(1.0)]
+    sums = [F.sum(pull * c) + float(b) for c, b in zip(x, [*coefficients, intercept])]
+    scale = [F.sum(F.abs(pull * c)) + 1 for c in x]
+    return F.greatest(*[F.abs(s) / n for s, n in zip(sums, scale)])
+
+
+def _weighted_scores(features, scorer):
+    return scorer(features).join(class_weights(features).select("label", "weight"), "label")
+
+
+def _fitted(spark, sf_dir, fit, of_model, tolerance):
+    """Of a model trained, stored and read again: the pairs of each label, and whether it is the optimum."""
+    report, path = _trained(spark, sf_dir, fit)
+    features = written(training_features(*labelled_person_pairs(spark, sf_dir)), "features")
+    scored = written(_weighted_scores(features, load_scorer(spark, path)), "scored")
+    coefficients, intercept = of_model(path)
+    whole = scored.agg(_gap(scored, coefficients, intercept).alias("gap")).first()
+    counted = accuracy(scored).first()["accuracy"]
+    mean = F.avg("score")
+    return scored.groupBy("label").agg(
+        F.count("*").alias("pairs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+        F.lit(whole["gap"] < tolerance).alias("at_optimum"),
+        F.lit(abs(report["details"]["accuracy"] - counted) < 1e-9).alias("accuracy_reported"),
+        F.when(F.col("label") == 1, mean > 0.5).otherwise(mean < 0.5).alias("on_its_side"))
+
+
+_BY_LABEL = f"""
+  SELECT {_LABEL} AS label, count(*) AS pairs, true AS in_range, true AS at_optimum,
+         true AS accuracy_reported, true AS on_its_side FROM feats GROUP BY 1"""
 
 
 @query("m8_trained_scores_mllib", features_sql(_BY_LABEL))
 def m8(spark, sf_dir):
-    _, scored = _trained(spark, sf_dir, "mllib")
-    return scored.groupBy("label").agg(
-        F.count("*").alias("pairs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"))
+    # The intercept is not penalised.
+    return _fitted(spark, sf_dir, "mllib", lambda path: (PipelineModel.load(path).stages[-1].coefficients, 0.0), 1e-3)
 
 
 @query("m8_trained_scores", features_sql(_BY_LABEL))
 def m8_penalised(spark, sf_dir):
-    _, scored = _trained(spark, sf_dir, "penalised")
-    return scored.groupBy("label").agg(
-        F.count("*").alias("pairs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"))
+    return _fitted(spark, sf_dir, "penalised", lambda path: astuple(load_scorer(spark, path))[:2], 1e-5)
 
 
 @query("m8_optimum", features_sql(f"""
@@ -266,28 +298,29 @@ def m8_optimum(spark, sf_dir):
     """The gradient at the fitted weights, summed by SQL apart from the fit, is zero."""
     features = written(training_features(*labelled_person_pairs(spark, sf_dir)), "features")
     model = fit_penalised(features)
-    w = class_weights(features).select("label", "weight")
-    pull = F.col("weight") * (F.col("score") - F.col("label"))
-    at = model(features).join(w, "label")
-    sums = [F.sum(pull * c) + b for c, b in zip(
-        [*map(F.col, FEATURES), F.lit(1.0)], [*model.coefficients, model.intercept])]
-    scale = [F.sum(F.abs(pull * c)) + 1 for c in [*map(F.col, FEATURES), F.lit(1.0)]]
+    at = _weighted_scores(features, model)
     return at.agg(
         F.count("*").alias("pairs"), F.count_if(F.col("label") == 1).alias("positives"),
         F.lit(model.converged).alias("converged"),
-        F.greatest(*[F.abs(s) / n for s, n in zip(sums, scale)]).alias("gap")).select(
+        _gap(at, model.coefficients, model.intercept).alias("gap")).select(
             "pairs", "positives", "converged", (F.col("gap") < 1e-5).alias("at_optimum"))
 
 
 @query("e4_train_report", sql_vec(
     "SELECT true AS success, 'Model trained successfully' AS message, "
-    "least(count(*), 3000) AS pairs_processed FROM labelled", NEGATIVES, _RING))
+    "least(count(*), 3000) AS pairs_processed, true AS accuracy_reported, true AS accurate FROM labelled",
+    NEGATIVES, _RING))
 def e4(spark, sf_dir):
-    report = train_ranker(
-        spark, _new_path(spark, "model"), stored_customers(spark, sf_dir), max_pairs=3000)
+    """With the accuracy, counted again from the stored model over the pairs made anew, and its floor."""
+    path, master = _new_path(spark, "model"), stored_customers(spark, sf_dir)
+    report = train_ranker(spark, path, master, max_pairs=3000)
+    details = report["details"]
+    features = training_features(labelled_pairs(master, max_pairs=3000), master)
+    counted = accuracy(load_scorer(spark, path)(features)).first()["accuracy"]
     return spark.createDataFrame(
-        [(report["success"], report["message"], report["details"]["pairs_processed"])],
-        "success boolean, message string, pairs_processed bigint")
+        [(report["success"], report["message"], details["pairs_processed"],
+          abs(details["accuracy"] - counted) < 1e-9, details["accuracy"] >= 0.95)],
+        "success boolean, message string, pairs_processed bigint, accuracy_reported boolean, accurate boolean")
 
 
 @query("s15_missing_training_data", """
