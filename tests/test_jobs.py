@@ -86,11 +86,14 @@ def test_hot_keys_are_scored_like_listed_pairs(spark):
                "addr_line": rng.choice(["1 main st", "1 main road", "", "2 side st"]), "city": rng.choice(["A", "Ab", ""]),
                "state": "S", "postal_code": rng.choice(["560001", "560002", "x"])} for i in range(90)]
     master, asked = master_of(spark, *people), raw(spark, *people[:30])
-    rows = [check_duplicates(asked, master, method="keys", hot_rows=h, block_rows=16).orderBy("query_id").collect() for h in (10_000, 5)]
-    for a, b in zip(*rows):
-        assert [(c.customer_id, round(c.score, 9), round(c.vector_distance, 9)) for c in a.candidates] == [
-            (c.customer_id, round(c.score, 9), round(c.vector_distance, 9)) for c in b.candidates]
-        assert (a.is_duplicate, round(a.score, 9)) == (b.is_duplicate, round(b.score, 9))
+    trained = as_scorer(fit_mllib(feature_table(spark)[2]))
+    for scorer in (with_rule_score, trained):
+        rows = [check_duplicates(asked, master, scorer, method="keys", hot_rows=h, block_rows=16).orderBy(
+            "query_id").collect() for h in (10_000, 5)]
+        for a, b in zip(*rows):
+            assert [(c.customer_id, round(c.score, 9), round(c.vector_distance, 9)) for c in a.candidates] == [
+                (c.customer_id, round(c.score, 9), round(c.vector_distance, 9)) for c in b.candidates]
+            assert (a.is_duplicate, round(a.score, 9)) == (b.is_duplicate, round(b.score, 9))
     with pytest.raises(ValueError, match="no array form"):
         check_duplicates(asked, master, lambda df: with_rule_score(df), method="keys", hot_rows=5)
 
