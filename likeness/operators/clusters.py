@@ -1,9 +1,11 @@
 """Groups of equal identity and the duplicate pairs within them."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from likeness.sources.runs import append_run, read_runs
+
 # The ring of a cluster of more rows than this is cut into arcs before it is ordered.
 PART_ROWS = 10_000
 
@@ -13,13 +15,39 @@ def digest(key: str):
     return F.sha2(F.col(key).cast("string"), 256)
 
 
-def identity_clusters(customers: DataFrame, key: str = "identity_text") -> DataFrame:
-    """Every group of equal key: its lowest id and its size, counted map-side."""
-    groups = customers.groupBy(digest(key).alias("_digest")).agg(
+def _clusters(customers: DataFrame, key: str) -> DataFrame:
+    return customers.groupBy(digest(key).alias("_digest")).agg(
         F.first(key).alias(key),
         F.min("customer_id").alias("cluster_id"),
         F.count("*").alias("cluster_size"))
-    return groups.drop("_digest")
+
+
+def identity_clusters(customers: DataFrame, key: str = "identity_text") -> DataFrame:
+    """Every group of equal key: its lowest id and its size, counted map-side."""
+    return _clusters(customers, key).drop("_digest")
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    key, = (c for c in parts.columns if c not in ("_digest", "cluster_id", "cluster_size"))
+    return parts.groupBy("_digest").agg(
+        F.first(key).alias(key), F.min("cluster_id").alias("cluster_id"),
+        F.sum("cluster_size").alias("cluster_size"))
+
+
+def add_to_clusters(customers: DataFrame, path: str, batch: int, key: str = "identity_text") -> None:
+    """Add a batch of new customers to the groups kept at ``path``; batches count from 0.
+
+    Only the batch is counted. A batch added again replaces itself, until it is merged.
+    """
+    append_run(_clusters(customers, key), path, batch, _merged)
+
+
+def kept_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`identity_clusters` gives for the customers of all batches together."""
+    parts = read_runs(spark, path)
+    if parts is None:
+        raise ValueError(f"{path}: no batch yet")
+    return _merged(parts).drop("_digest")
 
 
 def duplicates_only(customers: DataFrame, key: str = "identity_text") -> DataFrame:

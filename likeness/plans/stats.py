@@ -46,6 +46,11 @@ def created_today(customers: DataFrame, as_of: Column) -> DataFrame:
     return created_on_day(customers, as_of).agg(F.count("*").alias("today_applicants"))
 
 
+def customers_per_day(customers: DataFrame) -> DataFrame:
+    """Customers of each day, late ones too, from counts in the tasks."""
+    return customers.groupBy("created_on").agg(F.count("*").alias("customers"))
+
+
 def daily_rate(customers: DataFrame, as_of: Column) -> DataFrame:
     """The day's share of all customers, from counts in the tasks; no id is shuffled."""
     return customers.agg(

@@ -1,17 +1,22 @@
-"""The customer master: a Parquet table partitioned by day of creation."""
+"""The customer master: a Parquet table partitioned by day of creation.
+
+New rows lie in one folder per batch, ``batch_id=<load>/created_on=<day>``, so that loading a
+batch again replaces exactly its own rows. :func:`compact` rewrites many batches as one
+generation, ``_compacted/gen=<n>``, by day; its list of batches is written last and is what
+readers go by. Beside the rows lie the customers' keys, sorted, to find them by.
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likeness import schemas
+from likeness.operators.keys import KEYS, key_rows
 from likeness.sources.checkpoints import written
-from likeness.sources.readers import folders, lower_columns, path_exists, require_columns
+from likeness.sources.readers import delete, folders, lower_columns, path_exists, require_columns
 
 SCAN_COLUMNS = ["customer_id", "dob", *schemas.CUSTOMER_TEXT_FIELDS, "identity_text"]
 
-# The table is laid out as batch_id=<load>/created_on=<day>/: loading a batch
-# again replaces exactly its own rows, and a day's rows are found by folder.
 MASTER = T.StructType([
     *schemas.CUSTOMER.fields,
     T.StructField("batch_id", T.StringType()),
@@ -19,11 +24,114 @@ MASTER = T.StructType([
 ])
 
 
+# One row per key of a customer.
+INDEX = T.StructType([
+    T.StructField("block", T.StringType()),
+    T.StructField("customer_id", T.LongType()),
+    T.StructField("batch_id", T.StringType()),
+])
+
+# Up to this many values go into a filter that Parquet reads by; more are joined.
+LISTED = 2_000
+
+
+def bloom(column: str) -> dict[str, str]:
+    """Options of a writer whose row groups can be skipped by values of ``column``."""
+    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
+def generation(spark: SparkSession, path: str) -> tuple[str | None, set[str], set[str]]:
+    """The folder of the last whole generation, its batches, and those loaded again since."""
+    base = f"{path.rstrip('/')}/_compacted"
+    for n in sorted(folders(spark, base, "gen="), reverse=True):
+        folder = f"{base}/gen={n}"
+        if path_exists(spark, f"{folder}/batches/_SUCCESS"):
+            # One short name per batch, as the driver lists the folders too.
+            held = {r[0] for r in spark.read.schema("batch_id string").parquet(f"{folder}/batches").collect()}
+            return folder, held, set(folders(spark, f"{folder}/reloaded", "of="))
+    return None, set(), set()
+
+
+def _fresh(spark: SparkSession, path: str, held: set[str], reloaded: set[str]) -> list[str]:
+    """Batches that are read from their own folders."""
+    return sorted(set(folders(spark, path, "batch_id=")) - (held - reloaded))
+
+
 def read_master(spark: SparkSession, path: str) -> DataFrame:
     """The customer master at ``path``; no rows when there is none yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], MASTER)
-    return spark.read.schema(MASTER).parquet(path)
+    folder, held, reloaded = generation(spark, path)
+    if folder is None:
+        return spark.read.schema(MASTER).parquet(path)
+    rows = spark.read.schema(MASTER).parquet(f"{folder}/rows")
+    if reloaded:
+        rows = rows.filter(~F.col("batch_id").isin(sorted(reloaded)))
+    fresh = _fresh(spark, path, held, reloaded)
+    return rows.unionByName(_batches(spark, path, fresh)) if fresh else rows
+
+
+def _batches(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    base = path.rstrip("/")
+    return spark.read.schema(MASTER).option("basePath", base).parquet(
+        *[f"{base}/batch_id={name}" for name in names])
+
+
+def write_keys(rows: DataFrame, folder: str, group_bytes: int = 4 << 20) -> None:
+    """Key rows in order of the key, in small row groups; many rows of one key fall to several tasks."""
+    rows.repartitionByRange("block", "customer_id").sortWithinPartitions("block", "customer_id").write.options(
+        **bloom("block")).option("parquet.block.size", group_bytes).mode("overwrite").parquet(folder)
+
+
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(block, customer_id, batch_id) of all keys of the master.
+
+    Batches without stored keys, as of masters written before there were any, are scanned.
+    """
+    base = path.rstrip("/")
+    folder, held, reloaded = generation(spark, path)
+    parts = [spark.createDataFrame([], INDEX)]
+    if folder:
+        kept = spark.read.schema(INDEX).parquet(f"{folder}/keys")
+        parts.append(kept.filter(~F.col("batch_id").isin(sorted(reloaded))) if reloaded else kept)
+    fresh = _fresh(spark, path, held, reloaded)
+    stored = [b for b in fresh if path_exists(spark, f"{base}/_keys/batch_id={b}/_SUCCESS")]
+    if stored:
+        parts.append(spark.read.schema(INDEX).option("basePath", f"{base}/_keys").parquet(
+            *[f"{base}/_keys/batch_id={b}" for b in stored]))
+    if len(stored) < len(fresh):
+        scanned = _batches(spark, path, sorted(set(fresh) - set(stored)))
+        parts.append(key_rows(scanned, "customer_id", "batch_id").select(*INDEX.names))
+    whole, *rest = parts
+    for part in rest:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def among(df: DataFrame, column: str, values: DataFrame, listed: int = LISTED) -> DataFrame:
+    """Rows whose ``column`` is one of ``values`` (one column of that name, distinct).
+
+    Up to ``listed`` values become a filter, by which Parquet skips row groups; more are joined.
+    """
+    few = values.limit(listed + 1).collect()
+    if len(few) <= listed:
+        return df.filter(F.col(column).isin([r[0] for r in few]))
+    return df.join(values, column, "left_semi")
+
+
+def customers_with_keys(
+    spark: SparkSession, path: str, asked: DataFrame, seen: Column | None = None, listed: int = LISTED
+) -> DataFrame:
+    """The master's rows that hold one of the keys ``asked`` for (distinct ``block``), all of them.
+
+    ``seen`` narrows the batches looked at. Reads the keys' row groups that can hold a key
+    asked for and then the rows' that can hold a customer found, not the master.
+    """
+    keys, rows = read_keys(spark, path), read_master(spark, path)
+    if seen is not None:
+        keys, rows = keys.filter(seen), rows.filter(seen)
+    ids = written(among(keys, "block", asked, listed).select("customer_id").distinct(), "holders")
+    return among(rows, "customer_id", ids, listed)
 
 
 def scan_customers(customers: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -161,9 +269,58 @@ def append_customers(
     numbered.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.CUSTOMER.fields],
         F.to_date("created_at").alias("created_on"),
-    ).write.mode("overwrite").partitionBy("created_on").parquet(folder)
-    loaded = read_master(spark, path).filter(F.col("batch_id") == batch_id)
+    ).write.options(**bloom("customer_id")).mode("overwrite").partitionBy("created_on").parquet(folder)
+    loaded = _batches(spark, path, [batch_id])
+    write_keys(
+        key_rows(loaded.select("customer_id", *KEYS.values()), "customer_id").select("block", "customer_id"),
+        f"{path.rstrip('/')}/_keys/batch_id={batch_id}")
+    compacted, held, _ = generation(spark, path)
+    if batch_id in held:
+        spark.createDataFrame([(batch_id,)], "batch_id string").coalesce(1).write.mode("overwrite").parquet(
+            f"{compacted}/reloaded/of={batch_id}")
     loaded.agg(F.max("customer_id").alias("last_id")).select(
         F.lit(batch_id).alias("batch_id"), F.lit(writer).alias("writer"), "last_id",
     ).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest/of={batch_id}")
     return loaded
+
+
+def compact(spark: SparkSession, path: str) -> str | None:
+    """Rewrite all batches, and the generation before, as one generation by day; gives its folder.
+
+    Days are rebalanced to files of the advisory size, so that many small batches make few
+    files a day and a large day several. Rows keep their ids and batches. What was there
+    stays until :func:`drop_superseded`, so that running readers go on. Readers turn to the new
+    generation when its list of batches is whole; a compaction that was broken off is never read.
+    Ids of batches, writers and replays are as before. One writer at a time, this one included.
+    """
+    if not path_exists(spark, path):
+        return None
+    base = path.rstrip("/")
+    folder, held, reloaded = generation(spark, path)
+    fresh = _fresh(spark, path, held, reloaded)
+    if not fresh:
+        return folder
+    number = max([int(n) for n in folders(spark, f"{base}/_compacted", "gen=")], default=-1) + 1
+    target = f"{base}/_compacted/gen={number:08d}"
+    read_master(spark, path).hint("rebalance", "created_on").sortWithinPartitions(
+        "created_on", "customer_id").write.options(**bloom("customer_id")).partitionBy(
+            "created_on").parquet(f"{target}/rows")
+    write_keys(read_keys(spark, path), f"{target}/keys")
+    spark.createDataFrame([(b,) for b in sorted(held | set(fresh))], "batch_id string").coalesce(
+        1).write.parquet(f"{target}/batches")
+    return target
+
+
+def drop_superseded(spark: SparkSession, path: str) -> list[str]:
+    """Delete batch folders and generations that no reader starts with any more; gives their names."""
+    base = path.rstrip("/")
+    folder, held, reloaded = generation(spark, path)
+    if folder is None:
+        return []
+    mine = folder.rsplit("/", 1)[1]
+    gone = [f"_compacted/gen={n}" for n in folders(spark, f"{base}/_compacted", "gen=") if f"gen={n}" != mine]
+    for b in sorted(set(folders(spark, path, "batch_id=")) & (held - reloaded)):
+        gone += [f"batch_id={b}", f"_keys/batch_id={b}"]
+    for name in gone:
+        delete(spark, f"{base}/{name}")
+    return gone

@@ -32,6 +32,11 @@ def folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
     return [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     fs, p = _hadoop_path(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from likeness.operators.keys import key_rows
 from likeness.plans.check import check_duplicates
 from likeness.plans.ingest import ingest
+from likeness.plans.records import query_object
 from likeness.plans.stats import HIGH_RISK_HOLDERS, ALERT_HOLDERS
-from likeness.schemas import RAW_APPLICANT
-from likeness.sources.master import read_master
+from likeness.schemas import RAW_APPLICANT, RAW_FIELDS
+from likeness.sources.checkpoints import written
+from likeness.sources.master import customers_with_keys, read_master
+from likeness.sources.readers import folders, path_exists
+from likeness.sources.runs import append_run, read_runs, runs
 
 
 def applicant_stream(
@@ -69,14 +74,20 @@ def check_batch(
 
     Customers of this and later batches of the stream are left out, so that a batch that
     is run again after its ingest gives the same verdicts. By default only customers that
-    share a key are looked at, which reads the master's keys and few of its vectors.
+    share a key are looked at: they are found by the master's stored keys, of which a small
+    batch reads few row groups, and the master itself is not scanned.
     """
     check = {"method": "keys"} | check
 
     def run(batch: DataFrame, batch_id: int) -> None:
         name = batch_name(stream, batch_id)
-        master = read_master(batch.sparkSession, master_path).filter(
-            ~F.col("batch_id").startswith(f"stream-{stream}-") | (F.col("batch_id") < name))
+        seen = ~F.col("batch_id").startswith(f"stream-{stream}-") | (F.col("batch_id") < name)
+        if check["method"] == "keys":
+            asked = written(key_rows(query_object(
+                batch.select("query_id", *RAW_FIELDS), "query_id")).distinct(), "asked")
+            master = customers_with_keys(batch.sparkSession, master_path, asked, seen)
+        else:
+            master = read_master(batch.sparkSession, master_path).filter(seen)
         check_duplicates(batch, master, **check).write.mode("overwrite").parquet(
             f"{verdicts_path.rstrip('/')}/batch_id={name}")
     return run
@@ -120,29 +131,68 @@ def check_and_ingest_stream(
     return stream.writeStream.foreachBatch(run)
 
 
-def upsert_batch(path: str) -> Callable[[DataFrame, int], None]:
+def newest(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Brings changes to the last one of each key; ``batch`` tells which that is."""
+    def merge(changes: DataFrame) -> DataFrame:
+        values = [c for c in changes.columns if c not in (*keys, "batch")]
+        return changes.groupBy(*keys).agg(
+            F.max("batch").alias("batch"), F.max_by(F.struct(*values), "batch").alias("last"),
+        ).select(*keys, "batch", "last.*")
+    return merge
+
+
+def upsert_batch(path: str, keys: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """The work on one micro-batch of changed counts: append them under the batch's number.
 
     For the update mode; :func:`latest` gives the table as it stands. A batch run again
-    replaces its own rows.
+    replaces its own rows. With ``keys`` the batches before are merged in tiers, so that
+    ``latest`` opens a number of folders that grows with the logarithm of the batches.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id:012d}")
+        append_run(
+            batch.withColumn("batch", F.lit(batch_id).cast("bigint")), path, batch_id,
+            newest(keys) if keys else None)
     return run
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last count of each key that :func:`upsert_batch` wrote."""
-    changes = spark.read.parquet(path)
-    values = [c for c in changes.columns if c not in (*keys, "batch")]
-    return changes.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
+    """The last count of each key that :func:`upsert_batch` or :func:`correct` wrote."""
+    changes = read_runs(spark, path)
+    if changes is None:
+        raise ValueError(f"{path}: no batch yet")
+    for name in sorted(folders(spark, path, "correction="), reverse=True):
+        folder = f"{path.rstrip('/')}/correction={name}"
+        if path_exists(spark, f"{folder}/_SUCCESS"):
+            # Where both are of one batch, the correction is the later word.
+            changes = changes.withColumn("batch", F.col("batch") * 2).unionByName(
+                spark.read.schema(changes.schema).parquet(folder).withColumn("batch", F.col("batch") * 2 + 1))
+            break
+    return newest(keys)(changes).drop("batch")
+
+
+def correct(counts: DataFrame, path: str, keys: list[str]) -> None:
+    """Put a report's counts in place of the stream's, for rows that came too late for it.
+
+    ``counts`` has the stream's columns, as from :func:`likeness.plans.stats.customers_per_day`
+    over the master, and should be limited to keys that are closed: a count that the stream
+    changes later is taken as newer. Each correction stands for those before it, so it should
+    cover all that is closed.
+    """
+    spark = counts.sparkSession
+    done = runs(spark, path)
+    if not done:
+        raise ValueError(f"{path}: no batch to correct yet")
+    last = done[-1][1]
+    number = 1 + max((int(n) for n in folders(spark, path, "correction=")), default=-1)
+    wanted = read_runs(spark, path).columns
+    counts.withColumn("batch", F.lit(last).cast("bigint")).select(*wanted).write.parquet(
+        f"{path.rstrip('/')}/correction={number:012d}")
 
 
 def daily_counts(customers: DataFrame, late: str = "1 day") -> DataFrame:
     """Customers per day of creation; rows later than ``late`` are not counted.
 
-    The batch report counts these too.
+    The batch report counts these too, and :func:`correct` brings them in.
     """
     return (
         customers.withWatermark("created_at", late)

@@ -1,13 +1,17 @@
 """Similarity joins, duplicate pairs, shared keys and hard negatives."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from likeness.operators.clusters import duplicate_pairs, duplicates_only, identity_clusters
+from likeness.operators.clusters import (
+    add_to_clusters, duplicate_pairs, duplicates_only, identity_clusters, kept_clusters)
 from likeness.operators.keys import shared_key_pairs
 from likeness.operators.neighbours import approximate_nearest, nearest
 from likeness.plans.pairs import hard_negatives
 from likeness.plans.records import pair_query_columns
 from likeness.plans.train import pair_distances, pair_queries, unresolved_pairs
+from likeness.sources.checkpoints import checkpoint_dir
 from likeness.functions.encode import encode_texts
 from likeness.sources.checkpoints import written
 from querybook.base import applicants, customers, query, rounded, sql_cust, sql_fx, sql_vec, table
@@ -109,6 +113,18 @@ def a7(spark, sf_dir):
     return identity_clusters(customers(spark, sf_dir))
 
 
+@query("a7_clusters_kept", sql_cust("""
+  SELECT identity_text, min(customer_id) AS cluster_id, count(*) AS cluster_size
+  FROM cust GROUP BY identity_text"""))
+def a7_kept(spark, sf_dir):
+    """The same, from batches added one after another."""
+    path = f"{checkpoint_dir(spark)}/clusters-{uuid.uuid4().hex}"
+    rows = customers(spark, sf_dir)
+    for i in range(3):
+        add_to_clusters(rows.filter(F.col("customer_id") % 3 == i), path, i)
+    return kept_clusters(spark, path)
+
+
 @query("f2_duplicates_only", sql_cust("""
   SELECT customer_id, min(customer_id) OVER (PARTITION BY identity_text) AS cluster_id,
          count(*) OVER (PARTITION BY identity_text) AS cluster_size

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from likeness.sources.checkpoints import checkpoint_dir
-from likeness.sources.master import append_customers, read_master
+from likeness.sources.master import append_customers, compact, drop_superseded, read_master
 from likeness.streaming.jobs import (
     applicant_stream, check_stream, daily_counts, holder_counts, ingest_stream, latest,
     upsert_batch)
@@ -43,6 +43,25 @@ def t1(spark, sf_dir):
     ).agg(F.countDistinct("customer_id").alias("customers"))
 
 
+@query("s11_compacted_master", sql_cust("""
+  SELECT row_number() OVER (ORDER BY customer_id % 3, customer_id) AS customer_id,
+         identity_text, CAST(created_on AS VARCHAR) AS created_on, 'b' || customer_id % 3 AS batch
+  FROM cust"""))
+def s11_compacted(spark, sf_dir):
+    """Three batches, two of them compacted, the old folders dropped, and all compacted again."""
+    path = f"{_folder(spark)}/master"
+    rows = customers(spark, sf_dir)
+    for i in range(3):
+        append_customers(rows.filter(F.col("customer_id") % 3 == i), path, f"b{i}",
+                         F.to_timestamp(F.lit(AS_OF)), ["customer_id"])
+        if i:
+            compact(spark, path)
+            drop_superseded(spark, path)
+    return read_master(spark, path).select(
+        "customer_id", "identity_text", F.col("created_on").cast("string").alias("created_on"),
+        F.col("batch_id").alias("batch"))
+
+
 @query("t2_stream_check", check_sql(_VERDICT, _KEYED))
 def t2(spark, sf_dir):
     folder = _folder(spark)
@@ -63,7 +82,7 @@ def _updated(counts, keys):
     """The counts of a stream in update mode, each micro-batch written to a table."""
     folder = _folder(counts.sparkSession)
     _finish(counts.writeStream.outputMode("update").foreachBatch(
-        upsert_batch(f"{folder}/counts")), folder)
+        upsert_batch(f"{folder}/counts", keys)), folder)
     return latest(counts.sparkSession, f"{folder}/counts", keys)
 
 
