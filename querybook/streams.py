@@ -50,7 +50,7 @@ def t1(spark, sf_dir):
 def s11_compacted(spark, sf_dir):
     """Three batches, two of them compacted, the old folders dropped, and all compacted again."""
     path = f"{_folder(spark)}/master"
-    rows = customers(spark, sf_dir)
+    rows = customers(spark, sf_dir).withColumn("created_at", F.col("created_on").cast("timestamp"))
     for i in range(3):
         append_customers(rows.filter(F.col("customer_id") % 3 == i), path, f"b{i}",
                          F.to_timestamp(F.lit(AS_OF)), ["customer_id"])
