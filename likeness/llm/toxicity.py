@@ -5,10 +5,15 @@
    votes: the 256 with the highest likelihood ratio each for itself, all others in groups
    of like strength. Of words and beginnings that stand for the same words
    only the shortest is taken. A voter votes "toxic" for the texts that have its word or beginning.
+   Further voters need no labels: each list of ``LEXICONS`` (a word of it occurs) and each of
+   ``PATTERNS`` (shouting, repeated marks, masked, spaced-out and stretched letters).
 2. A generative label model estimates, by expectation maximisation, how often each voter
-   fires on toxic and on clean texts, how far the given label can be trusted, and from the
-   correlations that remain within a class how much a voter only repeats others; repeated
-   evidence is divided among the voters that share it. The result is a posterior label.
+   fires on toxic and on clean texts, and from the correlations that remain within a class
+   how much a voter only repeats others; repeated evidence is divided among the voters that
+   share it. The given label is one more voter: how often it is 1 on toxic and on clean texts is
+   estimated from its agreement with the others and has no floor, so that labels that the
+   others contradict are turned over, and given ones are kept where the others are silent.
+   The result is a posterior label.
 3. A linear (logistic) classifier of the votes, of the number of words voted for and of
    their share is fitted to the posterior labels by Newton steps, and scores all texts.
 
@@ -27,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +47,20 @@ LEAST_ROWS = 4
 BEGINNINGS = (4, 6, 8)
 SLICE_BYTES = 1 << 20
 
+# Short lists of open insults and threats; a caller's own may take their place.
+LEXICONS = {
+    "insults": ("idiot", "idiots", "moron", "morons", "stupid", "scum", "pathetic", "worthless",
+                "dumm", "trottel", "abschaum", "imbécile", "crétin", "estúpido", "basura"),
+    "threats": ("kill", "murder", "strangle", "hurt", "umbringen", "töten", "tuer", "matar"),
+}
+PATTERNS = {
+    "shouting": r"\b[A-Z]{4,}\b[^a-z]{1,3}\b[A-Z]{4,}\b",
+    "repeated marks": r"[!?]{2,}",
+    "masked letters": r"\b[A-Za-z]+[*@$#]+[A-Za-z]+\b",
+    "spaced-out letters": r"\b[A-Za-z](?:[ .-][A-Za-z]){3,}\b",
+    "stretched letters": "(?i:" + "|".join(f"{c}{{4,}}" for c in "abcdefghijklmnopqrstuvwxyz") + ")",
+}
+
 
 @dataclass
 class Votes:
@@ -95,11 +115,22 @@ def _counts(batches):
                     ["hash", "toxic", "n", "low", "high", "length"])
 
 
+def lexicon_hashes(words) -> np.ndarray:
+    votes = evidence(pa.array([" ".join(words)]))
+    return np.unique(votes.hashes[0])
+
+
 @dataclass
 class Voters:
     members: Members
     vote: np.ndarray  # of each member, the number of its vote
-    n_votes: int
+    n_members: int  # numbers of votes that members have; those of lists and patterns follow
+    lexicons: tuple = ()  # hashes of the words of each list
+    patterns: tuple = ()
+
+    @property
+    def n_votes(self) -> int:
+        return self.n_members + len(self.lexicons) + len(self.patterns)
 
     def fired(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Texts and numbers of their votes (each pair once); words voted for; words."""
@@ -110,9 +141,20 @@ class Voters:
             at.append(words[found])
             number.append(self.vote[np.searchsorted(self.members.keys, hashes[found])])
         at, number = np.concatenate(at), np.concatenate(number)
-        n = max(1, self.n_votes)
-        pairs = np.unique(votes.text[at] * n + number)
         marked = np.bincount(votes.text[np.unique(at)], minlength=len(texts))
+        text, next_vote = [votes.text[at]], self.n_members
+        numbers = [number]
+        for members in self.lexicons:
+            text.append(votes.text[members.positions(votes.hashes[0])])
+            numbers.append(np.full(len(text[-1]), next_vote))
+            next_vote += 1
+        whole = pc.fill_null(texts.cast(pa.large_string()), "") if self.patterns else None
+        for pattern in self.patterns:
+            text.append(np.flatnonzero(pc.match_substring_regex(whole, pattern).to_numpy(zero_copy_only=False)))
+            numbers.append(np.full(len(text[-1]), next_vote))
+            next_vote += 1
+        n = max(1, self.n_votes)
+        pairs = np.unique(np.concatenate(text) * n + np.concatenate(numbers))
         return pairs // n, pairs % n, marked, votes.n_words
 
 
@@ -140,26 +182,32 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def posterior_labels(fired: np.ndarray, given: np.ndarray, rounds: int = 15) -> np.ndarray:
+def posterior_labels(fired: np.ndarray, given: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Chance that each row is toxic, by the generative label model.
 
-    ``fired``: rows by voters, 0 or 1. ``given``: the labels, one more voter.
+    ``fired``: rows by voters, 0 or 1. ``given``: the labels, one more voter, from which the
+    rates of the others start only.
     """
-    prior = np.clip(given.mean(), 1e-6, 1 - 1e-6)  # the sample may hold one kind only
-    q = np.clip(given, 0.02, 0.98)
-    trust = 0.95
+    q = np.clip(given, 0.05, 0.95)
+    # What each class is taken to hold beforehand, as one row: a voter's share in all rows, so
+    # that a voter that never fires says nothing, and a label that is right in 95 of 100 cases.
+    share, usual = given.mean(), np.clip(fired.mean(axis=0), 1e-6, 1 - 1e-6)
     for _ in range(rounds):
-        on = np.stack([(fired * w[:, None]).sum(0) + 0.5 for w in (1 - q, q)])
-        rate = on / np.array([[(1 - q).sum() + 1], [q.sum() + 1]])
+        prior = np.clip((q.sum() + share) / (len(q) + 1), 1e-6, 1 - 1e-6)
+        on = np.stack([(fired * w[:, None]).sum(0) + usual for w in (1 - q, q)])
+        rate = np.clip(on / np.array([[(1 - q).sum() + 1], [q.sum() + 1]]), 1e-9, 1 - 1e-9)
         rest = fired - (rate[0] + q[:, None] * (rate[1] - rate[0]))
         spread = np.sqrt((rest ** 2).mean(0)) + 1e-9
         correlation = rest.T @ rest / len(fired) / np.outer(spread, spread)
         repeats = np.where(correlation > 0.2, correlation, 0).sum(0)
         yes, no = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
         votes = (fired * yes + (1 - fired) * no) @ (1 / np.maximum(repeats, 1))
-        label = np.log(trust / (1 - trust)) * (2 * given - 1)
-        q = np.clip(_sigmoid(np.log(prior / (1 - prior)) + votes + label), 1e-4, 1 - 1e-4)
-        trust = float(np.clip((given * q + (1 - given) * (1 - q)).mean(), 0.6, 0.99))
+        right = ((given * q).sum() + 0.95) / (q.sum() + 1)
+        wrong = ((given * (1 - q)).sum() + 0.05) / ((1 - q).sum() + 1)
+        label = np.where(given > 0, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
+        before, q = q, np.clip(_sigmoid(np.log(prior / (1 - prior)) + votes + label), 1e-4, 1 - 1e-4)
+        if np.abs(q - before).max() < 1e-4:
+            break
     return q
 
 
@@ -208,11 +256,11 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
-        voters: int = VOTERS) -> ToxicityModel:
+        voters: int = VOTERS, lexicons: dict = LEXICONS, patterns: dict = PATTERNS) -> ToxicityModel:
     """Learn from the labelled rows of ``docs`` that are not held out."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("long").alias("toxic"))
-    labelled = written(docs.select("doc_id", "text").where(~held_out()).join(chosen.hint("merge"), "doc_id"), "labelled")
+    labelled = written(docs.select("doc_id", "text").where(~held_out()).join(chosen, "doc_id"), "labelled")
     total, toxic = labelled.agg(F.count("*"), F.sum("toxic")).first()
     toxic = toxic or 0
     if not 0 < toxic < total:
@@ -238,18 +286,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     # Twice the ratio is distributed as chi square: of m without a tie to the labels, less than one exceeds log m.
     ranked = counts.where((t > n * rate) & (n < total)).withColumn("ratio", ratio).where(
         F.col("ratio") >= float(np.log(max(1, counts.count()))))
-    best = ranked.orderBy(F.col("ratio").desc(), "hash").limit(voters).select("hash").collect()
+    best = ranked.orderBy(F.col("ratio").desc(), "hash").limit(voters).select("hash").toArrow()
     beyond = ranked.select("hash", "t", "n").toArrow()
-    own = np.array([r["hash"] for r in best], np.int64).view(np.uint64)
-    vote = dict(zip(own.tolist(), range(len(own))))
-    hashes = beyond.column("hash").to_numpy().view(np.uint64)
+    own = best.column("hash").to_numpy().view(np.uint64)
+    members = Members(beyond.column("hash").to_numpy().view(np.uint64))
+    vote = np.empty(len(members.keys), np.int64)
     t, n = beyond.column("t").to_numpy(), beyond.column("n").to_numpy()
     strength = np.log((t + 0.5) / (n - t + 0.5)) - np.log(rate / (1 - rate))
-    for h, group in zip(hashes.tolist(), np.digitize(strength, GROUPS).tolist()):
-        vote.setdefault(h, len(own) + group)
-    members = Members(np.array(list(vote), np.uint64))
-    n_votes = len(own) + len(GROUPS) + 1
-    found = Voters(members, np.array([vote[h] for h in members.keys.tolist()], np.int64), n_votes)
+    at = np.searchsorted(members.keys, beyond.column("hash").to_numpy().view(np.uint64))
+    vote[at] = len(own) + np.digitize(strength, GROUPS)
+    vote[np.searchsorted(members.keys, own)] = np.arange(len(own))
+    found = Voters(
+        members, vote, len(own) + len(GROUPS) + 1,
+        tuple(Members(lexicon_hashes(words)) for words in lexicons.values()), tuple(patterns.values()))
+    n_votes = found.n_votes
     # At most sample_rows ids: small enough for every task.
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = labelled.join(F.broadcast(ids), "doc_id").select("text", "toxic")
