@@ -260,6 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """Learn from the labelled rows of ``docs`` that are not held out."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("long").alias("toxic"))
+    # Written first, so that Spark knows its size: texts are shuffled only where it is too large to be sent to them.
+    chosen = written(chosen, "labels")
     labelled = written(docs.select("doc_id", "text").where(~held_out()).join(chosen, "doc_id"), "labelled")
     total, toxic = labelled.agg(F.count("*"), F.sum("toxic")).first()
     toxic = toxic or 0
