@@ -120,20 +120,13 @@ def _count(names: list[str]):
                 of_gram = np.repeat(of_word, np.diff(np.r_[s.gram_first, len(s.buckets)]))
                 grams += np.bincount(of_gram * BUCKETS + s.buckets, minlength=grams.size).reshape(grams.shape)
                 scripts += np.bincount(of_word * len(NAMES) + s.script, minlength=scripts.size).reshape(scripts.shape)
-        for i, name in enumerate(names):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([grams[i].tobytes()]), pa.array([scripts[i].tobytes()])],
-                ["lang", "grams", "scripts"])
+        counts = np.concatenate([grams, scripts], axis=1)
+        lang, cell = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.int32()), pa.array(cell, pa.int32()), pa.array(counts[lang, cell])], ["lang", "cell", "n"])
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    def total(name):
-        return np.sum([np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()], axis=0).tobytes()
-    return pa.table({"lang": table.column("lang")[:1], "grams": pa.array([total("grams")]),
-                     "scripts": pa.array([total("scripts")])})
-
-
 @dataclass
 class LanguageModel:
     names: list[str]
@@ -158,13 +151,12 @@ def fit(docs: DataFrame) -> LanguageModel:
     names = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0)))
-    # The matrices of the tasks are summed in two rounds, so that no group is large.
-    schema = "lang string, grams binary, scripts binary"
-    tasks = rows.select("text", "lang").mapInArrow(_count(names), schema)
-    some = tasks.withColumn("g", F.spark_partition_id() % 16).groupBy("lang", "g").applyInArrow(_sum, schema)
-    sums = {r["lang"]: r for r in some.groupBy("lang").applyInArrow(_sum, schema).collect()}
-    grams = np.stack([np.frombuffer(sums[n]["grams"], np.int64) for n in names], axis=1).astype(float)
-    scripts = np.stack([np.frombuffer(sums[n]["scripts"], np.int64) for n in names], axis=1).astype(float)
+    # Counts of buckets, scripts after them; at most so many cells a language come to the driver.
+    tasks = rows.select("text", "lang").mapInArrow(_count(names), "lang int, cell int, n long")
+    sums = tasks.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(names), BUCKETS + len(NAMES)), np.int64)
+    counts[sums.column("lang").to_numpy(), sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    grams, scripts = counts[:, :BUCKETS].T.astype(float), counts[:, BUCKETS:].T.astype(float)
     smooth = 0.5
     log_grams = np.log((grams + smooth) / (grams.sum(axis=0) + smooth * BUCKETS))
     seen = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
