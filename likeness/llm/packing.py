@@ -27,7 +27,7 @@ from likeness.sources.checkpoints import written
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
-BIN_SCHEMA = ("doc_id long, source string, piece long, first_word long, n_words long, "
+BIN_SCHEMA = ("doc_id long, source string, text_hash long, piece long, first_word long, n_words long, "
               "bin_id long, bin_offset long")
 
 
@@ -72,7 +72,7 @@ def _pack_shard(capacity: int):
             (w, source_bit[s], shared.get(c, 0))
             for w, s, c in zip(table.column("n_words").to_pylist(), source, cluster)], capacity)
         shard = table.column("shard")[0].as_py() if len(table) else 0
-        return table.select(["doc_id", "source", "piece", "first_word", "n_words"]).append_column(
+        return table.select(["doc_id", "source", "text_hash", "piece", "first_word", "n_words"]).append_column(
             "bin_id", pa.array([(shard << 32) + b for b, _ in placed], pa.int64())).append_column(
             "bin_offset", pa.array([o for _, o in placed], pa.int64()))
     return run
@@ -82,6 +82,41 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def piece_texts(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, text_hash, piece, text), the text of each piece once, however often rows repeat.
+
+    A document of one piece is its whole text; others are cut before words, once a document,
+    so that its pieces joined are the text again.
+    """
+    cut = F.regexp_extract_all("text", F.lit(r"^\s*\S+\s*|\S+\s*"), 0)
+    pieces = F.when(words(F.col("text")) <= capacity, F.array(F.col("text"))).otherwise(F.transform(
+        F.sequence(F.lit(0), (F.ceil(words(F.col("text")) / capacity) - 1).cast("int")),
+        lambda i: F.array_join(F.slice(cut, i * capacity + 1, capacity), "")))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"),
+        F.posexplode(pieces).alias("piece", "text")).groupBy(
+            "doc_id", "text_hash", "piece").agg(F.first("text").alias("text"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text", F.crc32(F.col("text").cast("binary")))
+
+
+def pack_texts(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES,
+               cluster: Column | None = None) -> DataFrame:
+    """As :func:`pack`, with ``text``: what each piece puts into its bin (null where it goes to none).
+
+    Texts are shuffled once, to their pieces; packing itself moves none.
+    """
+    packed = _pack(docs, capacity, shard_pieces, cluster)
+    texts = piece_texts(docs.where(words(F.col("text")) > 0), capacity)
+    on = F.lit(True)
+    for c in ("doc_id", "text_hash", "piece"):
+        on &= packed[c].eqNullSafe(texts[c])
+    return packed.join(texts, on, "left").select(
+        *[packed[c] for c in packed.columns if c != "text_hash"], texts["text"])
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES,
          cluster: Column | None = None) -> DataFrame:
     """One row per piece: document, words of the document, bin, and place in the bin.
@@ -89,15 +124,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     ``cluster`` names the copies of one text (by default, equal texts but for case and
     white space at the ends).
     """
+    return _pack(docs, capacity, shard_pieces, cluster).drop("text_hash")
+
+
+def _pack(docs: DataFrame, capacity: int, shard_pieces: int, cluster: Column | None) -> DataFrame:
     if cluster is None:
         cluster = F.xxhash64(F.lower(F.trim("text")))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        cluster.alias("cluster"), words(F.col("text")).alias("words"))
+        cluster.alias("cluster"), _text_hash().alias("text_hash"), words(F.col("text")).alias("words"))
     whole = F.floor(F.col("words") / capacity)
     pieces = written(sized.withColumn("piece", F.explode(F.sequence(
         F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("long")))).select(
-        "doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).alias("first_word"),
+        "doc_id", "source", "cluster", "text_hash", "piece", (F.col("piece") * capacity).alias("first_word"),
         F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("long").alias("n_words"),
         (F.col("piece") < whole).alias("full")), "pieces")
     part = pieces.where("NOT full AND n_words > 0")
@@ -108,11 +147,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     # as rows may repeat, the row's number among equal ones.
     equal = W.partitionBy("doc_id", "piece", "cluster", "source").orderBy("n_words")
     full = pieces.where("full").withColumn("copy", F.row_number().over(equal)).select(
-        "doc_id", "source", "piece", "first_word", "n_words",
+        "doc_id", "source", "text_hash", "piece", "first_word", "n_words",
         (-1 - F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source", "copy"), F.lit(1 << 62))).alias("bin_id"),
         F.lit(0).cast("long").alias("bin_offset"))
     empty = pieces.where("n_words = 0").select(
-        "doc_id", "source", "piece", "first_word", "n_words", F.lit(None).cast("long").alias("bin_id"),
+        "doc_id", "source", "text_hash", "piece", "first_word", "n_words", F.lit(None).cast("long").alias("bin_id"),
         F.lit(None).cast("long").alias("bin_offset"))
     return packed.unionByName(full).unionByName(empty)
 
