@@ -3,7 +3,7 @@
 Each stage works on all that the one before kept and is written before the next reads
 it: toxic documents go, of near duplicates (five-word shingles, similarity 0.8) the one with the
 smallest id stays, contaminated documents go, personal data in the texts is replaced by its
-kind, and the rest is packed into sequences.
+kind, and the rest is packed into sequences, whose texts come out in pieces (bin, place, text).
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack_texts(docs)
 
 
 STAGES = [
