@@ -256,13 +256,16 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
-        voters: int = VOTERS, lexicons: dict = LEXICONS, patterns: dict = PATTERNS) -> ToxicityModel:
-    """Learn from the labelled rows of ``docs`` that are not held out."""
+        voters: int = VOTERS, lexicons: dict = LEXICONS, patterns: dict = PATTERNS,
+        join: str = "merge") -> ToxicityModel:
+    """Learn from the labelled rows of ``docs`` that are not held out.
+
+    ``join``: as labels are taken to grow with the documents, texts and labels meet by a
+    shuffle, at every size; "broadcast" is for labels known to be few, and shuffles no text.
+    """
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("long").alias("toxic"))
-    # Written first, so that Spark knows its size: texts are shuffled only where it is too large to be sent to them.
-    chosen = written(chosen, "labels")
-    labelled = written(docs.select("doc_id", "text").where(~held_out()).join(chosen, "doc_id"), "labelled")
+    labelled = written(docs.select("doc_id", "text").where(~held_out()).join(chosen.hint(join), "doc_id"), "labelled")
     total, toxic = labelled.agg(F.count("*"), F.sum("toxic")).first()
     toxic = toxic or 0
     if not 0 < toxic < total:
