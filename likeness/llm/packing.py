@@ -83,7 +83,7 @@ def words(text: Column) -> Column:
 
 
 def piece_texts(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, text_hash, piece, text), the text of each piece once, however often rows repeat.
+    """(_id, text_hash, piece, text), the text of each piece once, however often rows repeat.
 
     A document of one piece is its whole text; others are cut before words, once a document,
     so that its pieces joined are the text again.
@@ -93,9 +93,9 @@ def piece_texts(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.sequence(F.lit(0), (F.ceil(words(F.col("text")) / capacity) - 1).cast("int")),
         lambda i: F.array_join(F.slice(cut, i * capacity + 1, capacity), "")))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"),
-        F.posexplode(pieces).alias("piece", "text")).groupBy(
-            "doc_id", "text_hash", "piece").agg(F.first("text").alias("text"))
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), _text_hash().alias("text_hash"),
+        F.posexplode(pieces).alias("piece", "text")).withColumn("piece", F.col("piece").cast("long")).groupBy(
+            "_id", "text_hash", "piece").agg(F.first("text").alias("text"))
 
 
 def _text_hash() -> Column:
@@ -108,13 +108,11 @@ def pack_texts(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SH
 
     Texts are shuffled once, to their pieces; packing itself moves none.
     """
-    packed = _pack(docs, capacity, shard_pieces, cluster)
+    # No id counts as 0 here: equal texts of both are the same pieces.
+    packed = _pack(docs, capacity, shard_pieces, cluster).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
     texts = piece_texts(docs.where(words(F.col("text")) > 0), capacity)
-    on = F.lit(True)
-    for c in ("doc_id", "text_hash", "piece"):
-        on &= packed[c].eqNullSafe(texts[c])
-    return packed.join(texts, on, "left").select(
-        *[packed[c] for c in packed.columns if c != "text_hash"], texts["text"])
+    return packed.join(texts, ["_id", "text_hash", "piece"], "left").select(
+        *[c for c in packed.columns if c not in ("_id", "text_hash")], "text")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES,
