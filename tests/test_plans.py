@@ -74,3 +74,32 @@ def test_ranks_are_filtered_before_the_shuffle(spark):
 def test_texts_are_folded_before_pairing_only(spark):
     text = plan(with_features(person_pairs(spark, SF), batched=True))
     assert text.count("ArrowEvalPython") <= 3
+
+
+def broadcast_columns(df):
+    """What each broadcast of the plan sends to every task."""
+    lines = plan(df).splitlines()
+    return [lines[i + 1] for i, line in enumerate(lines) if "BroadcastExchange" in line]
+
+
+def test_rows_with_vectors_are_not_broadcast_to_their_block_sizes(spark):
+    from likeness.operators import blocks, neighbours
+    rows = spark.range(64).select(
+        F.col("id").alias("customer_id"), F.array(F.lit(1.0).cast("float")).alias("vec"), (F.col("id") % 4).alias("block"))
+    asked = rows.withColumnRenamed("customer_id", "query_id")
+    for most in (blocks.BROADCAST_BLOCKS, 3):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(blocks, "BROADCAST_BLOCKS", most)
+            sizes = neighbours.block_sizes(asked, rows)
+            found = blocks.lists_in_blocks(asked, rows, sizes, 2, "cosine")
+        assert not any("vec" in sent for sent in broadcast_columns(found))
+        assert found.count() == 64
+
+
+def test_vectors_of_pairs_are_not_broadcast(spark):
+    assert not broadcast_columns(with_features(person_pairs(spark, SF)))
+    master = person_pairs(spark, SF).select("customer_id", "identity_vec")
+    pairs = master.select("customer_id", F.col("customer_id").alias("query_id"))
+    from likeness.plans.check import with_distances
+    assert not broadcast_columns(with_distances(
+        pairs, master.withColumnRenamed("customer_id", "query_id"), master))
