@@ -103,3 +103,9 @@ def test_vectors_of_pairs_are_not_broadcast(spark):
     from likeness.plans.check import with_distances
     assert not broadcast_columns(with_distances(
         pairs, master.withColumnRenamed("customer_id", "query_id"), master))
+
+
+@pytest.mark.parametrize("name", ["m1_hashed_vector", "m1_hashed_vector_batched"])
+def test_no_vector_is_computed_where_the_table_is_read(spark, name):
+    text = querybook.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter ((size(" not in text and "Filter (size(" not in text
