@@ -227,3 +227,31 @@ def test_birth_date_range(spark):
         spark, [("2024-01-30",), ("2024-01-31",), ("1900-12-31",), ("1901-01-01",)], "v string",
         quality.valid_birth_date(F.col("v"), as_of))
     assert [g[0] for g in got] == [True, False, False, True]
+
+
+def test_the_encoder_counts_a_slice_of_a_batch_at_a_time(monkeypatch):
+    from likeness.functions import encode
+    import pyarrow as pa
+    seen, counted = [], encode._trigram_counts
+    monkeypatch.setattr(encode, "_trigram_counts", lambda texts, dim: seen.append(len(texts)) or counted(texts, dim))
+    texts = ["abcd", None, "", "ab"] * 300
+    found = encode.hashed_trigrams(16).func(pa.array(texts))
+    assert seen == [512, 512, 176] and len(found) == 1200
+    assert found.to_pylist()[1028] == found.to_pylist()[0] and sum(found.to_pylist()[1]) == 0
+    assert abs(sum(x * x for x in found.to_pylist()[0]) - 1) < 1e-6
+
+
+def test_row_distances_of_a_sliced_batch():
+    import numpy as np
+    import pyarrow as pa
+    from likeness.operators import blocks
+    n = 2 * blocks.SLICE_ROWS + 5
+    rng = np.random.default_rng(3)
+    q, m = rng.normal(size=(n, 4)).astype("f4"), rng.normal(size=(n, 4)).astype("f4")
+    batch = pa.RecordBatch.from_pydict({
+        "query_id": np.arange(n), "customer_id": np.arange(n),
+        "q_vec": pa.array(list(q)), "m_vec": pa.array(list(m))})
+    parts = list(blocks.row_distances("euclidean")([batch]))
+    assert [p.num_rows for p in parts] == [blocks.SLICE_ROWS, blocks.SLICE_ROWS, 5]
+    gaps = np.concatenate([p["vdist"].to_numpy() for p in parts])
+    assert np.allclose(gaps, np.linalg.norm(q.astype(float) - m.astype(float), axis=1))
