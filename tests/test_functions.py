@@ -229,7 +229,7 @@ def test_birth_date_range(spark):
     assert [g[0] for g in got] == [True, False, False, True]
 
 
-def test_the_encoder_counts_a_slice_of_a_batch_at_a_time(monkeypatch):
+def test_the_encoder_counts_a_slice_of_a_batch_at_a_time(spark, monkeypatch):
     from likeness.functions import encode
     import pyarrow as pa
     seen, counted = [], encode._trigram_counts
