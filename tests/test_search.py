@@ -302,3 +302,46 @@ def test_limited_depth_of_hard_negatives(spark):
 
 def test_keys_cover_the_indexed_columns():
     assert set(KEYS.values()) == {"phone_e164", "email_norm", "gov_id_norm"}
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_blocks_grow_where_queries_go_to_all_of_them(spark, k, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(1200, 16)).astype("f4")
+    sides = side(spark, m[:200], "query_id"), side(spark, m, "customer_id")
+    seen, packed = [], neighbours._packed
+    monkeypatch.setattr(neighbours, "_packed", lambda p, s, rows: seen.append(rows) or packed(p, s, rows))
+    monkeypatch.setattr(neighbours, "MAX_VISITS", 4)
+    found = ranked(nearest(*sides, k, "euclidean", broadcast_rows=0, block_rows=32))
+    assert seen[0] == 32 and seen[1] >= 8 * 32
+    assert found == brute(m[:200], m, k, "euclidean")
+
+
+def test_codes_in_chunks_leave_what_codes_at_once_leave(monkeypatch):
+    x = blocks.in_metric_space(identities(700, seed=4), "cosine")
+    side_of = codes.Codes(pa.table(dict(zip(("code", "scale", "residual"), codes.coded(x)))))
+    own = np.arange(700) // 2
+    exact = np.linalg.norm(x[:50, None] - x[None], axis=2)
+    exact[own[:50, None] == own] = np.inf
+    for chunk in (16, 700):
+        monkeypatch.setattr(codes, "CHUNK_ROWS", chunk)
+        rows, cols, least, most = codes._possible(side_of, side_of, slice(0, 50), (own, own), 5)
+        assert (np.diff(rows) >= 0).all() and np.isfinite(most).all()
+        left = set(zip(rows.tolist(), cols.tolist()))
+        near = np.argsort(exact, axis=1, kind="stable")[:, :5]
+        assert all((i, j) in left for i in range(50) for j in near[i].tolist())
+
+
+def test_small_blocks_share_groups_and_large_ones_do_not(spark):
+    rows = spark.range(3100).select(F.col("id").alias("customer_id"), F.when(
+        F.col("id") < 100, "big").otherwise(F.concat(F.lit("k"), (F.col("id") / 3).cast("int"))).alias("block"))
+    asked = rows.withColumnRenamed("customer_id", "query_id")
+    sizes = neighbours.block_sizes(asked, rows)
+    q, m = blocks.split_in_blocks(asked, rows, sizes, 256, 64)
+    groups = q.cogroup(m).applyInArrow(lambda a, b: pa.table({
+        "blocks": [len(set(b["block"].to_pylist()))], "same": [
+            set(a["block"].to_pylist()) == set(b["block"].to_pylist())], "big": ["big" in b["block"].to_pylist()],
+        "rows": [b.num_rows]}), "blocks bigint, same boolean, big boolean, rows bigint").collect()
+    assert len(groups) < 20 and all(g["same"] for g in groups)
+    assert [(g["blocks"], g["rows"]) for g in groups if g["big"]] == [(1, 100)]
+    assert sum(g["rows"] for g in groups) == 3100
