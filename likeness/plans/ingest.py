@@ -73,6 +73,12 @@ def ingest(
     writer: str = "",
     **checks,
 ) -> tuple[DataFrame, DataFrame]:
-    """Load applicants into the master at ``path``; gives (loaded, set aside)."""
+    """Load applicants into the master at ``path``; gives (loaded, set aside).
+
+    Where ``order`` numbers the rows, and not their place in the input, they are spread over
+    all cores before they are encoded, as a batch of few files is read by as few tasks.
+    """
+    if order:
+        applicants = applicants.repartition(applicants.sparkSession.sparkContext.defaultParallelism)
     rows, rejects = new_customers(applicants, **checks)
     return append_customers(rows, path, batch_id, created_at, order, writer), rejects

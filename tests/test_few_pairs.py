@@ -38,3 +38,21 @@ def test_nearest_so_far_equals_the_plain_comparison():
         keep = blocks._first_k(rows, (np.round(gaps, blocks.TIE_DIGITS), found), k)
         for a, b in zip(near.best, (rows[keep], found[keep], gaps[keep])):
             assert np.array_equal(a, b)
+
+
+def test_a_batch_of_one_file_is_encoded_by_all_cores(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from likeness.plans import ingest as plan
+
+    tasks, kept = [], plan.written
+    monkeypatch.setattr(plan, "written", lambda df, name: (tasks.append(df.rdd.getNumPartitions()), kept(df, name))[1])
+    people = spark.range(40).select(F.col("id").alias("place"), F.concat(F.lit("Asha "), F.col("id").cast("string")).alias("full_name"))
+    for column in ("dob", "phone", "email", "gov_id", "addr_line", "city", "state", "postal_code", "country"):
+        people = people.withColumn(column, F.lit("").cast("string"))
+    loaded, rejects = plan.ingest(
+        people.coalesce(1), str(tmp_path / "master"), "one", F.to_timestamp(F.lit("2024-01-30")), order=["place"])
+    assert tasks == [spark.sparkContext.defaultParallelism]
+    assert [(r.customer_id, r.full_name) for r in loaded.orderBy("customer_id").collect()] == [
+        (i + 1, f"Asha {i}") for i in range(40)]
+    assert not rejects.count()
