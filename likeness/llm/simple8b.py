@@ -21,20 +21,18 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), escaped
-    narrow = values.astype(np.uint32)
-    selector = np.full(n, 13, np.int8)
-    wide = np.zeros(n + 1, np.int32)
-    for s in range(12, -1, -1):
-        # Ids up to each place that are too wide: where the count stays, a whole word fits.
-        np.cumsum(narrow >= 1 << int(BITS[s]), out=wide[1:])
-        c = int(COUNTS[s])
-        if c <= n:
-            np.putmask(selector[:n - c + 1], wide[c:] == wide[:n - c + 1], s)
-        # Fewer ids are left than a word takes: the rest of the word stays zero.
-        low, high = max(0, n - c + 1), n - int(COUNTS[s + 1])
-        if high > low:
-            np.putmask(selector[low:high], wide[low:high] == wide[n], s)
-    step = COUNTS[selector].tolist()
+    # Bits of each id, with zeros after the last: the rest of a last word stays zero.
+    most = np.zeros(n + int(COUNTS[0]), np.uint8)
+    most[:n] = np.frexp(values.astype(np.float64))[1]
+    selector, width = np.full(n, 13, np.uint8), 1
+    for c, s in [(2, 13), *((int(COUNTS[s]), s) for s in range(13, -1, -1))]:
+        # The widest of the ``c`` ids from each place on, of two runs that overlap.
+        most, width = np.maximum(most[:len(most) - c + width], most[c - width:]), c
+        if s < 13:
+            # Not where fewer ids are left than the next wider word takes.
+            here = max(0, n - int(COUNTS[s + 1]))
+            np.putmask(selector[:here], most[:here] <= BITS[s], s)
+    step = COUNTS.astype(np.uint8)[selector].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
@@ -43,7 +41,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     chosen = selector[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([values, np.zeros(240, np.uint64)])
-    for s in np.unique(chosen):
+    for s in np.flatnonzero(np.bincount(chosen)):
         if BITS[s]:
             mine = np.flatnonzero(chosen == s)
             first, packed = starts[mine], words[mine]

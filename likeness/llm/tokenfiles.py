@@ -19,6 +19,7 @@ order of their texts; a null id comes first. A long text is one block. Other col
 not written. An empty table gives an empty file.
 """
 
+import json
 import re
 import sys
 import types
@@ -28,6 +29,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ from likeness.sources.checkpoints import checkpoint_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces a worker remembers before it starts anew (about 200 bytes each).
 PIECES = 1_000_000
 #: Pieces encoded at a time.
@@ -51,6 +53,10 @@ UNSURE = re.compile(r"\s\s|\A\s|\s\Z|\x00")
 SPACE = re.compile(r"\s")
 #: All white space but the blank and the line end.
 OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+EDGES = (" ", "\n")
+#: How a byte-level model spells bytes: visible ones as they stand, the others from U+0100 on.
+VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(0x100)) - set(VISIBLE)))}
 ASCII_SPACES = sum(c.isascii() for c in OTHER_SPACE)  # they come first
 
 
@@ -83,6 +89,8 @@ class Encoder:
     """Ids of texts, remembering those of pieces between spaces."""
 
     def __init__(self, path: str, special: bool = False):
+        from unicodedata import ucd_3_2_0
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -91,6 +99,9 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.model = self.tokenizer.model if _spells_letters(self.tokenizer) else None
+        # What was a letter in an old Unicode and is one now is one to the pre-tokenizer, too.
+        self.letters = {c for c in map(chr, range(0x10000)) if c.isalpha() and ucd_3_2_0.category(c)[0] == "L"}
         self.forget()
 
     def forget(self):
@@ -111,6 +122,12 @@ class Encoder:
 
     def learn_words(self, words: list[str], space: str) -> None:
         """Encode words many at a time, line ends in between; ``space`` comes before each."""
+        if self.model is not None:
+            plain = [w for w in words if w.isascii() or self.letters.issuperset(w.lstrip("\x00"))]
+            self.learn_plain(plain, space)
+            if len(plain) == len(words):
+                return
+            words = [w for w in words if w not in self.known]
         for i in range(0, len(words), TOGETHER):
             some = words[i:i + TOGETHER]
             joined = self.whole(space + ("\n" + space).join([w.lstrip("\x00") for w in some]))
@@ -122,6 +139,16 @@ class Encoder:
             inside[ends] = False
             self.keep(some, joined[inside], np.diff(np.r_[-1, ends, len(joined)]) - 1)
 
+    def learn_plain(self, words: list[str], space: str) -> None:
+        """Encode words of letters, which the pre-tokenizer would leave whole, by the tokenizer's model itself."""
+        tokenize, before = self.model.tokenize, BYTES[ord(" ")] if space else ""
+        ids, ends = [], [0]
+        for w in words:
+            w = w.lstrip("\x00")
+            ids += [t.id for t in tokenize(before + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)))]
+            ends.append(len(ids))
+        self.keep(words, np.array(ids, np.uint32), np.diff(ends))
+
     def learn_each(self, pieces: list[str]) -> None:
         ids = self.each([p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p for p in pieces])
         if ids:
@@ -145,43 +172,45 @@ class Encoder:
         self.learn_words([w for w in first if w not in self.known], "")
         self.learn_each([p for p in others if p not in self.known])
         if marked:
-            number = np.array([[self.known[w], self.known[t]] for _, w, t in marked])
-            ids, lengths = self.store.take(number.ravel())
+            ids, lengths = self.store.take(np.array([self.known[x] for _, w, t in marked for x in (w, t)], np.int64))
             self.keep([p for p, _, _ in marked], ids, lengths.reshape(-1, 2).sum(axis=1))
 
     def uncuttable(self, text: str) -> bool:
         """Whether a cut at blanks and line ends might change the ids."""
-        # With single blanks and line ends alone there is one word more than of them; split()
-        # cuts at other white space too, so that the sum says nothing where there is any.
         other = OTHER_SPACE[:ASCII_SPACES] if text.isascii() else OTHER_SPACE
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(c in text for c in other):
+        if any(c in text for c in other):
             if UNSURE.search(text):
                 return True
+        elif text[:1] in EDGES or text[-1:] in EDGES or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return True
         return "\x00" in text or any(a in text for a in self.added)
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id after it; and how many each has."""
         if len(self.known) > PIECES:
             self.forget()
-        pieces, counts, odd = [], [], {}
+        cut, counts, odd = [], [], {}
         for i, t in enumerate(texts):
             if self.uncuttable(t):
                 odd[i] = self.whole(t)
                 counts.append(0)
             elif t:
                 # \x00 marks what no space comes before.
-                own = ("\x00" + t).replace("\n", " \n \x00").split(" ")
-                pieces += own
-                counts.append(len(own))
+                cut.append("\x00" + t)
+                counts.append(t.count(" ") + 2 * t.count("\n") + 1)
             else:
                 counts.append(0)
-        number = list(map(self.known.get, pieces))
+        # Each piece of these texts is looked up once.
+        joined = pa.array([" ".join(cut).replace("\n", " \n \x00")] if cut else [], pa.large_string())
+        pieces = pc.split_pattern(joined, " ").flatten().dictionary_encode()
+        own = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = list(map(self.known.get, own))
         new = [i for i, n in enumerate(number) if n is None]
         if new:
-            self.learn(list(dict.fromkeys([pieces[i] for i in new])))
+            self.learn([own[i] for i in new])
             for i in new:
-                number[i] = self.known[pieces[i]]
-        ids, lengths = self.store.take(np.array(number, np.int64))
+                number[i] = self.known[own[i]]
+        ids, lengths = self.store.take(np.array(number, np.int64)[pieces.indices.to_numpy()])
         total = np.r_[0, np.cumsum(lengths)]
         ends = np.r_[0, np.cumsum(counts)]
         per_text = total[ends[1:]] - total[ends[:-1]]
@@ -200,6 +229,18 @@ class Encoder:
         return out, n
 
 
+def _spells_letters(tokenizer) -> bool:
+    """Whether letters between blanks reach the tokenizer's model as one word, their bytes spelt by ``BYTES``."""
+    from tokenizers import models, pre_tokenizers
+
+    cut = tokenizer.pre_tokenizer
+    if not (isinstance(tokenizer.model, models.BPE) and isinstance(cut, pre_tokenizers.ByteLevel)):
+        return False
+    options = json.loads(cut.__getstate__())
+    return options["use_regex"] and not options["add_prefix_space"] and (
+        tokenizer.normalizer is tokenizer.truncation is tokenizer.padding is None)
+
+
 def _encoder(path: str, special: bool = False) -> Encoder:
     """One per Python worker, kept from task to task."""
     kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders"))
